@@ -1,10 +1,43 @@
-"""From raw documents to packed training sequences, as stages that each write a table."""
+"""From raw documents to packed training sequences, in stages that each write a table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from regista.llm.line_dedup import dedup_lines
+from regista.llm.mixing import mixed
+from regista.llm.near_dedup import drop_near_duplicates
+from regista.llm.packing import pack
+from regista.llm.quality import judge
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return judge(docs).where("kept").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier document has already."""
+    return dedup_lines(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, similarity 0.8 or more)."""
+    return drop_near_duplicates(docs, percent=80)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixed(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in training sequences."""
+    return pack(docs)
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near", near), ("mixing", mixing), ("packing", packing)]
+#: No SQL for run(): MinHash bands, pivotal draws and the tokenizer have no counterpart in it. tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
