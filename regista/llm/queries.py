@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from regista.llm import line_dedup, mixing, near_dedup, packing, quality
+from regista.llm import chat, fingerprints, line_dedup, mixing, near_dedup, packing, quality, sharding, toxicity
 from regista.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,24 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_components(table(spark, sf_dir, "documents"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(table(spark, sf_dir, "documents"))
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
+def _spans(column: str) -> Column:
+    return F.array_join(F.transform(column, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",").alias(column)
+
+
+def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against the answer of its neighbour; spans as start-end,start-end."""
+    pairs = chat.format_preferences(*chat.contrasted(table(spark, sf_dir, "conversations")))
+    return pairs.select(F.col("pair_id").alias("conv_id"), "n_common", "prompt", "chosen", "rejected", _spans("chosen_spans"), _spans("rejected_spans"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,9 +49,56 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, "base_failed", "kept", "char_distance", "word_distance")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op5_near_dedup, op6_packing, op8_quality_rules, op10_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_sharding,
+        op3_fingerprints,
+        op4_preference_format,
+        op5_near_dedup,
+        op6_packing,
+        op8_quality_rules,
+        op9_toxicity,
+        op10_mixing,
+    )
+}
+
+#: The others have no SQL: MinHash bands, curve and rank tables, hashed features, pivotal draws and tokenizers have no counterpart in it, and tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op4_preference_format": """
+WITH last AS (
+  SELECT conv_id, arg_max(coalesce(text, ''), turn) AS text, max(turn) AS turn
+  FROM conversations WHERE role = 'assistant' GROUP BY conv_id
+), pairs AS (
+  SELECT a.conv_id, a.turn, a.text AS own, b.text AS other
+  FROM last a JOIN last b ON b.conv_id = xor(a.conv_id, 1)
+), before AS (
+  SELECT p.conv_id, count(c.turn) AS n,
+         coalesce(string_agg('<|' || coalesce(c.role, '') || '|>' || chr(10) || coalesce(c.text, '') || '<|end|>' || chr(10), '' ORDER BY c.turn), '') AS prompt
+  FROM pairs p LEFT JOIN conversations c ON c.conv_id = p.conv_id AND c.turn < p.turn
+  GROUP BY p.conv_id
+), rendered AS (
+  SELECT conv_id, own = other AS equal, own, other,
+         '<|assistant|>' || chr(10) || own || '<|end|>' || chr(10) AS a,
+         '<|assistant|>' || chr(10) || other || '<|end|>' || chr(10) AS b
+  FROM pairs
+)
+SELECT conv_id,
+       CAST(n + CASE WHEN equal THEN 1 ELSE 0 END AS INTEGER) AS n_common,
+       prompt || CASE WHEN equal THEN a ELSE '' END AS prompt,
+       CASE WHEN equal THEN '' ELSE a END AS chosen,
+       CASE WHEN equal THEN '' ELSE b END AS rejected,
+       CASE WHEN equal THEN '' ELSE '14-' || CAST(length(a) AS VARCHAR) END AS chosen_spans,
+       CASE WHEN equal THEN '' ELSE '14-' || CAST(length(b) AS VARCHAR) END AS rejected_spans
+FROM rendered JOIN before USING (conv_id)
+""",
+}
