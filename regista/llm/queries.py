@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regista.llm import chat, fingerprints, line_dedup, mixing, near_dedup, packing, quality, sharding, toxicity
+from regista.llm import chat, fingerprints, langid, line_dedup, mixing, near_dedup, packing, quality, sharding, toxicity
 from regista.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(table(spark, sf_dir, "documents"))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -66,6 +70,7 @@ QUERIES: dict[str, Query] = {
         op4_preference_format,
         op5_near_dedup,
         op6_packing,
+        op7_language_id,
         op8_quality_rules,
         op9_toxicity,
         op10_mixing,
