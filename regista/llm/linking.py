@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,54 +11,71 @@ from pyspark.sql import functions as F
 from regista.llm.common import materialise
 from regista.llm.components import components
 
+Test = Callable[[DataFrame], DataFrame]
 
-def alike(a: Column, b: Column, percent: int) -> Column:
-    """100 * |a and b| >= percent * |a or b| for two arrays without repeats."""
-    both = F.size(F.array_intersect(a, b)).cast("long")
-    return both * 100 >= (F.size(a) + F.size(b) - both) * percent
 
-
-def confirmed(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike. sets(ids) gives (id, items) for a table of ids."""
+def confirmed(pairs: DataFrame, members: Callable[[DataFrame], DataFrame], alike: Callable[[Column, Column], Column]) -> DataFrame:
+    """The pairs (a, b) for which alike(x, y) holds. members(ids) gives one row (id, items) for each of a table of ids."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    items = materialise(sets(ids))
+    found = members(ids)
     return (
-        pairs.join(items.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-        .join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-        .where(alike(F.col("x"), F.col("y"), percent))
+        pairs.join(found.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+        .join(found.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
+        .where(alike(F.col("x"), F.col("y")))
         .select("a", "b")
     )
 
 
-def linked(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """Components (id, component) of the confirmed links between nodes (id, n, keys).
+def agreeing(x: str, y: str, longs: int) -> Column:
+    """How many of the 16 * longs four-bit lanes of two sketches (arrays of so many longs) are equal."""
+
+    def one(k: int) -> Column:
+        v = F.get(F.col(x), F.lit(k)).bitwiseXOR(F.get(F.col(y), F.lit(k)))
+        v = v.bitwiseOR(F.shiftrightunsigned(v, 2))
+        v = v.bitwiseOR(F.shiftrightunsigned(v, 1))
+        return F.lit(16) - F.bit_count(v.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return reduce(lambda a, b: a + b, map(one, range(longs)))
+
+
+def linked(nodes: DataFrame, test: Test, percent: int, slots: int, longs: int, agree: int) -> DataFrame:
+    """Components (id, component) of the confirmed links between nodes (id, n, keys, blocks, sketch).
+
+    n is the size of a node's set; keys are its table keys: nodes that share
+    one are candidates. blocks are slots coarser keys: candidates share one of
+    those in the same slot. sketch holds four-bit lanes of MinHashes. test
+    gives the linked ones of a table of pairs (a, b).
 
-    n is the size of a node's set, keys the array of its table keys. Two nodes
-    are candidates if they share a key. First each node is held against the
-    smallest id under each of its keys, one pair for a node and key however
-    large the bucket. Then, in buckets whose members are still in different
-    components, the members outside the component of the smallest id are held
-    against all members of other components. A pair inside a component needs
-    no test, as it cannot change the components; no other candidate is left
-    out. Nodes without a link have no row in the result.
+    First each node is held against the smallest id under each of its keys:
+    one pair for a node and key, however large the bucket, so ids should put
+    central nodes first. Then, in blocks whose members are still in different
+    components, members of different components are held against each other if
+    their sizes allow a link and agree lanes of their sketches are equal; a
+    pair is made in the first block it shares only. Pairs inside a component
+    cannot change the components and are not tested. Nodes without a link have
+    no row in the result.
     """
-    keys = nodes.select("id", "n", F.explode("keys").alias("key"))
+    keys = nodes.select("id", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     stars = materialise(keys.join(shared, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    links = materialise(confirmed(stars, sets, percent))
+    links = materialise(test(stars))
     known = materialise(components(links))
 
-    placed = keys.join(known, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high and m > 2")
-    open_ = materialise(placed.join(mixed.select("key", "low"), "key"))
+    placed = nodes.select("id", F.posexplode("blocks").alias("slot", "block")).where("block is not null").join(known, "id", "left")
+    placed = placed.select("id", "slot", "block", F.coalesce("component", "id").alias("c"))
+    mixed = placed.groupBy("slot", "block").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high and m > 2")
+    rows = placed.join(mixed.select("slot", "block"), ["slot", "block"]).join(nodes.select("id", "n", "blocks", "sketch"), "id")
+    rows = materialise(rows)
+    same = [F.get(F.col("x.blocks"), F.lit(k)) == F.get(F.col("y.blocks"), F.lit(k)) for k in range(slots)]
+    first = F.coalesce(*[F.when(s, F.lit(k)) for k, s in enumerate(same)])
     fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    once = (F.col("y.c") == F.col("y.low")) | (F.col("x.id") < F.col("y.id"))
+    near = agreeing("x.sketch", "y.sketch", longs) >= agree
+    here = (F.col("x.slot") == F.col("y.slot")) & (F.col("x.block") == F.col("y.block"))
     rest = (
-        open_.where("c <> low").alias("x")
-        .join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & fits & once)
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        .distinct()
+        rows.alias("x")
+        .join(rows.alias("y"), here & (F.col("x.c") != F.col("y.c")) & (F.col("x.id") < F.col("y.id")) & fits & (first == F.col("x.slot")) & near)
+        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     )
     rest = materialise(rest.join(stars, ["a", "b"], "left_anti"))
-    more = materialise(confirmed(rest, sets, percent))
+    more = materialise(test(rest))
     return components(links.union(more)) if more.take(1) else known
