@@ -1,6 +1,6 @@
 import pytest
 
-from regista.plans import jobs, stats  # noqa: F401
+from regista.plans import jobs, records, stats  # noqa: F401
 from regista.plans.registry import ORACLE_SQL, QUERIES
 from tests.oracle import connect, rows
 
