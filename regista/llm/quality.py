@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from regista.llm.common import materialise, text_of, words
 
+#: What base_counts() adds.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 WINDOW = 5
 MIN_WORDS = 10
 #: A text fails if more than this percentage of its words lie in repeated windows.
@@ -14,21 +16,20 @@ MAX_REPEATED = 20
 #: Shorter texts are not held against a reference: code points for characters, letter runs for words.
 MIN_CHARS, MIN_TERMS = 200, 120
 #: Greatest Jensen-Shannon distance (base 2, 0 to 1) from the reference of the language.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.3
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.28
 #: A language needs this share of the documents that are long enough to get a reference of its own, so that there are 1000 at most; others share one.
 MIN_SHARE = 0.001
 
-#: Character classes, as Java patterns; all other characters form one more class.
-CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Lo}\p{Lt}\p{Lm}\p{M}", r"\p{Nd}", r"\x20\x09-\x0D", r".,;:!?'\"()\-", r"#*$%&|<>")
+#: Character classes, as Java patterns; odd characters, which are in none of KNOWN, and the rest, mostly lower-case letters, form two more.
+CLASSES = (r"\x20\x09-\x0D", r"\p{Lu}", r"\p{Lo}\p{Lt}\p{Lm}\p{M}", r"\p{Nd}", r".,;:!?'\"()\-", r"#*$%&|<>")
+KNOWN = r"\p{L}\p{M}\p{Nd}\x20\x09-\x0D.,;:!?'\"()\-#*$%&|<>"
 #: Common words of a few languages: fixed values, public knowledge.
 COMMON = (
-    "a", "and", "as", "at", "be", "by", "for", "from", "he", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with",
-    "au", "avec", "dans", "de", "des", "du", "elle", "en", "et", "il", "la", "le", "les", "par", "pas", "pour", "que", "qui", "sur", "un", "une",
-    "aber", "auf", "das", "dem", "den", "der", "die", "ein", "eine", "ist", "mit", "nicht", "sie", "sich", "und", "von", "zu",
-    "al", "como", "con", "del", "el", "las", "los", "lo", "más", "no", "para", "por", "se", "su", "una", "y",
-    "da", "do", "e", "o", "os", "não", "uma", "em", "com", "che", "di", "per", "il", "sono", "het", "een", "van",
+    "the", "of", "and", "to", "a", "in", "is", "it", "that", "was", "for", "on", "with", "as", "be",
+    "de", "la", "le", "et", "les", "des", "en", "un", "que", "qui", "pour",
+    "der", "die", "und", "das", "von", "zu", "den", "ist", "mit",
+    "el", "los", "y", "se", "por", "del", "con", "o", "e", "do",
 )
-COMMON = tuple(dict.fromkeys(COMMON))
 
 
 def _repeated(docs: DataFrame) -> DataFrame:
@@ -69,18 +70,16 @@ def base_counts(docs: DataFrame) -> DataFrame:
 def histograms(docs: DataFrame) -> DataFrame:
     """Adds _chars and _terms: counts by character class and by common word, the rest last; null for texts too short to compare."""
     text = text_of()
-    counts = [F.length(F.regexp_replace(text, f"[^{c}]+", "")) for c in CLASSES]
-    found = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
-    docs = docs.withColumn("_counts", F.array(*counts)).withColumn("_all", found)
-    docs = docs.withColumn("_hits", F.filter("_all", lambda w: w.isin(*COMMON))).withColumn("_n", F.size("_all")).drop("_all")
+    counts = [F.length(F.regexp_replace(text, f"[^{c}]+", "")) for c in CLASSES] + [F.length(F.regexp_replace(text, f"[{KNOWN}]+", ""))]
+    found = F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), "")
+    docs = docs.withColumn("_counts", F.array(*counts)).withColumn("_all", found).withColumn("_n", F.size("_all")).withColumn("_hits", F.filter("_all", lambda w: w.isin(*COMMON)))
     each = [F.size("_hits") - F.size(F.array_remove("_hits", w)) for w in COMMON]
-    rest = F.length(text) - F.aggregate("_counts", F.lit(0), lambda a, x: a + x)
     return docs.withColumns(
         {
-            "_chars": F.when(F.length(text) >= MIN_CHARS, F.concat("_counts", F.array(rest))),
+            "_chars": F.when(F.length(text) >= MIN_CHARS, F.concat("_counts", F.array(F.length(text) - F.aggregate("_counts", F.lit(0), lambda a, x: a + x)))),
             "_terms": F.when(F.col("_n") >= MIN_TERMS, F.array(*each, F.col("_n") - F.size("_hits"))),
         }
-    ).drop("_counts", "_hits", "_n")
+    ).drop("_counts", "_hits", "_n", "_all")
 
 
 def _shares(counts: Column) -> Column:
@@ -99,11 +98,10 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.when(total < 0, F.lit(0.0)).otherwise(total))
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """Mean histograms (lang, ref_chars, ref_terms) over all documents that are long enough, one row for each frequent language and one with lang null for all documents together."""
-    h = histograms(docs.select("lang", "text")).where("_chars is not null")
+def references(h: DataFrame) -> DataFrame:
+    """Mean histograms (lang, ref_chars, ref_terms) of the documents (lang, _chars, _terms) that are long enough, one row for each frequent language and one with lang null for all documents together."""
     h = h.select("lang", _shares(F.col("_chars")).alias("c"), _shares(F.col("_terms")).alias("t"))
-    width = {"c": len(CLASSES) + 1, "t": len(COMMON) + 1}
+    width = {"c": len(CLASSES) + 2, "t": len(COMMON) + 1}
     means = [F.avg(F.get(F.col(k), F.lit(i))).alias(f"{k}{i}") for k, n in width.items() for i in range(n)]
     sums = materialise(h.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count("t").alias("nt"), *means))
     total = sums.agg(F.sum("n")).first()[0] or 0
@@ -119,7 +117,7 @@ def references(docs: DataFrame) -> DataFrame:
     return packed(own.select("lang", *names)).unionByName(packed(everything.select("lang", *names)))
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Adds the counts of base_counts(), char_distance, word_distance and kept to docs (text, lang, ...).
 
     A text is held against the mean character-class and common-word histograms
@@ -131,12 +129,20 @@ def judge(docs: DataFrame) -> DataFrame:
     of a rare one, are held against the mean over all documents. A null text
     counts as ''. Rows are judged one by one, so repeated rows have equal
     results; added columns replace those of the same name, columns that start
-    with '_' are not allowed. An empty table stays empty.
+    with '_' are not allowed. An empty table stays empty. With columns, only
+    those and the added ones come back, and each text is read once; else a
+    first pass over the texts gives the references and a second the verdicts.
     """
-    refs = materialise(references(docs))  # 1001 rows at most
+    marked = histograms(base_counts(docs))
+    if columns is None:
+        long = histograms(docs.select("lang", "text").where(F.length("text") >= MIN_CHARS))
+    else:
+        marked = materialise(marked.select(*columns, F.col("lang").alias("_key"), *COUNTS, "_chars", "_terms"))
+        long = marked.where("_chars is not null").withColumn("lang", F.col("_key"))
+    refs = materialise(references(long))  # 1001 rows at most
     pooled = refs.where("lang is null").first()
     own = F.broadcast(refs.where("lang is not null").withColumnRenamed("lang", "_lang"))
-    marked = histograms(base_counts(docs)).join(own, F.col("lang") == F.col("_lang"), "left")
+    marked = marked.join(own, F.col("lang" if columns is None else "_key") == F.col("_lang"), "left")
 
     def far(counts: str, ref: str) -> Column:
         spare = F.array(*[F.lit(x) for x in pooled[ref]]) if pooled and pooled[ref] else F.lit(None).cast("array<double>")
@@ -148,4 +154,4 @@ def judge(docs: DataFrame) -> DataFrame:
     out = marked.withColumns({"char_distance": far("_chars", "ref_chars"), "word_distance": far("_terms", "ref_terms")})
     kept = ~F.col("base_failed") & within("char_distance", MAX_CHAR_DISTANCE) & within("word_distance", MAX_WORD_DISTANCE)
     out = out.withColumn("kept", kept)
-    return out.drop("_lang", "ref_chars", "ref_terms", "_chars", "_terms")
+    return out.drop("_lang", "_key", "ref_chars", "ref_terms", "_chars", "_terms")
