@@ -9,8 +9,8 @@ from regista.llm.common import materialise, text_of
 
 #: Terms are kept if log(documents / documents with the term) lies in this band.
 IDF_BAND = (2.3, 6.9)
-#: Lexicon subsets. Subset k holds a random share of 1 / 2 ** (k // 2) of the lexicon.
-SUBSETS = 16
+#: Lexicon subsets: the whole lexicon, three random subsets of three quarters of it, and four of each share 1 / 2 ** j. Large ones tell exact copies, small ones still agree after an edit.
+SUBSETS = 32
 #: The lexicon is broadcast up to so many terms (8 bytes each), and joined by a shuffle beyond.
 BROADCAST_TERMS = 1_000_000
 #: Ranges in which neighbours are looked up; a range holds about the same number of rows.
@@ -36,21 +36,25 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
 
 
 def subset_hashes(kept: Column) -> Column:
-    """One hash for each lexicon subset, of the sorted distinct term hashes that lie in it; NOTHING if none does."""
+    """One hash for each lexicon subset, of the sorted distinct term hashes that lie in it; null if none does."""
 
     def one(k: int) -> Column:
-        if k < 2:
-            inside = F.filter(kept, lambda t: F.lit(True)) if k == 0 else F.filter(kept, lambda t: F.xxhash64(t, F.lit(1)).bitwiseAND(F.lit(3)) != 0)
-        else:
-            inside = F.filter(kept, lambda t: F.xxhash64(t, F.lit(k)).bitwiseAND(F.lit((1 << (k // 2)) - 1)) == 0)
-        return F.when(F.size(inside) > 0, F.lpad(F.lower(F.hex(F.xxhash64(inside))), 16, "0")).otherwise(F.lit(NOTHING))
+        mask = 0 if k == 0 else 3 if k < 4 else (1 << (k // 4)) - 1
+        hit = lambda t: F.xxhash64(t, F.lit(k)).bitwiseAND(F.lit(mask))
+        inside = kept if k == 0 else F.filter(kept, (lambda t: hit(t) != 0) if k < 4 else (lambda t: hit(t) == 0))
+        return F.when(F.size(inside) > 0, F.xxhash64(inside))
 
     return F.array(*map(one, range(SUBSETS)))
 
 
+def printed(hashes: Column) -> Column:
+    """Subset hashes as text, NOTHING for a null."""
+    return F.array_join(F.transform(hashes, lambda h: F.coalesce(F.lpad(F.lower(F.hex(h)), 16, "0"), F.lit(NOTHING))), "")
+
+
 def likeness(a: Column, b: Column) -> Column:
     """The share of the subsets with terms in a or b on which a and b agree; 1 if neither has any."""
-    pairs = F.zip_with(a, b, lambda x, y: F.when((x == y) & (x != NOTHING), 2).when((x == NOTHING) & (y == NOTHING), 0).otherwise(1))
+    pairs = F.zip_with(a, b, lambda x, y: F.when(x == y, 2).when(x.isNull() & y.isNull(), 0).otherwise(1))
     used = F.size(F.filter(pairs, lambda x: x > 0))
     return F.when(used == 0, F.lit(1.0)).otherwise(F.size(F.filter(pairs, lambda x: x == 2)) / used)
 
@@ -71,7 +75,7 @@ def fingerprint(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFr
     lex = _lexicon_of(docs, band)
     kept = _collected(docs.select(F.xxhash64(text_of()).alias("_key"), text_of().alias("text")).dropDuplicates(["_key"]), lex, ["_key"])
     out = docs.withColumn("_key", F.xxhash64(text_of())).join(kept, "_key", "left")
-    return out.withColumn("fingerprint", F.array_join(subset_hashes(F.coalesce("kept", F.array().cast("array<bigint>"))), "")).drop("_key", "kept")
+    return out.withColumn("fingerprint", printed(subset_hashes(F.coalesce("kept", F.array().cast("array<bigint>"))))).drop("_key", "kept")
 
 
 def compared(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
@@ -81,7 +85,7 @@ def compared(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame
     near_edited, near_next. The edited text has the last floor(n_chars / 2)
     code points replaced by the first as many of the next document in order of
     (doc_id, text), after the last the first. A fingerprint joins the hashes
-    of 16 lexicon subsets. The lexicon holds the terms whose inverse document
+    of 32 lexicon subsets. The lexicon holds the terms whose inverse document
     frequency, over all documents, lies in the band. A null text counts as '';
     null ids come last; equal texts have equal fingerprints, texts without
     terms in the band that of ''. One document is its own next. An empty table
@@ -119,14 +123,15 @@ def compared(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame
 
     both = placed.select("part", "at", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("v"))
     kept = _collected(both.select("part", "at", "v.which", "v.text"), lex, ["part", "at", "which"])
-    kept = kept.groupBy("part", "at").agg(*[F.first(F.when(F.col("which") == w, F.col("kept")), ignorenulls=True).alias(f"k{w}") for w in (0, 1)])
-    none = F.array().cast("array<bigint>")
+    kept = kept.select("part", "at", "which", subset_hashes(F.col("kept")).alias("hashes"))
+    kept = kept.groupBy("part", "at").agg(*[F.first(F.when(F.col("which") == w, F.col("hashes")), ignorenulls=True).alias(name) for w, name in ((0, "f"), (1, "e"))])
+    none = F.array_repeat(F.lit(None).cast("bigint"), SUBSETS)
     told = placed.select("part", "at", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     told = told.join(kept, ["part", "at"], "left").join(F.broadcast(sizes.select("part", "start")), "part")
     told = materialise(
         told.select(
             (F.col("start") + F.col("at") - 1).alias("rank"), "doc_id", "n_chars", "edited_sha256",
-            subset_hashes(F.coalesce("k0", none)).alias("f"), subset_hashes(F.coalesce("k1", none)).alias("e"),
+            F.coalesce("f", none).alias("f"), F.coalesce("e", none).alias("e"),
         )
     )
     after = told.select(F.pmod(F.col("rank") - 1, F.lit(max(1, n))).alias("rank"), F.col("f").alias("g"))
@@ -134,8 +139,8 @@ def compared(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame
         "doc_id",
         "n_chars",
         "edited_sha256",
-        F.array_join("f", "").alias("fingerprint"),
-        F.array_join("e", "").alias("edited_fingerprint"),
+        printed(F.col("f")).alias("fingerprint"),
+        printed(F.col("e")).alias("edited_fingerprint"),
         likeness(F.col("f"), F.col("e")).alias("near_edited"),
         likeness(F.col("f"), F.col("g")).alias("near_next"),
     )
