@@ -23,8 +23,8 @@ CAPACITY = 4096
 END = 2
 #: Sequences that one block of pieces should fill; a block is packed in one task.
 WINDOWS = 128
-#: Words whose ids a task keeps at hand; further words are encoded anew.
-CACHE = 200_000
+#: Words, and as many runs of letters, whose ids a task keeps at hand before the older half makes room.
+CACHE = 300_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -34,32 +34,81 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class Recent(dict):
+    """A table of bounded size; when it is full, entries not used since it last was go."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.old: dict = {}
+
+    def make_room(self, n: int) -> None:
+        if len(self) + n > CACHE:
+            self.old = dict(self)
+            self.clear()
+
+    def missing(self, keys: list[str]) -> list[str]:
+        """The keys that must be found anew."""
+        out = []
+        for k in keys:
+            if k not in self:
+                if k in self.old:
+                    self[k] = self.old[k]
+                else:
+                    out.append(k)
+        return out
+
+
 class Ids:
     """The ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer splits at white space before it merges, so a text's ids are
-    its words' ids in turn; the ids of frequent words are kept.
+    The tokenizer splits at white space and between letters and other signs
+    before it merges, and folds case, so a text's ids are its words' ids in
+    turn, and a plain word's are those of its letters and of the stops after
+    them. Ids of recent words are kept; the letters of new ones are encoded in
+    one call, each run a word of its own.
     """
 
     cut = re.compile(r"[ \t\n\r]+")
+    plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.words, self.letters, self.stops = Tokenizer.from_file(path), Recent(), Recent(), {}
+
+    def encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn_letters(self, runs: list[str]) -> None:
+        for k in range(0, len(runs), 2048):
+            part = runs[k : k + 2048]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, starts = np.array(e.ids, dtype="<u4").tobytes(), np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1)) * 4
+            for w, i, j in zip(part, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                self.letters[w] = ids[i:j]
 
     def __call__(self, text: str) -> bytes:
-        split, known = self.cut.split(text), self.known
-        new = [w for w in dict.fromkeys(split) if w not in known]
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(dict.fromkeys(split))
-            for k in range(0, len(new), 4096):
-                part = new[k : k + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, split))
+        split = self.cut.split(text)
+        distinct = list(dict.fromkeys(split))
+        self.words.make_room(len(distinct))
+        if new := self.words.missing(distinct):
+            plain, other = {}, []
+            for w in new:
+                if m := self.plain.fullmatch(w):
+                    plain[w] = (m[1].lower(), m[2])
+                else:
+                    other.append(w)
+            self.letters.make_room(len(plain))
+            self.learn_letters(self.letters.missing(list(dict.fromkeys(x for x, _ in plain.values()))))
+            for w, (run, stop) in plain.items():
+                if stop not in self.stops:
+                    if len(self.stops) > 10_000:
+                        self.stops.clear()
+                    self.stops[stop] = self.encoded(stop)
+                self.words[w] = self.letters[run] + self.stops[stop]
+            for w in other:
+                self.words[w] = self.encoded(w)
+        return b"".join(map(self.words.__getitem__, split))
 
 
 def cut_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
