@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regista.llm.common import materialise
@@ -38,26 +38,48 @@ def agreeing(x: str, y: str, longs: int) -> Column:
     return reduce(lambda a, b: a + b, map(one, range(longs)))
 
 
-def linked(nodes: DataFrame, test: Test, percent: int, slots: int, longs: int, agree: int) -> DataFrame:
-    """Components (id, component) of the confirmed links between nodes (id, n, keys, blocks, sketch).
+def star_pairs(keys: DataFrame) -> DataFrame:
+    """(a, b): each node of keys (id, key) with the smallest id under each of its keys, one pair for a node and key however large the bucket. Minima are taken before the shuffle, and the join can be split."""
+    shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    return keys.join(shared, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+
+
+def ordered_star_pairs(keys: DataFrame) -> DataFrame:
+    """As star_pairs(), with one shuffle of the keys instead of two: a bucket streams through one task, two numbers a row, and none is held in memory."""
+    first = F.first("id").over(Window.partitionBy("key").orderBy("id"))
+    return keys.withColumn("a", first).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+
+
+#: Up to so many ids (8 bytes each) are broadcast to filter rows; more of them are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
-    n is the size of a node's set; keys are its table keys: nodes that share
-    one are candidates. blocks are slots coarser keys: candidates share one of
-    those in the same slot. sketch holds four-bit lanes of MinHashes. test
-    gives the linked ones of a table of pairs (a, b).
 
-    First each node is held against the smallest id under each of its keys:
-    one pair for a node and key, however large the bucket, so ids should put
-    central nodes first. Then, in blocks whose members are still in different
-    components, members of different components are held against each other if
-    their sizes allow a link and agree lanes of their sketches are equal; a
-    pair is made in the first block it shares only. Pairs inside a component
-    cannot change the components and are not tested. Nodes without a link have
-    no row in the result.
+def among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose column is one of the distinct ids, a table of one column, nulls included."""
+    name = ids.columns[0]
+    ids = ids.withColumnRenamed(name, "_among")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return rows.join(ids, F.col(column).eqNullSafe(F.col("_among")), "left_semi")
+
+
+def linked(stars: DataFrame, nodes: DataFrame, test: Test, percent: int, slots: int, longs: int, agree: int) -> DataFrame:
+    """Components (id, component) of the confirmed links between nodes (id, n, blocks, sketch).
+
+    stars are the pairs that star_pairs() makes of the nodes' table keys: nodes
+    that share a key are candidates, and those that share none need not be
+    among the nodes. n is the size of a node's set. blocks are slots coarser
+    keys: candidates share one of those in the same slot. sketch holds four-bit
+    lanes of MinHashes. test gives the linked ones of a table of pairs (a, b).
+
+    First the stars are tested; ids should put central nodes first, which then
+    are the hubs of their buckets. Then, in blocks whose members are still in
+    different components, members of different components are held against
+    each other if their sizes allow a link and agree lanes of their sketches
+    are equal; a pair is made in the first block it shares only. Pairs inside
+    a component cannot change the components and are not tested. Nodes without
+    a link have no row in the result.
     """
-    keys = nodes.select("id", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    stars = materialise(keys.join(shared, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct())
     links = materialise(test(stars))
     known = materialise(components(links))
 
