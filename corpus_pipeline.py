@@ -8,12 +8,12 @@ from regista.llm.line_dedup import dedup_lines
 from regista.llm.mixing import mixed
 from regista.llm.near_dedup import drop_near_duplicates
 from regista.llm.packing import pack
-from regista.llm.quality import judge
+from regista.llm.quality import accepted
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return judge(docs).where("kept").select(*docs.columns)
+    return accepted(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regista.llm.common import materialise, text_of, words
+from regista.llm.linking import BROADCAST_IDS
 
 #: What base_counts() adds.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -155,3 +156,18 @@ def judge(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     kept = ~F.col("base_failed") & within("char_distance", MAX_CHAR_DISTANCE) & within("word_distance", MAX_WORD_DISTANCE)
     out = out.withColumn("kept", kept)
     return out.drop("_lang", "_key", "ref_chars", "ref_terms", "_chars", "_terms")
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of docs that judge() keeps, with their columns as they are.
+
+    Verdicts are made once, on narrow rows, and cut from their lineage; the
+    rejected rows, named by a hash of their columns, are then taken out. Rows
+    that repeat another share its verdict.
+    """
+    row = F.xxhash64("doc_id", "lang", "text")
+    verdicts = materialise(judge(docs.withColumn("_row", row), ["_row"]).select("_row", "kept"))
+    rejected = verdicts.where("not kept").select("_row").distinct()
+    if rejected.count() <= BROADCAST_IDS:
+        rejected = F.broadcast(rejected)
+    return docs.withColumn("_row", row).join(rejected, "_row", "left_anti").select(*docs.columns)
