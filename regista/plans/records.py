@@ -9,7 +9,9 @@ from regista.operators import family, ingest, repair, search, statistics
 from regista.plans.registry import Tables, query
 from regista.sources import export, pages
 
-NO_TEXT = F.lit(None).cast("string")
+
+def no_text():
+    return F.lit(None).cast("string")
 
 
 def struct_of(schema: str, **values):
@@ -20,7 +22,7 @@ def struct_of(schema: str, **values):
 
 def page(**arrays):
     """Columns of a page document with the given entries."""
-    cols = {"record_type": NO_TEXT, "raw_text": NO_TEXT, "transcription": NO_TEXT, "parsed_ok": F.lit(True)}
+    cols = {"record_type": no_text(), "raw_text": no_text(), "transcription": no_text(), "parsed_ok": F.lit(True)}
     for name, schema in (("deceased", pages.DEATH), ("baptized", pages.BAPTISM), ("persons", pages.MARRIAGE)):
         cols[name] = F.lit(None).cast(f"array<{schema}>")
     return [c.alias(k) for k, c in (cols | arrays).items()]
@@ -66,7 +68,7 @@ SELECT a.id, min(b.id) AS other FROM p a JOIN p b ON contains(b.nome, a.w) AND a
 """)
 def parent_links(spark, sf_dir):
     """The lowest id whose given name contains the first name of the father."""
-    people = Tables(spark, sf_dir).part.where("p_size < 5").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("nome"), F.concat(F.element_at(F.split("p_name", " "), -1), F.lit(" Velho")).alias("pai"), NO_TEXT.alias("mae"))
+    people = Tables(spark, sf_dir).part.where("p_size < 5").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("nome"), F.concat(F.element_at(F.split("p_name", " "), -1), F.lit(" Velho")).alias("pai"), no_text().alias("mae"))
     return family.relatives(people).where("role = 'father'").select("id", "other")
 
 

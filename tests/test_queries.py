@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from regista.plans import jobs, records, stats  # noqa: F401
@@ -28,3 +32,8 @@ def test_entry_point(spark):
     assert set(QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_import_needs_no_session():
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries()"], cwd=Path(__file__).parents[1], capture_output=True, text=True)
+    assert run.returncode == 0, run.stderr
