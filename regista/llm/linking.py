@@ -63,7 +63,7 @@ def among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return rows.join(ids, F.col(column).eqNullSafe(F.col("_among")), "left_semi")
 
 
-def linked(stars: DataFrame, nodes: DataFrame, test: Test, percent: int, slots: int, longs: int, agree: int) -> DataFrame:
+def linked(stars: DataFrame, nodes: DataFrame, test: Test, percent: int, slots: int, longs: int, agree: tuple[int, ...]) -> DataFrame:
     """Components (id, component) of the confirmed links between nodes (id, n, blocks, sketch).
 
     stars are the pairs that star_pairs() makes of the nodes' table keys: nodes
@@ -75,29 +75,36 @@ def linked(stars: DataFrame, nodes: DataFrame, test: Test, percent: int, slots:
     First the stars are tested; ids should put central nodes first, which then
     are the hubs of their buckets. Then, in blocks whose members are still in
     different components, members of different components are held against
-    each other if their sizes allow a link and agree lanes of their sketches
-    are equal; a pair is made in the first block it shares only. Pairs inside
-    a component cannot change the components and are not tested. Nodes without
-    a link have no row in the result.
+    each other if their sizes allow a link and enough lanes of their sketches
+    are equal; a pair is made in the first block it shares only. agree has the
+    lanes of each pass over the blocks, falling: the likely pairs of a pass
+    join components, so that later, wider passes make fewer pairs. Pairs
+    inside a component cannot change the components and are not tested. Nodes
+    without a link have no row in the result.
     """
     links = materialise(test(stars))
     known = materialise(components(links))
-
-    placed = nodes.select("id", F.posexplode("blocks").alias("slot", "block")).where("block is not null").join(known, "id", "left")
-    placed = placed.select("id", "slot", "block", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("slot", "block").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high and m > 2")
-    rows = placed.join(mixed.select("slot", "block"), ["slot", "block"]).join(nodes.select("id", "n", "blocks", "sketch"), "id")
-    rows = materialise(rows)
     same = [F.get(F.col("x.blocks"), F.lit(k)) == F.get(F.col("y.blocks"), F.lit(k)) for k in range(slots)]
     first = F.coalesce(*[F.when(s, F.lit(k)) for k, s in enumerate(same)])
     fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    near = agreeing("x.sketch", "y.sketch", longs) >= agree
     here = (F.col("x.slot") == F.col("y.slot")) & (F.col("x.block") == F.col("y.block"))
-    rest = (
-        rows.alias("x")
-        .join(rows.alias("y"), here & (F.col("x.c") != F.col("y.c")) & (F.col("x.id") < F.col("y.id")) & fits & (first == F.col("x.slot")) & near)
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    )
-    rest = materialise(rest.join(stars, ["a", "b"], "left_anti"))
-    more = materialise(test(rest))
-    return components(links.union(more)) if more.take(1) else known
+    tested = stars
+    for lanes in agree:
+        placed = nodes.select("id", F.posexplode("blocks").alias("slot", "block")).where("block is not null").join(known, "id", "left")
+        placed = placed.select("id", "slot", "block", F.coalesce("component", "id").alias("c"))
+        mixed = placed.groupBy("slot", "block").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high and m > 2")
+        rows = placed.join(mixed.select("slot", "block"), ["slot", "block"]).join(nodes.select("id", "n", "blocks", "sketch"), "id")
+        rows = materialise(rows)
+        near = agreeing("x.sketch", "y.sketch", longs) >= lanes
+        rest = (
+            rows.alias("x")
+            .join(rows.alias("y"), here & (F.col("x.c") != F.col("y.c")) & (F.col("x.id") < F.col("y.id")) & fits & (first == F.col("x.slot")) & near)
+            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        )
+        rest = materialise(rest.join(tested, ["a", "b"], "left_anti"))
+        more = materialise(test(rest))
+        tested = tested.union(rest)
+        if more.take(1):
+            links = links.union(more)
+            known = materialise(components(links))
+    return known
