@@ -28,6 +28,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, so that no name among them can clash with those that an operator adds."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in docs.columns])
+
+
+def unpacked(rows: DataFrame, columns: list[str], name: str, **new: Column) -> DataFrame:
+    """The columns that whole() has put into the column name, in their order, but new ones in place of those of the same name."""
+    return rows.select(*[new.get(c, F.col(name).getField(c)).alias(c) for c in columns])
+
+
 def text_of(column: str = "text") -> Column:
     """The text, '' where it is null."""
     return F.coalesce(F.col(column), F.lit(""))

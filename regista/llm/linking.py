@@ -3,51 +3,55 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regista.llm.common import materialise
+from regista.llm.common import materialise, with_rank
 from regista.llm.components import components
 
 Test = Callable[[DataFrame], DataFrame]
 
+#: Members of a block that one row of an array holds; more of them make more rows, which a join can deal out.
+CHUNK = 256
+#: Members of a chunk that are tested against a node in the first turn, the likeliest ones; each turn goes four times as far.
+LIKELY = 6
+#: A pair is not likely if so many standard deviations more of its lanes differ than of pairs at the threshold on average.
+SPREAD = 4
+#: Lanes of a sketch, one bit each, and longs that hold them.
+LANES = 256
+WORDS = LANES // 64
 
-def confirmed(pairs: DataFrame, members: Callable[[DataFrame], DataFrame], alike: Callable[[Column, Column], Column]) -> DataFrame:
-    """The pairs (a, b) for which alike(x, y) holds. members(ids) gives one row (id, items) for each of a table of ids."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    found = members(ids)
+
+def confirmed(pairs: DataFrame, items: DataFrame, alike: Callable[[Column, Column], Column]) -> DataFrame:
+    """The pairs (a, b) for which alike(x, y) holds. items has a row (id, items) for each id of pairs."""
     return (
-        pairs.join(found.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-        .join(found.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
+        pairs.join(items.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+        .join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
         .where(alike(F.col("x"), F.col("y")))
         .select("a", "b")
     )
 
 
-def agreeing(x: str, y: str, longs: int) -> Column:
-    """How many of the 16 * longs four-bit lanes of two sketches (arrays of so many longs) are equal."""
-
-    def one(k: int) -> Column:
-        v = F.get(F.col(x), F.lit(k)).bitwiseXOR(F.get(F.col(y), F.lit(k)))
-        v = v.bitwiseOR(F.shiftrightunsigned(v, 2))
-        v = v.bitwiseOR(F.shiftrightunsigned(v, 1))
-        return F.lit(16) - F.bit_count(v.bitwiseAND(F.lit(0x1111111111111111)))
-
-    return reduce(lambda a, b: a + b, map(one, range(longs)))
+def live(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What of nodes (id, keys) shares a key with another: members (key, node), and node, id.
 
-
-def star_pairs(keys: DataFrame) -> DataFrame:
-    """(a, b): each node of keys (id, key) with the smallest id under each of its keys, one pair for a node and key however large the bucket. Minima are taken before the shuffle, and the join can be split."""
-    shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    return keys.join(shared, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    Nodes are numbered from 0, those that share most first, so that the least
+    node of a key is the most central one. Counts are combined before they are
+    shuffled, and the joins are of plain rows, which can be split.
+    """
+    each = nodes.select("id", F.explode("keys").alias("key"))
+    shared = materialise(each.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    members = materialise(each.join(shared, "key"))
+    scores = members.groupBy("id").agg(F.sum("m").alias("score"))
+    ranked = with_rank(scores, F.col("score").desc(), F.col("id").asc(), name="node").select("id", "node")
+    return materialise(members.join(ranked, "id").select("key", "node")), materialise(ranked)
 
 
-def ordered_star_pairs(keys: DataFrame) -> DataFrame:
-    """As star_pairs(), with one shuffle of the keys instead of two: a bucket streams through one task, two numbers a row, and none is held in memory."""
-    first = F.first("id").over(Window.partitionBy("key").orderBy("id"))
-    return keys.withColumn("a", first).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+def star_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): each member (key, node) with the least node of each of its keys, one pair for a node and key however large the bucket. Minima are taken before the shuffle, and the join can be split."""
+    hubs = members.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    return members.join(hubs, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
 #: Up to so many ids (8 bytes each) are broadcast to filter rows; more of them are joined by a shuffle.
@@ -63,48 +67,87 @@ def among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return rows.join(ids, F.col(column).eqNullSafe(F.col("_among")), "left_semi")
 
 
-def linked(stars: DataFrame, nodes: DataFrame, test: Test, percent: int, slots: int, longs: int, agree: tuple[int, ...]) -> DataFrame:
-    """Components (id, component) of the confirmed links between nodes (id, n, blocks, sketch).
-
-    stars are the pairs that star_pairs() makes of the nodes' table keys: nodes
-    that share a key are candidates, and those that share none need not be
-    among the nodes. n is the size of a node's set. blocks are slots coarser
-    keys: candidates share one of those in the same slot. sketch holds four-bit
-    lanes of MinHashes. test gives the linked ones of a table of pairs (a, b).
-
-    First the stars are tested; ids should put central nodes first, which then
-    are the hubs of their buckets. Then, in blocks whose members are still in
-    different components, members of different components are held against
-    each other if their sizes allow a link and enough lanes of their sketches
-    are equal; a pair is made in the first block it shares only. agree has the
-    lanes of each pass over the blocks, falling: the likely pairs of a pass
-    join components, so that later, wider passes make fewer pairs. Pairs
-    inside a component cannot change the components and are not tested. Nodes
-    without a link have no row in the result.
+def bits_of(h: Column, lane: Column) -> list[Column]:
+    """What bit_or() over a set's lanes makes its sketch of, one column for each word: the last bit of each lane's least hash h. An empty lane has 0."""
+    put = F.call_function("shiftleft", h.bitwiseAND(F.lit(1)), lane.bitwiseAND(F.lit(63)).cast("int"))
+    return [F.when(F.shiftright(lane, 6) == w, put).otherwise(F.lit(0).cast("long")) for w in range(WORDS)]
+
+
+def most_unequal(used: Column, percent: int) -> Column:
+    """Lanes in which a pair that meets the threshold may differ, SPREAD standard deviations more than on average, if so many lanes are used. The last bits of unequal minimums differ in one of two."""
+    q = (1 - percent / 100) / 2
+    return (used * q + F.sqrt(used * q * (1 - q)) * SPREAD).cast("int")
+
+
+def _placed(members: DataFrame, known: DataFrame) -> DataFrame:
+    """The members of blocks with several components: key, node, c (its component), main (the block's largest), m (the block's size)."""
+    placed = materialise(members.join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")))
+    sizes = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
+    mixed = sizes.groupBy("key").agg(F.sum("k").alias("m"), F.count(F.lit(1)).alias("n"), F.max_by("c", F.struct("k", -F.col("c"))).alias("main")).where("n > 1 and m > 2").drop("n")
+    return materialise(placed.join(materialise(mixed), "key"))
+
+
+def _likely(placed: DataFrame, sketches: DataFrame, turn: int) -> DataFrame:
+    """key, node, best, more: for each node outside its block's main component and each chunk of the block the LIKELY members of other components, next in order after those of earlier turns, that are likeliest to be linked with it, and whether others are likely too."""
+    rows = placed.join(sketches, "node")
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / CHUNK))
+    words = [f"w{k}" for k in range(WORDS)]
+    chunks = rows.groupBy("key", chunk.alias("chunk")).agg(F.collect_list(F.struct("node", "c", "most", *words)).alias("others"))
+    outside = rows.where("open and c <> main").select("key", "node", "c", "most", *words)
+
+    def unequal(z: Column) -> Column:
+        return sum((F.bit_count(F.col(w).bitwiseXOR(z[w])) for w in words[1:]), F.bit_count(F.col(words[0]).bitwiseXOR(z[words[0]])))
+
+    told = F.transform(F.filter("others", lambda z: z["c"] != F.col("c")), lambda z: F.struct((unequal(z) - F.greatest("most", z["most"])).alias("over"), z["node"].alias("node")))
+    found = outside.join(chunks.select("key", "others"), "key").select("key", "node", F.array_sort(F.filter(told, lambda s: s["over"] <= 0)).alias("likely"))
+    past, upto = LIKELY * 4 ** (turn - 1) if turn else 0, LIKELY * 4**turn
+    return found.select("key", "node", F.slice("likely", past + 1, upto - past)["node"].alias("best"), (F.size("likely") > upto).alias("more"))
+
+
+def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """known (node, component) with the components joined that links (a, b) join."""
+    of = [known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+    named = links.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    roots = components(named).select(F.col("id").alias("root"), F.col("component").alias("to"))
+    moved = known.join(roots, F.col("component") == F.col("root"), "left").select("node", F.coalesce("to", "component").alias("component"))
+    new = roots.join(known, F.col("root") == F.col("node"), "left_anti").select(F.col("root").alias("node"), F.col("to").alias("component"))
+    return materialise(moved.union(new))
+
+
+def linked(stars: DataFrame, members: DataFrame, sketches: Callable[[DataFrame], DataFrame], test: Test, percent: int) -> DataFrame:
+    """Components (node, component) of the confirmed links between the nodes of members (key, node).
+
+    stars are the pairs that star_pairs() makes of the table keys: they are
+    tested first. Central nodes have small numbers and so are the hubs of
+    their buckets, to which most copies are linked directly. members are the
+    blocks for what is left; sketches gives (node, used, words), a bit of each
+    of LANES lanes of a one-permutation MinHash, for a table of nodes. test
+    gives the linked ones of a table of pairs (a, b).
+
+    A pair inside a component cannot change the components. So in each turn,
+    in each block that has several components, each node outside the block's
+    largest one is held against the members of the others by their sketches,
+    and the likeliest partners of each chunk of the block are tested, in the
+    next turn the next likely ones, until no likely one is left or a turn links
+    nothing. A block is joined with its chunks, so the rows that are made grow
+    with its nodes outside the main component times its chunks only; chunks
+    have about CHUNK members, and the rows of a hot block are dealt to many
+    tasks. Nodes without a link have no row in the result.
     """
     links = materialise(test(stars))
-    known = materialise(components(links))
-    same = [F.get(F.col("x.blocks"), F.lit(k)) == F.get(F.col("y.blocks"), F.lit(k)) for k in range(slots)]
-    first = F.coalesce(*[F.when(s, F.lit(k)) for k, s in enumerate(same)])
-    fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    here = (F.col("x.slot") == F.col("y.slot")) & (F.col("x.block") == F.col("y.block"))
-    tested = stars
-    for lanes in agree:
-        placed = nodes.select("id", F.posexplode("blocks").alias("slot", "block")).where("block is not null").join(known, "id", "left")
-        placed = placed.select("id", "slot", "block", F.coalesce("component", "id").alias("c"))
-        mixed = placed.groupBy("slot", "block").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high and m > 2")
-        rows = placed.join(mixed.select("slot", "block"), ["slot", "block"]).join(nodes.select("id", "n", "blocks", "sketch"), "id")
-        rows = materialise(rows)
-        near = agreeing("x.sketch", "y.sketch", longs) >= lanes
-        rest = (
-            rows.alias("x")
-            .join(rows.alias("y"), here & (F.col("x.c") != F.col("y.c")) & (F.col("x.id") < F.col("y.id")) & fits & (first == F.col("x.slot")) & near)
-            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        )
-        rest = materialise(rest.join(tested, ["a", "b"], "left_anti"))
-        more = materialise(test(rest))
-        tested = tested.union(rest)
-        if more.take(1):
-            links = links.union(more)
-            known = materialise(components(links))
-    return known
+    known = materialise(components(links).withColumnRenamed("id", "node"))
+    tested, turn = stars, 0
+    placed = _placed(members, known).withColumn("open", F.lit(True))
+    described = sketches(placed.select("node").distinct())
+    described = materialise(described.select("node", most_unequal(F.col("used"), percent).alias("most"), "words.*"))
+    while True:
+        found = materialise(_likely(placed, described, turn).where("size(best) > 0 or more"))
+        pairs = found.select("node", F.explode("best").alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+        pairs = materialise(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        more = materialise(test(pairs))
+        if not more.take(1):
+            return known
+        known, tested, turn = _merged(known, more), tested.union(pairs), turn + 1
+        open_ = materialise(found.where("more").select("key", "node").distinct().withColumn("open", F.lit(True)))
+        placed = _placed(members.join(open_.select("key").distinct(), "key", "left_semi"), known)
+        placed = placed.join(open_, ["key", "node"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
