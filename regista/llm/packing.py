@@ -11,11 +11,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regista.llm.common import materialise
-from regista.llm.hashing import pieces
+from regista.llm.common import materialise, with_rank
+from regista.llm.hashing import column_bytes
 
 #: Tokens of a sequence.
 CAPACITY = 4096
@@ -25,6 +26,8 @@ END = 2
 WINDOWS = 128
 #: Words, and as many runs of letters, whose ids a task keeps at hand before the older half makes room.
 CACHE = 300_000
+#: Bytes of text that a task encodes at a time.
+BATCH = 8 << 20
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -59,25 +62,29 @@ class Recent(dict):
 
 
 class Ids:
-    """The ids of whole texts as little-endian unsigned 32-bit bytes.
+    """The ids of whole texts.
 
     The tokenizer splits at white space and between letters and other signs
     before it merges, and folds case, so a text's ids are its words' ids in
     turn, and a plain word's are those of its letters and of the stops after
-    them. Ids of recent words are kept; the letters of new ones are encoded in
-    one call, each run a word of its own.
+    them. The texts of a batch are split and their distinct words numbered by
+    Arrow; ids of recent words are kept, the letters of new ones are encoded in
+    few calls, each run a word of its own, and NumPy puts the ids in a row.
     """
 
-    cut = re.compile(r"[ \t\n\r]+")
     plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.letters, self.stops = Tokenizer.from_file(path), Recent(), Recent(), {}
+        self.tokenizer, self.words, self.letters, self.stops = Tokenizer.from_file(path), Recent(), Recent(), Recent()
 
-    def encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def learn(self, known: Recent, new: list[str]) -> None:
+        """Encode new words of any kind."""
+        for k in range(0, len(new), 4096):
+            part = new[k : k + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def learn_letters(self, runs: list[str]) -> None:
         for k in range(0, len(runs), 2048):
@@ -87,28 +94,46 @@ class Ids:
             for w, i, j in zip(part, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 self.letters[w] = ids[i:j]
 
-    def __call__(self, text: str) -> bytes:
-        split = self.cut.split(text)
-        distinct = list(dict.fromkeys(split))
+    def of_words(self, distinct: list[str]) -> list[bytes]:
+        """The ids of each word, as little-endian unsigned 32-bit bytes."""
         self.words.make_room(len(distinct))
         if new := self.words.missing(distinct):
-            plain, other = {}, []
-            for w in new:
-                if m := self.plain.fullmatch(w):
-                    plain[w] = (m[1].lower(), m[2])
-                else:
-                    other.append(w)
-            self.letters.make_room(len(plain))
-            self.learn_letters(self.letters.missing(list(dict.fromkeys(x for x, _ in plain.values()))))
-            for w, (run, stop) in plain.items():
-                if stop not in self.stops:
-                    if len(self.stops) > 10_000:
-                        self.stops.clear()
-                    self.stops[stop] = self.encoded(stop)
+            matches = [self.plain.fullmatch(w) for w in new]
+            split = [(w, m[1].lower(), m[2]) for w, m in zip(new, matches, strict=True) if m]
+            for known, parts, learn in ((self.letters, 1, self.learn_letters), (self.stops, 2, lambda x: self.learn(self.stops, x))):
+                each = list(dict.fromkeys(x[parts] for x in split))
+                known.make_room(len(each))
+                learn(known.missing(each))
+            for w, run, stop in split:
                 self.words[w] = self.letters[run] + self.stops[stop]
-            for w in other:
-                self.words[w] = self.encoded(w)
-        return b"".join(map(self.words.__getitem__, split))
+            self.learn(self.words, [w for w, m in zip(new, matches, strict=True) if not m])
+        return [self.words[w] for w in distinct]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin, with the end of the last; a null text has none."""
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        found = self.of_words(coded.dictionary.to_pylist())
+        data = np.frombuffer(b"".join(found), dtype="<u4")
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        begins = np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        own = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        ids = data[np.repeat(begins[at] - ends[:-1], own) + np.arange(ends[-1])]
+        offsets = np.asarray(split.offsets)
+        return ids, ends[offsets - offsets[0]]
+
+
+def bounded(batches: Iterator[pa.RecordBatch], size: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """Smaller batches (doc_id, text), of about size bytes of text, or of one text where it is longer."""
+    for batch in batches:
+        _, offsets = column_bytes(batch.column(1))
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1)
+            yield batch.slice(first, last - first)
+            first = last
 
 
 def cut_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -120,13 +145,14 @@ def cut_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPA
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task for each core
-        ids = Ids(path)
-        last = np.array([end], dtype="<u4").tobytes()
-        for batch in pieces(batches, 2048):
+        ids_of = Ids(path)
+        last = np.array([end], dtype="<u4")
+        for batch in bounded(batches):
+            ids, starts = ids_of(batch.column(1))
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = ids(text or "") + last
-                total = len(data) // 4
+            for doc_id, low, high in zip(batch.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                data = np.append(ids[low:high], last).tobytes()
+                total = high - low + 1
                 for start in range(0, total, capacity):
                     part = data[4 * start : 4 * (start + capacity)]
                     rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), total))
@@ -199,13 +225,15 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     A document's ids are the tokenizer's, without special tokens, then end; a
-    null text has that id alone. Pieces are dealt by hash into blocks of about
+    null text has that id alone. Pieces are dealt evenly, in order of a hash, into blocks of about
     windows sequences; a block's pieces shorter than capacity go into near-equal
     windows by differencing(), full pieces are sequences of their own. A window
     holds its pieces in (doc_id, start) order, gapless from offset 0. Padding
     is what differencing leaves, and one window in a block at most. Rows that
-    repeat a doc_id, and null ids, are documents of their own. Other columns
-    are ignored; an empty table gives an empty table.
+    repeat a doc_id, and null ids, are documents of their own; however many rows
+    are equal, no block gets more than its share of them. Texts of any length
+    are read whole. Other columns are ignored; an empty table gives an empty
+    table.
     """
     cut = materialise(cut_documents(docs, path, capacity, end))
     total = cut.where(F.col("length") < capacity).agg(F.sum("length")).first()[0] or 0
@@ -219,6 +247,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
         block["offset"] = block.groupby("sequence_id")["length"].cumsum() - block["length"]
         return block.drop(columns="block")
 
+    # numbered along a hash of the row, so that equal rows are dealt to many blocks as well
     row = F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens")
-    dealt = cut.withColumn("block", F.pmod(row, F.lit(blocks)))
+    placed = cut.withColumns({"row": row, "nth": F.monotonically_increasing_id()})
+    dealt = with_rank(placed, F.col("row"), F.col("nth"), name="rank").withColumn("block", F.pmod("rank", F.lit(blocks))).drop("row", "nth", "rank")
     return dealt.groupBy("block").applyInPandas(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -62,8 +63,12 @@ def test_repeated_rows(spark, tokenizer):
 @given(st.lists(st.text(alphabet=st.characters(codec="utf-8"), max_size=30), max_size=8))
 def test_ids_of_any_text(tokenizer, texts):
     ids = packing.Ids(packing.tokenizer_path())
-    for t in [*texts, " ".join(texts), "\n".join(texts).upper()]:
-        assert ids(t) == ids_of(tokenizer, t)[:-1].tobytes()
+    texts = [*texts, None, " ".join(texts), "\n".join(texts).upper()]
+    for rows in (texts, texts[::-1], []):
+        got, starts = ids(pa.array(rows, pa.string()))
+        assert len(starts) == len(rows) + 1
+        for t, low, high in zip(rows, starts[:-1], starts[1:], strict=True):
+            assert got[low:high].tobytes() == ids_of(tokenizer, t)[:-1].tobytes()
 
 
 @settings(max_examples=200, deadline=None)
@@ -82,3 +87,16 @@ def test_differencing_is_near_equal():
     assert most == sums.max() and sums.sum() == lengths.sum()
     assert sums.max() - sums.min() < 0.03 * sums.mean()
     assert packing.differencing(np.array([8, 7, 6, 5, 4]), 2)[1] == 16  # the known example
+
+
+def test_equal_rows_are_dealt_to_all_blocks(spark):
+    df = spark.sql("SELECT cast(null AS long) AS doc_id, 'a b c' AS text FROM range(4000)")
+    got = packing.pack(df, capacity=40, windows=10).collect()
+    assert len(got) == 4000 and len({r["sequence_id"] for r in got}) == 400
+
+
+def test_batches_are_bounded():
+    texts = pa.array(["x" * 30, None, "y" * 500, "z" * 30, "z" * 30, ""])
+    batch = pa.record_batch({"doc_id": pa.array(range(6)), "text": texts})
+    got = list(packing.bounded([batch], 70))
+    assert [b.num_rows for b in got] == [2, 1, 3] and pa.Table.from_batches(got).to_pylist() == batch.to_pylist()
