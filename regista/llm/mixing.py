@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regista.llm.common import SPACES, materialise, text_of, uniform, with_rank
+from regista.llm.common import SPACES, materialise, text_of, uniform, unpacked, whole, with_rank
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -130,7 +130,9 @@ def _decided(rows: DataFrame) -> DataFrame:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", word_count(text_of()).alias("size"), F.xxhash64("doc_id", "source", "text").alias("row"))
+    """A narrow row for each of docs; the words of a text are counted once. row is a hash of all columns but the kind that can't be hashed."""
+    hashed = [F.col("`" + name.replace("`", "``") + "`") for name, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    return materialise(docs.select("doc_id", "source", word_count(text_of()).alias("size"), F.xxhash64(*hashed).alias("row")))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -143,19 +145,26 @@ def mix(docs: DataFrame) -> DataFrame:
     that what neighbours take differs by little from what they should. taken =
     size * copies. The result depends on the rows alone, not on their
     partitions. A null source is a source; sources without words take nothing;
-    rows that repeat another are rounded as rows of their own. An empty table
-    stays empty; other columns are ignored.
+    rows that repeat another are rounded as rows of their own. Texts of any
+    length are counted whole. An empty table stays empty; other columns only
+    break ties.
     """
     return _decided(_rows(docs)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs with each row repeated as often as mix() takes it, all columns as they were."""
-    cols = docs.columns
-    found = _decided(_rows(docs)).groupBy("row").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_n"))
-    found = materialise(found)
-    out = docs.withColumn("_row", F.xxhash64("doc_id", "source", "text"))
-    if found.where("_n > 1").take(1):  # rows that repeat another share its copies
-        out = out.dropDuplicates(["_row"])
-    out = out.join(found.where("_copies > 0").withColumnRenamed("row", "_row"), "_row")
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*cols)
+    """docs with each row repeated as often as mix() takes it, all columns as they were, whatever their names.
+
+    Rows equal in all columns are taken together as often as mix() takes them
+    all; unlike rows never stand for each other. An empty table stays empty.
+    """
+    rows = _rows(docs)
+    found = materialise(_decided(rows).groupBy("row").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 0"))
+    hashed = [F.col("`" + name.replace("`", "``") + "`") for name, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    out = docs.select(whole(docs).alias("doc"), F.xxhash64(*hashed).alias("row")).join(found, "row")
+    if found.where("n > 1").take(1):  # rows that repeat: the first ones take what does not divide
+        several = out.where("n > 1").withColumn("nth", F.row_number().over(Window.partitionBy("row").orderBy("row")))
+        share = F.floor(F.col("copies") / F.col("n")) + (F.col("nth") <= F.pmod("copies", "n")).cast("long")
+        out = out.where("n = 1").select("doc", "copies").union(several.select("doc", share.alias("copies")).where("copies > 0"))
+    repeated = out.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth"))
+    return unpacked(repeated, docs.columns, "doc")

@@ -3,7 +3,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from regista.llm.mixing import MOST, mix, mixed, targets
+from regista.llm.common import uniform
+from regista.llm.mixing import MOST, SEED, mix, mixed, rounded, targets
 from regista.llm.quality import judge
 from tests.llm.brute import WORD
 
@@ -86,5 +87,49 @@ def test_mix(spark, sf_dir):
 
 
 def test_copies_keep_all_columns(spark):
-    df = spark.createDataFrame([(1, "a b c", "s", 9), (2, "a b", "t", 8)], "doc_id long, text string, source string, rank int").withColumn("copies", F.lit("x"))
-    assert mixed(df).columns == df.columns
+    df = spark.createDataFrame([(1, "a b c", "s", 9), (2, "a b", "t", 8)], "doc_id long, text string, source string, rank int").withColumn("copies", F.lit("x")).withColumn("_copies", F.lit("y")).withColumn("doc", F.lit(1)).withColumn("row", F.lit(2))
+    assert mixed(df).columns == df.columns and mixed(df).count() > 0
+
+
+def test_unlike_rows_never_stand_for_each_other(spark):
+    rows = [(1, "a b", "s", "en"), (1, "a b", "s", "fr"), (1, "a b", "s", "fr"), (None, None, "s", None), (2, "c d e", "t", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    taken = collections.Counter()
+    for r in mix(df).collect():
+        taken[r["doc_id"], r["source"]] += r["copies"]
+    got = collections.Counter((r["doc_id"], r["source"]) for r in mixed(df).collect())
+    assert got == +taken
+    assert {r["lang"] for r in mixed(df).where("doc_id = 1").collect()} == {"en", "fr"}
+
+
+def test_rounding_keeps_sums_and_expectations(spark):
+    """Each block's sum stays but for the last draw, and each fraction is 0 or 1."""
+    df = spark.range(3000).selectExpr("case when id % 3 = 0 then 'a' else 'b' end as source", "id as rank", "case when id % 3 = 0 then 0.25D else 0.7D end as p")
+    got = {r["rank"]: r["extra"] for r in rounded(df).collect()}
+    assert sorted(got) == list(range(3000)) and set(got.values()) == {0, 1}
+    assert abs(sum(v for k, v in got.items() if k % 3 == 0) - 250) < 1 + 1e-9 and abs(sum(v for k, v in got.items() if k % 3) - 1400) < 1 + 1e-9
+
+
+def steps(items):
+    """Pivotal rounding of (p, draw, key) in order, one at a time."""
+    held, out = items[0], {}
+    for item in items[1:]:
+        (a, _, x), (b, u, y) = held, item
+        if a < 1e-12 or a > 1 - 1e-12:
+            out[x], held = round(a), item
+        elif a + b < 1:
+            out[x if u * (a + b) < b else y] = 0
+            held = (a + b, u, y if u * (a + b) < b else x)
+        else:
+            first = u * (2 - a - b) < 1 - a
+            out[y if first else x] = 1
+            held = (a + b - 1, u, x if first else y)
+    return out, held
+
+
+def test_one_block_is_rounded_step_by_step(spark):
+    df = spark.range(200).selectExpr("'a' as source", "id as rank", "0.1D + (id % 8) / 10D as p")
+    draws = df.select("rank", "p", uniform(F.lit(SEED), F.lit(0), F.col("rank")).alias("u")).orderBy("rank").collect()
+    expected, held = steps([(r["p"], r["u"], r["rank"]) for r in draws])
+    got = {r["rank"]: r["extra"] for r in rounded(df).collect()}
+    assert {k: got[k] for k in expected} == expected and set(got) - set(expected) == {held[2]}
