@@ -89,6 +89,12 @@ def phonetic_code(word: Column) -> Column:
     return F.when(text == "", F.lit("0000")).otherwise(F.substring(F.concat(F.substring(text, 1, 1), tail, F.lit("000")), 1, 4))
 
 
+def phonetic_pairs(words: DataFrame) -> DataFrame:
+    """(first, second, code): the pairs of distinct words (word) with the same phonetic code, the lesser first; words without a letter have none."""
+    coded = words.where(F.regexp_replace(without_accents(F.col("word")), "[^A-Za-z]", "") != "").select("word", phonetic_code(F.col("word")).alias("code"))
+    return coded.withColumnRenamed("word", "first").join(coded.withColumnRenamed("word", "second"), "code").where("first < second").select("first", "second", "code")
+
+
 def variant_table(clusters: DataFrame) -> DataFrame:
     """(norm, variant) from spelling clusters (cluster, name): each key with every spelling of its clusters. A key may lie in several clusters."""
     keyed = clusters.select("cluster", "name", token_key(F.col("name")).alias("norm"))

@@ -17,16 +17,25 @@ def trigrams(text: Column) -> Column:
 def containing(needles: DataFrame, texts: DataFrame, most: int | None = None) -> DataFrame:
     """(needle_id, text_id) where text contains needle, for needles (needle_id, needle) of three letters or more and texts (text_id, text), never the same id.
 
-    The needle's first trigram meets the texts' trigrams in an equi join, so
-    nothing is lost; contains() decides. With most, the lowest text ids of each needle.
+    The needle's rarest trigram meets the texts' trigrams in an equi join, so
+    nothing is lost and few pairs are tried; contains() decides. Equal needles
+    and equal texts are tried once. With most, the lowest text ids of each needle.
     """
-    n = needles.where(F.length("needle") >= 3).select("needle_id", "needle", F.substring("needle", 1, 3).alias("gram"))
-    t = texts.select("text_id", "text", F.explode(trigrams(F.col("text"))).alias("gram"))
-    found = n.join(t, "gram").where(F.contains(F.col("text"), F.col("needle")) & (F.col("needle_id") != F.col("text_id"))).select("needle_id", "text_id")
+    words = needles.where(F.length("needle") >= 3).select("needle").distinct()
+    t = texts.where("text is not null").select("text").distinct().select("text", F.explode(trigrams(F.col("text"))).alias("gram"))
+    counts = t.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    n = words.select("needle", F.explode(trigrams(F.col("needle"))).alias("gram")).join(counts, "gram", "left")
+    # a trigram that no text has is the rarest: the needle then meets none
+    rarest = n.groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    pairs = rarest.join(t, "gram").where(F.contains("text", F.col("needle"))).select("needle", "text")
+    own = F.col("needle_id") != F.col("text_id")
     if most is None:
-        return found
-    w = Window.partitionBy("needle_id").orderBy("text_id")
-    return found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+        return needles.join(pairs, "needle").join(texts.select("text_id", "text"), "text").where(own).select("needle_id", "text_id")
+    # equal needles share their lowest texts, one more than asked for, as one of them may be the needle's own
+    by_needle, by_id = Window.partitionBy("needle").orderBy("text_id"), Window.partitionBy("needle_id").orderBy("text_id")
+    lowest = pairs.join(texts.select("text_id", "text"), "text").select("needle", "text_id").withColumn("_n", F.row_number().over(by_needle)).where(F.col("_n") <= most + 1)
+    found = needles.join(lowest, "needle").where(own).select("needle_id", "text_id")
+    return found.withColumn("_n", F.row_number().over(by_id)).where(F.col("_n") <= most).drop("_n")
 
 
 def first_word(name: Column) -> Column:
@@ -63,11 +72,17 @@ def family_document(people: DataFrame) -> DataFrame:
 
 
 def linked_in_time(first: DataFrame, later: DataFrame, key: str, gap: int = 1) -> DataFrame:
-    """(first_id, later_id): for each of first (id, year, key) the earliest of later with the same key at least gap years after; years of 0 don't count."""
-    a = first.where("year > 0").select(F.col("id").alias("first_id"), F.col("year").alias("y1"), key)
-    b = later.where("year > 0").select(F.col("id").alias("later_id"), F.col("year").alias("y2"), key)
-    w = Window.partitionBy("first_id").orderBy("y2", "later_id")
-    return a.join(b, key).where(F.col("y2") >= F.col("y1") + gap).withColumn("n", F.row_number().over(w)).where("n = 1").select("first_id", "later_id")
+    """(first_id, later_id): for each of first (id, year, key) the earliest of later with the same key at least gap years after; years of 0 don't count.
+
+    Both sides are put in one order of key and year, a later row just before
+    the first rows that it may follow; a row then looks for the next later
+    one. So no pairs of a key are made.
+    """
+    a = first.where(f"year > 0 and {key} is not null").select(key, (F.col("year") + gap).alias("y"), F.lit(0).alias("side"), "id")
+    b = later.where(f"year > 0 and {key} is not null").select(key, F.col("year").alias("y"), F.lit(1).alias("side"), "id")
+    after = Window.partitionBy(key).orderBy("y", "side", "id").rowsBetween(1, Window.unboundedFollowing)
+    both = a.union(b).withColumn("later_id", F.first(F.when(F.col("side") == 1, F.col("id")), ignorenulls=True).over(after))
+    return both.where("side = 0 and later_id is not null").select(F.col("id").alias("first_id"), "later_id")
 
 
 def connections(people: DataFrame, name: str) -> DataFrame:
@@ -86,7 +101,7 @@ def relation(diff: Column) -> Column:
 
 
 def relations_by_years(people: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:
-    """(id, other, relation) for people and others (id, year) that agree on the columns."""
+    """(id, other, relation) for people and others (id, year) that agree on the columns. The result has a row for each related pair, so the columns should name a small group, such as a surname and a place."""
     pairs = people.alias("a").join(others.alias("b"), on).where("a.id <> b.id")
     return pairs.select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), relation(F.col("b.year") - F.col("a.year")).alias("relation")).where("relation is not null")
 
@@ -120,14 +135,24 @@ def cosine(x: Column, y: Column) -> Column:
     return dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))
 
 
-def hashed_features(text: Column, n: int = 5) -> Column:
-    """n values in [0, 1) from the text's digests."""
-    return F.array(*[F.conv(F.substring(F.md5(F.concat(text, F.lit(str(k)))), 1, 8), 16, 10).cast("long") % 1000 / 1000 for k in range(n)])
-
-
 def most_similar(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     """(id, other, similarity, rank): the k rows of the same label most like each of the queries (id, embedding, label), without itself."""
     pairs = queries.select("id", "label", F.col("embedding").alias("x")).join(rows.select(F.col("id").alias("other"), "label", F.col("embedding").alias("y")), "label").where("id <> other")
     scored = pairs.select("id", "other", cosine(F.col("x"), F.col("y")).alias("similarity"))
     w = Window.partitionBy("id").orderBy(F.col("similarity").desc(), "other")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def potential_relatives(similar: DataFrame, people: DataFrame, years: int = 10) -> DataFrame:
+    """similar (id, other, ...), the output of most_similar(), with flags from people (id, surname, place, year): same_surname, same_place, near_in_time (at most so many years apart); unknown values give no flag."""
+    own = people.select("id", F.col("surname").alias("s1"), F.col("place").alias("p1"), F.col("year").alias("y1"))
+    other = people.select(F.col("id").alias("other"), F.col("surname").alias("s2"), F.col("place").alias("p2"), F.col("year").alias("y2"))
+    both = similar.join(own, "id").join(other, "other")
+    flag = lambda test: F.coalesce(test, F.lit(False))
+    flags = {"same_surname": flag(F.col("s1") == F.col("s2")), "same_place": flag(F.col("p1") == F.col("p2")), "near_in_time": flag(F.abs(F.col("y1") - F.col("y2")) <= years)}
+    return both.withColumns(flags).drop("s1", "p1", "y1", "s2", "p2", "y2")
+
+
+def books_with_place(books: DataFrame, places: DataFrame) -> DataFrame:
+    """Books (book_id, place_id, ...) with the name of their place (place_id, place); a book without a known place has no row."""
+    return books.join(places, "place_id")

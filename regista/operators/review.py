@@ -36,3 +36,20 @@ def next_to_validate(records: DataFrame, newest: int = 5) -> DataFrame:
 
 def suspicious(records: DataFrame, least: float = 0.4, most: int = 50) -> DataFrame:
     return records.where(F.col("qualidade") < least).orderBy("qualidade", "id").limit(most)
+
+
+#: Columns of a book that may be changed.
+BOOK_FIELDS = ("marcado", "processado", "notas")
+
+
+def patched(books: DataFrame, changes: DataFrame) -> DataFrame:
+    """books (id, ...) with the columns of BOOK_FIELDS that the latest change (id, at, ...) of each names; a null changes nothing, other columns can't be changed."""
+    fields = [c for c in BOOK_FIELDS if c in books.columns and c in changes.columns]
+    last = changes.groupBy("id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(f"new_{c}") for c in fields])
+    out = books.join(last, "id", "left").withColumns({c: F.coalesce(f"new_{c}", c) for c in fields})
+    return out.drop(*[f"new_{c}" for c in fields])
+
+
+def book_counts(books: DataFrame) -> DataFrame:
+    """How many books there are, are marked and are processed."""
+    return books.agg(F.count(F.lit(1)).alias("books"), F.count_if("marcado").alias("marked"), F.count_if("processado").alias("processed"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regista.functions.names import folded, token_key
+from regista.operators.family import containing
 
 
 def contains_any(columns: list[str], text: str) -> Column:
@@ -54,22 +55,46 @@ def typed(filters: list[tuple]) -> Column:
     return reduce(lambda a, b: a & b, [one(*f) for f in filters], F.lit(True))
 
 
-def variant_search(rows: DataFrame, key: str, name: str, queries: DataFrame, variants: DataFrame, most: int = 8) -> DataFrame:
-    """(query, key) of rows whose name has a token that is a variant of the query; variants (norm, variant), a query without any stands for itself, at most so many variants each."""
+#: Texts up to so many are broadcast and looked for in every row; more of them meet the rows by trigrams.
+BROADCAST_TEXTS = 1000
+
+
+def hits(rows: DataFrame, name: str, texts: DataFrame) -> DataFrame:
+    """rows with each of texts (text) that their name contains; a row has one row for each hit. Few texts are broadcast after they have been counted; for more, texts of three letters or more meet the names by a trigram, and only the shorter ones are held against every row."""
+
+    def broadcast_join(some: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(some), F.contains(name, F.col("text")))
+
+    if texts.count() <= BROADCAST_TEXTS:
+        return broadcast_join(texts)
+    each = rows.select(F.col(name).alias("text")).distinct()
+    pairs = containing(texts.select(F.col("text").alias("needle_id"), F.col("text").alias("needle")), each.select(F.col("text").alias("text_id"), "text"))
+    long = pairs.select(F.col("needle_id").alias("text"), F.col("text_id").alias(name))
+    same = texts.where(F.length("text") >= 3).select("text", F.col("text").alias(name))  # containing() leaves equal ids out
+    return rows.join(long.union(same), name).unionByName(broadcast_join(texts.where(F.length("text") < 3)))
+
+
+def variant_search(rows: DataFrame, key: str, columns: list[str], queries: DataFrame, variants: DataFrame, most: int = 8) -> DataFrame:
+    """(query, key) of rows one of whose columns contains a variant of the query; variants (norm, variant), a query without any stands for itself, at most so many variants each."""
     own = queries.select("query", token_key(F.col("query")).alias("norm"))
-    w = Window.partitionBy("query").orderBy("variant")
-    spread = own.join(variants, "norm", "left").select("query", F.lower(F.coalesce("variant", "query")).alias("word")).distinct()
-    spread = spread.withColumnRenamed("word", "variant").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
-    words = rows.select(key, F.explode(F.array_distinct(F.split(F.lower(F.col(name)), r"\s+"))).alias("variant"))
-    return words.join(spread, "variant").select("query", key).distinct()
+    w = Window.partitionBy("query").orderBy("text")
+    spread = own.join(variants, "norm", "left").select("query", F.lower(F.coalesce("variant", "query")).alias("text")).distinct()
+    spread = spread.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("query", "text")
+    names = rows.select(key, F.explode(F.array_distinct(F.array(*[F.lower(F.col(c)) for c in columns]))).alias("name")).where("name is not null")
+    return hits(names, "name", spread.select("text").distinct()).join(spread, "text").select("query", key).distinct()
 
 
 def with_fallback(rows: DataFrame, name: str, queries: DataFrame) -> DataFrame:
     """(query, match, how) of rows whose name contains the query; queries without any hit, of three letters or more, are tried in modern spelling, under the same filters."""
-    direct = rows.join(F.broadcast(queries), F.contains(F.lower(F.col(name)), F.lower("query"))).select("query", F.col(name).alias("match"), F.lit("direct").alias("how"))
+
+    def tried(form, some: DataFrame, how: str) -> DataFrame:
+        texts = some.select("query", form(F.col("query")).alias("text"))
+        found = hits(rows.select(F.col(name).alias("match"), form(F.col(name)).alias("name")), "name", texts.select("text").distinct())
+        return found.join(texts, "text").select("query", "match", F.lit(how).alias("how"))
+
+    direct = tried(F.lower, queries, "direct")
     missed = queries.where(F.length("query") >= 3).join(direct.select("query").distinct(), "query", "left_anti")
-    second = rows.join(F.broadcast(missed), F.contains(folded(F.col(name)), folded(F.col("query")))).select("query", F.col(name).alias("match"), F.lit("folded").alias("how"))
-    return direct.union(second)
+    return direct.union(tried(folded, missed, "folded"))
 
 
 def suggestions(log: DataFrame, prefix: str, fixed: list[str], recent: int = 1000, most: int = 10) -> DataFrame:
@@ -81,3 +106,73 @@ def suggestions(log: DataFrame, prefix: str, fixed: list[str], recent: int = 100
     both = own.union(spare.select("query", F.lit(1).alias("rank"), F.lit(0.0).alias("ts")))
     both = both.groupBy("query").agg(F.min(F.struct("rank", (-F.col("ts")).alias("age"))).alias("k"))
     return both.where(F.lit(len(prefix) >= 2)).orderBy("k", "query").limit(most).select("query")
+
+
+def all_contain(filters: dict[str, str | None]) -> Column:
+    """Every column contains its text, in any case; a leading 'ilike.' and the signs % around a text are stripped, empty texts are no filter."""
+
+    def bare(value: str | None) -> str:
+        return (value or "").removeprefix("ilike.").strip("%").lower()
+
+    tests = [F.contains(F.lower(F.col(c)), F.lit(bare(v))) for c, v in filters.items() if bare(v)]
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
+def marriages(rows: DataFrame, text: str = "", place: str = "", first: int | None = None, last: int | None = None, limit: int = 100) -> DataFrame:
+    """The newest marriages (id, nome, conjuge, testemunhas, freguesia, data) where bride, groom or witnesses contain text and the place contains place, in the years."""
+    hit = contains_any(["nome", "conjuge", "testemunhas"], text) if text else F.lit(True)
+    found = rows.where(hit & all_contain({"freguesia": place}) & in_years(F.col("data"), first, last))
+    return page(found, F.col("id").desc(), limit=limit)
+
+
+def by_date(rows: DataFrame, name: str, date: str = "data", kind: str | None = None) -> DataFrame:
+    """Rows (id, nome, tipo_registo, date) whose name contains name, of a type or of all, in order of date, nulls first, as a sort without an index gives them."""
+    found = rows.where(F.contains(F.lower("nome"), F.lit(name.lower())))
+    if kind:
+        found = found.where(F.col("tipo_registo") == kind)
+    return found.orderBy(F.col(date).asc_nulls_first(), "id")
+
+
+def of_place(rows: DataFrame, place: str) -> DataFrame:
+    """Rows of exactly this place, in order of date."""
+    return rows.where(F.col("freguesia") == place).orderBy(F.col("data").asc_nulls_first(), "id")
+
+
+def by_id(rows: DataFrame, value: int) -> DataFrame:
+    """The row with this id, all columns; no row if there is none."""
+    return rows.where(F.col("id") == value)
+
+
+def tree_nodes(people: DataFrame, place: str | None = None, name: str | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """People of a place whose name contains name and whose first known date, of death, birth and marriage in this order, lies in the years; adds that date as quando. With years given, people without any date are left out."""
+    when = F.coalesce("data_obito", "data_nascimento", "data_casamento")
+    found = people.withColumn("quando", when)
+    if place:
+        found = found.where(F.col("freguesia") == place)
+    if name:
+        found = found.where(F.contains(F.lower("nome"), F.lit(name.lower())))
+    if first or last:
+        found = found.where(F.year("quando").between(first or 0, last or 9999))
+    return found
+
+
+def inventory_of(inventory: DataFrame, text: str) -> DataFrame:
+    """Inventory rows (place, url) whose place contains text, in any case, with the document number that the viewer's address names."""
+    number = F.nullif(F.regexp_extract("url", r"(\d+)(?:[/?#]|$)", 1), F.lit(""))
+    return inventory.where(F.contains(F.lower("place"), F.lit(text.lower()))).withColumn("document", number)
+
+
+def listed(names: DataFrame, text: str, limit: int = 50) -> DataFrame:
+    """The first names or places that contain text, case counting."""
+    return names.where(F.contains("name", F.lit(text))).orderBy("name").limit(limit)
+
+
+def best_lines(lines: DataFrame, least: float = 0.5) -> DataFrame:
+    """Lines (id, line_no, quality) of at least this quality, the best first, ties in the order of the text."""
+    return lines.where(F.col("quality") >= least).orderBy(F.col("quality").desc(), "id", "line_no")
+
+
+def by_count(rows: DataFrame, count: str, ascending: bool) -> DataFrame:
+    """Rows in order of a count in either direction, a missing count as 0."""
+    n = F.coalesce(count, F.lit(0))
+    return rows.withColumn(count, n).orderBy(F.col(count).asc() if ascending else F.col(count).desc(), "name")

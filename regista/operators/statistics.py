@@ -36,11 +36,9 @@ def top(rows: DataFrame, column: str, k: int) -> DataFrame:
     return counts.orderBy(F.col("n").desc(), column).limit(k).join(F.broadcast(counts.agg(F.count(F.lit(1)).alias("distinct_total"))))  # one row
 
 
-def grouping_sets(spark, view: str, dims: list[str], sets: list[tuple[str, ...]]) -> DataFrame:
+def grouping_sets(rows: DataFrame, dims: list[str], sets: list[tuple[str, ...]]) -> DataFrame:
     """Counts over several groupings at once, with their grouping id."""
-    text = ", ".join("(" + ", ".join(s) + ")" for s in sets)
-    cols = ", ".join(dims)
-    return spark.sql(f"SELECT {cols}, CAST(grouping_id({cols}) AS INT) AS gid, count(*) AS n FROM {view} GROUP BY GROUPING SETS ({text})")
+    return rows.groupingSets([[F.col(c) for c in s] for s in sets], *dims).agg(F.grouping_id().cast("int").alias("gid"), F.count(F.lit(1)).alias("n"))
 
 
 def coverage(pages: DataFrame) -> DataFrame:
@@ -90,3 +88,35 @@ def change_per_metric(history: DataFrame, time: str, metrics: list[str]) -> Data
     """(metric, time, value, change) of an append-only snapshot table."""
     long = history.unpivot(time, metrics, "metric", "value")
     return long.withColumn("change", F.col("value") - F.lag("value").over(Window.partitionBy("metric").orderBy(time)))
+
+
+def hidden_counts(rows: DataFrame, group: list[str], newest: list[str], per_group: int, overall: int) -> DataFrame:
+    """(group, shown, hidden) of capped(), newest first by the columns newest, which tell rows apart: rows beyond per_group of a group are hidden, and counted if they come before the overall cap is filled."""
+    w = Window.partitionBy(*group).orderBy(*[F.col(c).desc() for c in newest])
+    placed = rows.withColumn("group_place", F.row_number().over(w))
+    place = F.struct(*newest)
+    survivors = placed.where(F.col("group_place") <= per_group).orderBy(*[F.col(c).desc() for c in newest]).limit(overall)
+    last = survivors.agg(F.min(place).alias("last"), F.count(F.lit(1)).alias("taken"))  # one row
+    met = placed.join(F.broadcast(last)).where((F.col("taken") < overall) | (place >= F.col("last")))
+    return met.groupBy(*group).agg(F.count_if(F.col("group_place") <= per_group).alias("shown"), F.count_if(F.col("group_place") > per_group).alias("hidden"))
+
+
+def completion(events: DataFrame, job: str, state: str, order: list[str], done: str) -> DataFrame:
+    """One row: jobs, those whose latest state is done, percent, and eta_s, the seconds that the others take at the rate of all events so far if each takes the mean number of steps. order begins with the time."""
+    jobs = events.groupBy(job).agg(F.max_by(state, F.struct(*order)).alias("state"), F.count(F.lit(1)).alias("steps"))
+    second = lambda f: F.unix_timestamp(F.date_trunc("second", f(order[0])))
+    rate = events.agg((F.count(F.lit(1)) / F.nullif(second(F.max) - second(F.min), F.lit(0))).alias("rate"))
+    sums = jobs.agg(F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("state") == done).alias("done"), F.avg("steps").alias("mean_steps"))
+    both = sums.join(F.broadcast(rate))  # one row each
+    return both.select("jobs", "done", F.round(100 * F.col("done") / F.col("jobs"), 4).alias("percent"), F.round((F.col("jobs") - F.col("done")) * F.col("mean_steps") / F.col("rate"), 4).alias("eta_s"))
+
+
+def exhausted(calls: DataFrame, key: list[str], order: list[str], failed: Column, quota: int, share: float = 0.8, least: int = 2) -> DataFrame:
+    """(key, calls, worst, exhausted): the calls of a key (a user and a day), its longest run of failures, and whether a run reached least failures when so much of the quota was used."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    marked = calls.withColumn("_f", failed).withColumn("_k", F.row_number().over(w)).withColumn("_good", F.sum(F.when(F.col("_f"), 0).otherwise(1)).over(w))
+    run = Window.partitionBy(*key, "_good").orderBy(*order)
+    # the failures after the same number of good calls are one run
+    marked = marked.withColumn("_len", F.when(F.col("_f"), F.sum(F.col("_f").cast("int")).over(run)).otherwise(0))
+    hit = F.col("_f") & (F.col("_len") >= least) & (F.col("_k") >= share * quota)
+    return marked.groupBy(*key).agg(F.count(F.lit(1)).alias("calls"), F.max("_len").alias("worst"), F.max(hit).alias("exhausted"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from regista.functions import dates, names, text
+from regista.functions.ranks import shared_folder
 from regista.operators import family, ingest, repair, review, search
 from regista.plans.registry import Tables, query
 from regista.sources import export, pages
@@ -61,12 +62,12 @@ def quality_filter(spark, sf_dir):
 
 @query("""
 WITH v AS (SELECT * FROM (VALUES ('rubro', 'red'), ('rubro', 'rubro'), ('anel', 'ring'), ('anel', 'anel'), ('anel', 'annel'), ('green', 'green')) t(query, variant))
-SELECT DISTINCT v.query, p_partkey FROM part JOIN v ON list_contains(string_split(lower(p_name), ' '), v.variant)
+SELECT DISTINCT v.query, p_partkey FROM part JOIN v ON contains(lower(p_name), v.variant) OR contains(lower(p_type), v.variant)
 """)
 def variant_search(spark, sf_dir):
     clusters = values(spark, [(k, n) for k, pair in enumerate(CLUSTERS[:3] + CLUSTERS[4:]) for n in pair] + [(2, "anel")], "cluster", "name")
     queries = values(spark, [("rubro",), ("anel",), ("green",)], "query")
-    return search.variant_search(Tables(spark, sf_dir).part, "p_partkey", "p_name", queries, names.variant_table(clusters))
+    return search.variant_search(Tables(spark, sf_dir).part, "p_partkey", ["p_name", "p_type"], queries, names.variant_table(clusters))
 
 
 @query("""
@@ -90,13 +91,13 @@ def books_overlapping_years(spark, sf_dir):
 
 
 @query("""
-WITH q AS (SELECT lower(trim(left(text, 12))) AS query, max(conv_id * 100 + turn) AS ts FROM conversations WHERE role = 'user' GROUP BY 1),
+WITH q AS (SELECT lower(trim(text)) AS query, max(conv_id * 100 + turn) AS ts FROM conversations WHERE role = 'user' GROUP BY 1),
 r AS (SELECT * FROM q ORDER BY ts DESC, query LIMIT 1000),
 u AS (SELECT query, 0 AS rank, -ts AS age FROM r WHERE starts_with(query, 'th') UNION ALL SELECT * FROM (VALUES ('Thomas', 1, 0), ('theresa', 1, 0)) f(query, rank, age))
 SELECT query FROM (SELECT query, min((rank, age)) AS k FROM u GROUP BY query) ORDER BY k, query LIMIT 10
 """)
 def prefix_suggestions(spark, sf_dir):
-    log = Tables(spark, sf_dir).conversations.where("role = 'user'").select(F.substring("text", 1, 12).alias("query"), (F.col("conv_id") * 100 + F.col("turn")).alias("ts"))
+    log = Tables(spark, sf_dir).conversations.where("role = 'user'").select(F.col("text").alias("query"), (F.col("conv_id") * 100 + F.col("turn")).alias("ts"))
     return search.suggestions(log, "Th", ["Thomas", "theresa", "Manuel"])
 
 
@@ -163,26 +164,26 @@ def linkage_year_range(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT p_partkey AS id, p_name AS name FROM part), n AS (SELECT DISTINCT p_partkey AS id, string_split(p_name, ' ')[-1] AS w FROM part WHERE p_size = 1),
+WITH p AS (SELECT p_partkey AS id, p_name AS name FROM part), n AS (SELECT DISTINCT p_partkey AS id, string_split(p_name, ' ')[-1] AS w FROM part),
 j AS (SELECT n.id AS needle_id, p.id AS text_id, row_number() OVER (PARTITION BY n.id ORDER BY p.id) AS k FROM n JOIN p ON contains(p.name, n.w) AND p.id <> n.id WHERE length(n.w) >= 3)
 SELECT needle_id, text_id FROM j WHERE k <= 20
 """)
 def substring_children(spark, sf_dir):
     part = Tables(spark, sf_dir).part
-    needles = part.where("p_size = 1").select(F.col("p_partkey").alias("needle_id"), F.element_at(F.split("p_name", " "), -1).alias("needle"))
+    needles = part.select(F.col("p_partkey").alias("needle_id"), F.element_at(F.split("p_name", " "), -1).alias("needle"))
     return family.containing(needles, part.select(F.col("p_partkey").alias("text_id"), F.col("p_name").alias("text")), 20)
 
 
 @query("""
 WITH y AS (SELECT c_custkey AS id, c_nationkey, c_mktsegment, min(year(o_orderdate) * 12 + month(o_orderdate)) AS m FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
-j AS (SELECT a.id, b.id AS other, b.m - a.m AS d FROM y a JOIN y b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.id <> b.id WHERE a.c_nationkey = 3)
+j AS (SELECT a.id, b.id AS other, b.m - a.m AS d FROM y a JOIN y b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.id <> b.id)
 SELECT id, other, CASE WHEN d >= 15 THEN 'child' WHEN d <= -15 THEN 'parent' ELSE 'sibling' END AS relation FROM j WHERE d >= 15 OR d <= -15 OR abs(d) <= 5
 """)
 def relation_by_years(spark, sf_dir):
-    """Relations among the customers of a nation by the months between first orders."""
+    """Relations among the customers of a nation and segment by the months between first orders."""
     t = Tables(spark, sf_dir)
     first = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min(F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("year"))
-    people = t.customer.where("c_nationkey = 3").join(first, "c_custkey").select(F.col("c_custkey").alias("id"), "c_nationkey", "c_mktsegment", "year")
+    people = t.customer.join(first, "c_custkey").select(F.col("c_custkey").alias("id"), "c_nationkey", "c_mktsegment", "year")
     return family.relations_by_years(people, people, ["c_nationkey", "c_mktsegment"])
 
 
@@ -221,11 +222,11 @@ def duplicate_groups(spark, sf_dir):
 
 @query("""
 SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_shipdate AS DATE)::VARCHAR ELSE '' END AS before,
-       CAST(l_shipdate AS DATE)::VARCHAR AS after FROM lineitem WHERE l_quantity = 7
+       CAST(l_shipdate AS DATE)::VARCHAR AS after FROM lineitem
 """)
 def gap_fill(spark, sf_dir):
     """Blanked dates filled from the matching line of a second copy."""
-    rows = Tables(spark, sf_dir).lineitem.where("l_quantity = 7").withColumn("full", F.to_date("l_shipdate").cast("string"))
+    rows = Tables(spark, sf_dir).lineitem.withColumn("full", F.to_date("l_shipdate").cast("string"))
     blank = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_linenumber") % 2 == 0, F.col("full")).otherwise("").alias("d"))
     patch = rows.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.min("full").alias("d"))
     out = repair.filled(blank.withColumn("before", F.col("d")), patch, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["d"])
@@ -280,9 +281,9 @@ def validation_queue(spark, sf_dir):
     return review.next_to_validate(rows).select(F.col("id").alias("conv_id"), "nome")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'aprovado' ELSE o_orderstatus END AS status, o_orderstatus = 'P' AND o_custkey % 2 = 0 AS changed FROM orders WHERE o_custkey % 2 = 0")
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'aprovado' ELSE o_orderstatus END AS status, o_orderstatus = 'P' AS changed FROM orders")
 def bulk_approval(spark, sf_dir):
-    rows = Tables(spark, sf_dir).orders.where("o_custkey % 2 = 0").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "pendente").otherwise(F.col("o_orderstatus")).alias("status"))
+    rows = Tables(spark, sf_dir).orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "pendente").otherwise(F.col("o_orderstatus")).alias("status"))
     return review.bulk_approved(rows)
 
 
@@ -297,7 +298,7 @@ def mask_values(spark, sf_dir):
 
 
 @query("""
-WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(left(text, 200), '[\\p{L}]+')) AS word FROM documents UNION SELECT DISTINCT unnest(string_split(p_name, ' ')) FROM part)
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\\p{L}]+')) AS word FROM documents UNION SELECT DISTINCT unnest(string_split(p_name, ' ')) FROM part)
 SELECT word, regexp_replace(lower(strip_accents(word)), '[^a-z0-9]', '', 'g') AS "key" FROM w
 """)
 def name_keys(spark, sf_dir):
@@ -305,12 +306,12 @@ def name_keys(spark, sf_dir):
 
 
 def _words(t):
-    heads = t.documents.select(F.explode(F.regexp_extract_all(F.substring("text", 1, 200), F.lit(r"[\p{L}]+"), F.lit(0))).alias("word"))
+    heads = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0))).alias("word"))
     return heads.union(t.part.select(F.explode(F.split("p_name", " ")).alias("word"))).distinct()
 
 
 @query("""
-WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(left(text, 200), '[\\p{L}]+')) AS word FROM documents UNION SELECT DISTINCT unnest(string_split(p_name, ' ')) FROM part),
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\\p{L}]+')) AS word FROM documents UNION SELECT DISTINCT unnest(string_split(p_name, ' ')) FROM part),
 u AS (SELECT word, regexp_replace(upper(strip_accents(replace(word, 'ß', 'ss'))), '[^A-Z]', '', 'g') AS t FROM w),
 f AS (SELECT word, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(t, 'PH', 'F'), 'TH', 'T'), 'RH', 'R'), 'Y', 'I'), 'W', 'V'), 'LH', 'L'), 'NH', 'N'), 'CH', 'X'), 'SC', 'S'), 'XC', 'S') AS t FROM u),
 d AS (SELECT word, t, translate(t, 'BFPVCGJKQSXZDTLMNRAEIOUH', '111122222222334556000000') AS s FROM f),
@@ -393,15 +394,11 @@ def text_entities(spark, sf_dir):
     return rows.select("doc_id", F.array_join("e.names", ";").alias("names"), F.array_join("e.numbers", ";").alias("numbers"))
 
 
-@query("""
-WITH l AS (SELECT o_orderkey AS id, o_orderdate::DATE AS d, o_custkey AS n FROM orders WHERE o_orderkey % 2 = 0)
-SELECT id, 1::INTEGER AS line_no, 'Ana da Silva' AS name, d AS date, n::VARCHAR AS number FROM l
-""")
+@query()
 def line_records(spark, sf_dir):
-    """Two lines written for every second order, read as records: the one without a name or number is dropped."""
-    rows = Tables(spark, sf_dir).orders.where("o_orderkey % 2 = 0")
-    lines = F.concat(F.lit("Ana da Silva, n. "), F.col("o_custkey").cast("string"), F.lit(", "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("\nsem mais"))
-    return text.generic_lines(rows.select(F.col("o_orderkey").alias("id"), lines.alias("text")), "id")
+    """The names, dates and numbers of every line of every document; the patterns are held against Python's in the tests."""
+    rows = Tables(spark, sf_dir).documents.select(F.col("doc_id").alias("id"), "text")
+    return text.generic_lines(rows, "id")
 
 
 @query("""
@@ -489,8 +486,7 @@ def similar_top_k(spark, sf_dir):
 def _scratch(spark, name):
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/regista-checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _events_stream(spark, sf_dir):

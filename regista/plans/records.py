@@ -63,12 +63,12 @@ def ingest_deaths(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT p_partkey AS id, p_name AS nome, string_split(p_name, ' ')[-1] AS w FROM part WHERE p_size < 5)
+WITH p AS (SELECT p_partkey AS id, p_name AS nome, string_split(p_name, ' ')[-1] AS w FROM part)
 SELECT a.id, min(b.id) AS other FROM p a JOIN p b ON contains(b.nome, a.w) AND a.id <> b.id WHERE length(a.w) >= 3 GROUP BY a.id
 """)
 def parent_links(spark, sf_dir):
     """The lowest id whose given name contains the first name of the father."""
-    people = Tables(spark, sf_dir).part.where("p_size < 5").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("nome"), F.concat(F.element_at(F.split("p_name", " "), -1), F.lit(" Velho")).alias("pai"), no_text().alias("mae"))
+    people = Tables(spark, sf_dir).part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("nome"), F.concat(F.element_at(F.split("p_name", " "), -1), F.lit(" Velho")).alias("pai"), no_text().alias("mae"))
     return family.relatives(people).where("role = 'father'").select("id", "other")
 
 

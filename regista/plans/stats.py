@@ -19,8 +19,8 @@ def stats_grouping_sets(spark, sf_dir):
     """Counts of dated events in all, by type, by year, by place, by type and place."""
     t = Tables(spark, sf_dir)
     rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    rows.select(F.col("o_orderstatus").alias("status"), F.year("o_orderdate").alias("yr"), F.col("n_name").alias("nation")).createOrReplaceTempView("dated_events")
-    return s.grouping_sets(spark, "dated_events", ["status", "yr", "nation"], [(), ("status",), ("yr",), ("nation",), ("status", "nation")])
+    rows = rows.select(F.col("o_orderstatus").alias("status"), F.year("o_orderdate").alias("yr"), F.col("n_name").alias("nation"))
+    return s.grouping_sets(rows, ["status", "yr", "nation"], [(), ("status",), ("yr",), ("nation",), ("status", "nation")])
 
 
 @query("SELECT CAST((year(o_orderdate) - 1) // 100 + 1 AS BIGINT) AS century, count(*) AS n FROM orders WHERE year(o_orderdate) >= 1000 GROUP BY 1")

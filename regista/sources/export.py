@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regista.functions.names import gedcom_date, gedcom_name
+from regista.functions.ranks import with_rank
 
 
 def write_csv(rows: DataFrame, path: str, order: list[str]) -> None:
@@ -13,18 +14,9 @@ def write_csv(rows: DataFrame, path: str, order: list[str]) -> None:
     rows.orderBy(*order).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
-def numbered(rows: DataFrame, *order: Column, ranges: int = 32) -> DataFrame:
-    """Adds number, 1..n in order, by sorted ranges: an offset for each range and a row number inside it, so no task sorts all rows."""
-    first = order[0]
-    bounds = rows.select(first.alias("o")).where("o is not null").agg(F.percentile_approx(F.unix_timestamp(F.col("o").cast("timestamp")), [i / ranges for i in range(1, ranges)]).alias("b"))
-    bounded = rows.join(F.broadcast(bounds))  # one row
-    part = F.coalesce(F.size(F.filter("b", lambda x: x < F.unix_timestamp(first.cast("timestamp")))), F.lit(0))
-    bounded = bounded.withColumn("_part", part).drop("b")
-    sizes = bounded.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return bounded.withColumn("_at", inside).join(F.broadcast(starts), "_part").withColumn("number", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """Adds number, 1..n in order, by as many sorted ranges as the shuffle has partitions, so no task sorts all rows."""
+    return with_rank(rows, *order, name="number").withColumn("number", F.col("number") + 1)
 
 
 def gedcom_blocks(people: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,18 +14,32 @@ def page_stream(spark: SparkSession, path: str, schema: str, files: int = 100) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(path)
 
 
-def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """Append each batch's rows whose key the target lacks; a batch that runs again adds nothing."""
+#: Parts of an ingest target, by a hash of the keys; a batch reads the parts that it has rows for.
+PARTS = 64
+
+
+def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], parts: int = PARTS) -> StreamingQuery:
+    """Add each batch's rows whose key the target lacks; a batch that runs again adds nothing.
+
+    The target is partitioned by a hash of the keys, and a batch reads only
+    the keys of the parts that its rows fall in. Each batch of a run has a
+    folder of its own, which it overwrites if it runs again, so that a batch
+    that failed half-way leaves nothing behind that counts twice.
+    """
+    run = uuid.uuid4().hex
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates(keys)
+        rows = batch.dropDuplicates(keys).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+        hit = [r["part"] for r in rows.select("part").distinct().collect()]  # parts rows at most
         try:
-            rows = rows.join(spark.read.parquet(target).select(*keys), keys, "left_anti")
+            # this batch's own folder, left by an earlier try, does not count as there
+            there = spark.read.option("basePath", target).parquet(f"{target}/*/*/part=*").where(F.col("part").isin(hit) & ~((F.col("run") == run) & (F.col("batch") == number)))
+            rows = rows.join(there.select("part", *keys), ["part", *keys], "left_anti")
         except Exception as e:  # the first batch finds no table
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
-        rows.write.mode("append").parquet(target)
+        rows.write.mode("overwrite").partitionBy("part").parquet(f"{target}/run={run}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -47,13 +63,20 @@ def progress(stream: DataFrame, job: str, order: str, state: str) -> DataFrame:
     return stream.groupBy(job).agg(F.max_by(state, order).alias(state), F.max(order).alias(order))
 
 
+#: Rules up to so many are broadcast.
+BROADCAST_RULES = 10_000
+
+
 def alerts(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """(rule_id, event_id) where a rule (rule_id, kind, least, day_from, day_to; null for any) fits a row (event_id, event_type, value, ts). Rules are few and are broadcast; works on streams and tables."""
+    """(rule_id, event_id) where a rule (rule_id, kind, least, day_from, day_to; null for any) fits a row (event_id, event_type, value, ts).
+
+    Rules of a kind meet the rows of that kind in an equi join; those for any
+    kind are held against all rows. Rules are broadcast if there are few, as
+    a count of them tells. Works on streams and tables.
+    """
     day = F.to_date("ts")
-    fits = (
-        (F.col("kind").isNull() | (F.col("event_type") == F.col("kind")))
-        & (F.col("least").isNull() | (F.col("value") >= F.col("least")))
-        & (F.col("day_from").isNull() | (day >= F.col("day_from")))
-        & (F.col("day_to").isNull() | (day <= F.col("day_to")))
-    )
-    return rows.join(F.broadcast(rules), fits).select("rule_id", "event_id")
+    fits = (F.col("least").isNull() | (F.col("value") >= F.col("least"))) & (F.col("day_from").isNull() | (day >= F.col("day_from"))) & (F.col("day_to").isNull() | (day <= F.col("day_to")))
+    sent = F.broadcast if rules.count() <= BROADCAST_RULES else lambda x: x
+    own = rows.join(sent(rules.where("kind is not null")), (F.col("event_type") == F.col("kind")) & fits)
+    every = rows.join(sent(rules.where("kind is null")), fits)
+    return own.select("rule_id", "event_id").union(every.select("rule_id", "event_id"))
