@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regista.llm.common import materialise, with_rank
@@ -13,9 +13,11 @@ from regista.llm.components import components
 Test = Callable[[DataFrame], DataFrame]
 
 #: Members of a block that one row of an array holds; more of them make more rows, which a join can deal out.
-CHUNK = 256
-#: Members of a chunk that are tested against a node in the first turn, the likeliest ones; each turn goes four times as far.
-LIKELY = 6
+CHUNK = 512
+#: Pairs of a node that are tested in a turn, the likeliest ones, and how many of them a chunk offers.
+LIKELY, OFFERED = 16, 3
+#: Turns go on while at least one in so many of the tested pairs is linked.
+YIELD = 500
 #: A pair is not likely if so many standard deviations more of its lanes differ than of pairs at the threshold on average.
 SPREAD = 4
 #: Lanes of a sketch, one bit each, and longs that hold them.
@@ -87,10 +89,10 @@ def _placed(members: DataFrame, known: DataFrame) -> DataFrame:
     return materialise(placed.join(materialise(mixed), "key"))
 
 
-def _likely(placed: DataFrame, sketches: DataFrame, turn: int) -> DataFrame:
-    """key, node, best, more: for each node outside its block's main component and each chunk of the block the LIKELY members of other components, next in order after those of earlier turns, that are likeliest to be linked with it, and whether others are likely too."""
+def _offered(placed: DataFrame, sketches: DataFrame, turn: int) -> DataFrame:
+    """key, node, best: for each node outside its block's main component and each chunk of the block the members of other components that are likeliest to be linked with it, as (over, node) with the most likely first, OFFERED of them; chunks, which are drawn anew in each turn, without any are left out."""
     rows = placed.join(sketches, "node")
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / CHUNK))
+    chunk = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("m") / CHUNK))
     words = [f"w{k}" for k in range(WORDS)]
     chunks = rows.groupBy("key", chunk.alias("chunk")).agg(F.collect_list(F.struct("node", "c", "most", *words)).alias("others"))
     outside = rows.where("open and c <> main").select("key", "node", "c", "most", *words)
@@ -99,9 +101,16 @@ def _likely(placed: DataFrame, sketches: DataFrame, turn: int) -> DataFrame:
         return sum((F.bit_count(F.col(w).bitwiseXOR(z[w])) for w in words[1:]), F.bit_count(F.col(words[0]).bitwiseXOR(z[words[0]])))
 
     told = F.transform(F.filter("others", lambda z: z["c"] != F.col("c")), lambda z: F.struct((unequal(z) - F.greatest("most", z["most"])).alias("over"), z["node"].alias("node")))
-    found = outside.join(chunks.select("key", "others"), "key").select("key", "node", F.array_sort(F.filter(told, lambda s: s["over"] <= 0)).alias("likely"))
-    past, upto = LIKELY * 4 ** (turn - 1) if turn else 0, LIKELY * 4**turn
-    return found.select("key", "node", F.slice("likely", past + 1, upto - past)["node"].alias("best"), (F.size("likely") > upto).alias("more"))
+    best = F.slice(F.array_sort(F.filter(told, lambda s: s["over"] <= 0)), 1, OFFERED)
+    return materialise(outside.join(chunks.select("key", "others"), "key").select("key", "node", best.alias("best"))).where("size(best) > 0")
+
+
+def _likeliest(offered: DataFrame, tested: DataFrame) -> DataFrame:
+    """(a, b): of what the chunks of all blocks offer a node and is not tested yet the LIKELY likeliest pairs."""
+    each = offered.select("node", F.explode("best").alias("s")).select("node", F.least("node", "s.node").alias("a"), F.greatest("node", "s.node").alias("b"), "s.over")
+    each = each.groupBy("node", "a", "b").agg(F.min("over").alias("over")).join(tested, ["a", "b"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("over", "a", "b"))
+    return each.withColumn("place", place).where(F.col("place") <= LIKELY).select("a", "b").distinct()
 
 
 def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
@@ -127,12 +136,13 @@ def linked(stars: DataFrame, members: DataFrame, sketches: Callable[[DataFrame],
     A pair inside a component cannot change the components. So in each turn,
     in each block that has several components, each node outside the block's
     largest one is held against the members of the others by their sketches,
-    and the likeliest partners of each chunk of the block are tested, in the
-    next turn the next likely ones, until no likely one is left or a turn links
-    nothing. A block is joined with its chunks, so the rows that are made grow
-    with its nodes outside the main component times its chunks only; chunks
-    have about CHUNK members, and the rows of a hot block are dealt to many
-    tasks. Nodes without a link have no row in the result.
+    and the likeliest pairs of each node are tested, in the next turn the next
+    likely ones, as long as at least one in YIELD of them is linked. A block
+    is joined with its chunks, so the rows that are made grow with its nodes
+    outside the main component times its chunks only; chunks have about CHUNK
+    members, and the rows of a hot block are dealt to many tasks. The pairs
+    that are tested grow with the nodes. Nodes without a link have no row in
+    the result.
     """
     links = materialise(test(stars))
     known = materialise(components(links).withColumnRenamed("id", "node"))
@@ -141,13 +151,15 @@ def linked(stars: DataFrame, members: DataFrame, sketches: Callable[[DataFrame],
     described = sketches(placed.select("node").distinct())
     described = materialise(described.select("node", most_unequal(F.col("used"), percent).alias("most"), "words.*"))
     while True:
-        found = materialise(_likely(placed, described, turn).where("size(best) > 0 or more"))
-        pairs = found.select("node", F.explode("best").alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        pairs = materialise(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        offered = _offered(placed, described, turn)
+        pairs = materialise(_likeliest(offered, tested))
         more = materialise(test(pairs))
-        if not more.take(1):
+        n = more.count()
+        if n:
+            known = _merged(known, more)
+        if n * YIELD < pairs.count() or not n:
             return known
-        known, tested, turn = _merged(known, more), tested.union(pairs), turn + 1
-        open_ = materialise(found.where("more").select("key", "node").distinct().withColumn("open", F.lit(True)))
+        tested, turn = tested.union(pairs), turn + 1
+        open_ = materialise(offered.select("key", "node").distinct().withColumn("open", F.lit(True)))
         placed = _placed(members.join(open_.select("key").distinct(), "key", "left_semi"), known)
         placed = placed.join(open_, ["key", "node"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
