@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regista.llm.common import materialise, with_rank
+
 #: How a turn is rendered: OPEN role CLOSE text END.
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
 TRAINED = "assistant"
@@ -80,18 +82,26 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 def contrasted(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected turns made from conversations (conv_id, turn, role, text), for tables without preferences.
 
-    Chosen is a conversation up to its last assistant turn. Rejected is the
-    same with that turn's text replaced by the last assistant text of its
-    neighbour (ids 2k and 2k + 1 are neighbours), an answer to something else.
-    Conversations without an assistant turn, or whose neighbour has none, are
-    left out. Of turns that repeat a number the last by text counts as last.
+    Chosen is a conversation as it is. Rejected is the same with the text of
+    one of its assistant turns replaced by an answer of the next conversation
+    that has one, an answer to something else; after the last comes the first.
+    Of k answers that with number conv_id modulo k is replaced or lent, so the
+    two sides part at early turns as well as late ones, and what follows stays
+    in both. A conversation without an answer, or one whose neighbour's answer
+    is the same (as when there is one conversation only), is equal on both
+    sides. Every conv_id but null has its two sides; turns are numbered anew
+    from 0, in order of number, role and text.
     """
-    turns = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text").where("pair_id is not null")
-    last = turns.where(F.col("role") == TRAINED).groupBy("pair_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
-    last = last.select("pair_id", "last.turn", "last.text")
-    other = last.select(F.col("pair_id").bitwiseXOR(F.lit(1).cast("long")).alias("pair_id"), F.col("text").alias("other"))
-    ends = last.select("pair_id", F.col("turn").alias("end"), F.col("text").alias("own")).join(other, "pair_id")
-    before = turns.join(ends, "pair_id").where("turn < end").select("pair_id", "turn", "role", "text")
-    chosen = before.unionByName(ends.select("pair_id", F.col("end").alias("turn"), F.lit(TRAINED).alias("role"), F.col("own").alias("text")))
-    rejected = before.unionByName(ends.select("pair_id", F.col("end").alias("turn"), F.lit(TRAINED).alias("role"), F.col("other").alias("text")))
-    return chosen, rejected
+    turns = conversations.where("conv_id is not null").groupBy(F.col("conv_id").alias("pair_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("ts"))
+    answers = F.filter(F.transform("ts", lambda x, i: F.struct(i.alias("at"), x["role"].alias("role"), x["text"].alias("text"))), lambda x: x["role"] == TRAINED)
+    own = turns.select("pair_id", answers.alias("a")).where(F.size("a") > 0)
+    own = materialise(own.select("pair_id", F.get("a", F.pmod("pair_id", F.size("a")).cast("int")).alias("a")).select("pair_id", "a.at", "a.text"))
+    ranked = with_rank(own.select("pair_id"), F.col("pair_id"))
+    n = own.count()
+    lent = ranked.join(own, "pair_id").select(F.pmod(F.col("rank") - 1, F.lit(max(1, n))).alias("rank"), F.col("text").alias("other"))
+    swap = ranked.join(own.select("pair_id", "at"), "pair_id").join(lent, "rank").select("pair_id", "at", "other")
+
+    each = turns.select("pair_id", F.posexplode("ts").alias("turn", "x")).select("pair_id", "turn", "x.role", "x.text")
+    here = F.col("at").isNotNull() & (F.col("turn") == F.col("at"))
+    rejected = each.join(swap, "pair_id", "left").withColumn("text", F.when(here, F.col("other")).otherwise(F.col("text"))).select("pair_id", "turn", "role", "text")
+    return each, rejected

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regista.llm.common import materialise, text_of
+from regista.llm.common import materialise, text_of, whole
 
 #: Terms are kept if log(documents / documents with the term) lies in this band.
 IDF_BAND = (2.3, 6.9)
-#: Lexicon subsets: the whole lexicon, three random subsets of three quarters of it, and four of each share 1 / 2 ** j. Large ones tell exact copies, small ones still agree after an edit.
-SUBSETS = 32
+#: Lexicon subsets: SCALES sizes of them, EACH of a size, a random half, quarter, eighth ... of the lexicon; the sizes are those of which a text holds about two terms, one, a half and a quarter. Large ones tell copies, small ones still agree after an edit.
+SCALES, EACH = 4, 8
+SUBSETS = SCALES * EACH
 #: The lexicon is broadcast up to so many terms (8 bytes each), and joined by a shuffle beyond.
 BROADCAST_TERMS = 1_000_000
 #: Ranges in which neighbours are looked up; a range holds about the same number of rows.
@@ -36,15 +37,32 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
 
 
 def subset_hashes(kept: Column) -> Column:
-    """One hash for each lexicon subset, of the sorted distinct term hashes that lie in it; null if none does."""
+    """One hash for each lexicon subset, of the sorted distinct term hashes that lie in it; null if none does.
+
+    Subset sizes follow the number of terms: of n terms, subsets of the share
+    1 / 2 ** j are used for SCALES sizes from j = log2(n) - 1 on. A size has
+    its own slots, by j modulo SCALES, and its number goes into the hash, so
+    texts with about as many terms can be compared.
+    """
+
+    def of(terms: Column) -> Column:
+        first = F.greatest(F.floor(F.log2(F.size(terms).cast("double"))).cast("int") - 1, F.lit(0))
+
+        def one(k: int) -> Column:
+            j = first + F.pmod(F.lit(k // EACH) - first, F.lit(SCALES))
+            mask = F.call_function("shiftleft", F.lit(1).cast("long"), j) - 1
+            inside = F.filter(terms, lambda t: F.xxhash64(t, F.lit(k)).bitwiseAND(mask) == 0)
+            return F.when(F.size(inside) > 0, F.xxhash64(j, inside))
+
+        return F.when(F.size(terms) > 0, F.array(*map(one, range(SUBSETS)))).otherwise(F.array_repeat(F.lit(None).cast("bigint"), SUBSETS))
+
+    return F.get(F.transform(F.array(kept), of), F.lit(0))
 
-    def one(k: int) -> Column:
-        mask = 0 if k == 0 else 3 if k < 4 else (1 << (k // 4)) - 1
-        hit = lambda t: F.xxhash64(t, F.lit(k)).bitwiseAND(F.lit(mask))
-        inside = kept if k == 0 else F.filter(kept, (lambda t: hit(t) != 0) if k < 4 else (lambda t: hit(t) == 0))
-        return F.when(F.size(inside) > 0, F.xxhash64(inside))
 
-    return F.array(*map(one, range(SUBSETS)))
+def hashes_of(kept: Column, every: Column) -> Column:
+    """subset_hashes(kept); for a text without any term in the band the hash of all its distinct terms alone, so that unlike ones differ; for a text without terms, where both are null, nulls."""
+    spare = F.concat(F.array(every), F.array_repeat(F.lit(None).cast("bigint"), SUBSETS - 1))
+    return F.when(F.size(kept) > 0, subset_hashes(kept)).otherwise(spare)
 
 
 def printed(hashes: Column) -> Column:
@@ -60,22 +78,25 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _collected(texts: DataFrame, lex: DataFrame, keys: list[str]) -> DataFrame:
-    """Sorted in-band term hashes (kept) of texts (keys, text); texts without any have no row."""
-    found = texts.select(*keys, F.explode(terms(F.col("text"))).alias("t")).select(*keys, F.xxhash64("t").alias("term"))
-    return found.join(lex, "term").groupBy(*keys).agg(F.sort_array(F.collect_set("term")).alias("kept"))
+    """The subset hashes (hashes) of texts (keys, text); texts without any term have no row. A text's terms are combined in the task that reads it."""
+    found = texts.select(*keys, F.explode_outer(terms(F.col("text"))).alias("t")).where("t is not null").select(*keys, F.xxhash64("t").alias("term"))
+    both = found.join(lex, "term", "left").groupBy(*keys).agg(F.sort_array(F.collect_set(F.when(F.col("in_band"), F.col("term")))).alias("kept"), F.bit_xor("term").alias("every"))
+    return both.select(*keys, hashes_of(F.col("kept"), F.col("every")).alias("hashes"))
 
 
 def _lexicon_of(docs: DataFrame, band: tuple[float, float]) -> DataFrame:
-    lex = materialise(lexicon(docs, band))
+    lex = materialise(lexicon(docs, band).withColumn("in_band", F.lit(True)))
     return F.broadcast(lex) if lex.count() <= BROADCAST_TERMS else lex
 
 
 def fingerprint(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
-    """Adds fingerprint, the joined subset hashes, to docs (doc_id, text); a null text counts as ''."""
+    """docs (doc_id, text) with a column fingerprint, the joined subset hashes, in place of one of that name; a null text counts as ''. Other columns stay as they are, whatever their names; texts are read whole, equal texts once; an empty table stays empty."""
     lex = _lexicon_of(docs, band)
-    kept = _collected(docs.select(F.xxhash64(text_of()).alias("_key"), text_of().alias("text")).dropDuplicates(["_key"]), lex, ["_key"])
-    out = docs.withColumn("_key", F.xxhash64(text_of())).join(kept, "_key", "left")
-    return out.withColumn("fingerprint", printed(subset_hashes(F.coalesce("kept", F.array().cast("array<bigint>"))))).drop("_key", "kept")
+    kept = _collected(docs.select(F.xxhash64(text_of()).alias("key"), text_of().alias("text")).dropDuplicates(["key"]), lex, ["key"])
+    out = docs.select(whole(docs).alias("doc"), F.xxhash64(text_of()).alias("key")).join(kept, "key", "left")
+    hashes = F.coalesce("hashes", F.array_repeat(F.lit(None).cast("bigint"), SUBSETS))
+    columns = [c for c in docs.columns if c.lower() != "fingerprint"]
+    return out.select(*[F.col("doc").getField(c).alias(c) for c in columns], printed(hashes).alias("fingerprint"))
 
 
 def compared(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
@@ -86,17 +107,19 @@ def compared(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame
     code points replaced by the first as many of the next document in order of
     (doc_id, text), after the last the first. A fingerprint joins the hashes
     of 32 lexicon subsets. The lexicon holds the terms whose inverse document
-    frequency, over all documents, lies in the band. A null text counts as '';
-    null ids come last; equal texts have equal fingerprints, texts without
-    terms in the band that of ''. One document is its own next. An empty table
-    stays empty; other columns are ignored.
+    frequency, over all documents, lies in the band; a text without any such
+    term has the hash of all its terms instead. A null text counts as ''; null
+    ids come last, in an order of their own; equal texts have equal
+    fingerprints. Texts of any length are read whole. One document is its own
+    next. An empty table stays empty; other columns are ignored.
     """
     lex = _lexicon_of(docs, band)
     n = docs.count()
     cuts = min(RANGES, n // RANGE_ROWS)
     bounds = docs.approxQuantile("doc_id", [i / cuts for i in range(1, cuts)], 1 / (8 * cuts)) if cuts > 1 else []
     steps = F.array(*[F.lit(int(b)) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<bigint>")
-    part = F.when(F.col("doc_id").isNull(), F.lit(RANGES)).otherwise(F.size(F.filter(steps, lambda b: b < F.col("doc_id"))))
+    spread = F.lit(cuts + 1) + F.pmod(F.xxhash64(text_of()), F.lit(max(1, cuts)))  # rows without an id have an order of their own
+    part = F.when(F.col("doc_id").isNull(), spread.cast("int")).otherwise(F.size(F.filter(steps, lambda b: b < F.col("doc_id"))))
     rows = docs.select(part.alias("part"), "doc_id", text_of().alias("text"))
 
     whole = Window.orderBy("part")  # a row for each range
@@ -123,7 +146,6 @@ def compared(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame
 
     both = placed.select("part", "at", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("v"))
     kept = _collected(both.select("part", "at", "v.which", "v.text"), lex, ["part", "at", "which"])
-    kept = kept.select("part", "at", "which", subset_hashes(F.col("kept")).alias("hashes"))
     kept = kept.groupBy("part", "at").agg(*[F.first(F.when(F.col("which") == w, F.col("hashes")), ignorenulls=True).alias(name) for w, name in ((0, "f"), (1, "e"))])
     none = F.array_repeat(F.lit(None).cast("bigint"), SUBSETS)
     told = placed.select("part", "at", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))

@@ -30,7 +30,7 @@ def _spans(column: str) -> Column:
 
 
 def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation against the answer of its neighbour; spans as start-end,start-end."""
+    """Every conversation against itself with one answer replaced by its neighbour's; spans as start-end,start-end."""
     pairs = chat.format_preferences(*chat.contrasted(table(spark, sf_dir, "conversations")))
     return pairs.select(F.col("pair_id").alias("conv_id"), "n_common", "prompt", "chosen", "rejected", _spans("chosen_spans"), _spans("rejected_spans"))
 
@@ -78,30 +78,32 @@ QUERIES: dict[str, Query] = {
 #: The others have no SQL: MinHash bands, curve and rank tables, hashed features, pivotal draws and tokenizers have no counterpart in it, and tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op4_preference_format": """
-WITH last AS (
-  SELECT conv_id, arg_max(coalesce(text, ''), turn) AS text, max(turn) AS turn
-  FROM conversations WHERE role = 'assistant' GROUP BY conv_id
-), pairs AS (
-  SELECT a.conv_id, a.turn, a.text AS own, b.text AS other
-  FROM last a JOIN last b ON b.conv_id = xor(a.conv_id, 1)
-), before AS (
-  SELECT p.conv_id, count(c.turn) AS n,
-         coalesce(string_agg('<|' || coalesce(c.role, '') || '|>' || chr(10) || coalesce(c.text, '') || '<|end|>' || chr(10), '' ORDER BY c.turn), '') AS prompt
-  FROM pairs p LEFT JOIN conversations c ON c.conv_id = p.conv_id AND c.turn < p.turn
-  GROUP BY p.conv_id
-), rendered AS (
-  SELECT conv_id, own = other AS equal, own, other,
-         '<|assistant|>' || chr(10) || own || '<|end|>' || chr(10) AS a,
-         '<|assistant|>' || chr(10) || other || '<|end|>' || chr(10) AS b
-  FROM pairs
+WITH t AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), answers AS (
+  SELECT conv_id, pos, text, row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM t WHERE role = 'assistant'
+), own AS (
+  SELECT conv_id, pos, text, row_number() OVER (ORDER BY conv_id) - 1 AS r, count(*) OVER () AS m FROM answers WHERE k = conv_id % n
+), swap AS (
+  SELECT a.conv_id, a.pos, b.text AS other FROM own a JOIN own b ON b.r = (a.r + 1) % a.m WHERE a.text IS DISTINCT FROM b.text
+), cut AS (
+  SELECT t.conv_id, coalesce(min(swap.pos), count(*)) AS cut, min(swap.other) AS other FROM t LEFT JOIN swap USING (conv_id) GROUP BY t.conv_id
+), sides AS (
+  SELECT conv_id, cut, pos, role, '<|' || coalesce(role, '') || '|>' || chr(10) AS head,
+         coalesce(text, '') || '<|end|>' || chr(10) AS c, coalesce(CASE WHEN pos = cut THEN other ELSE text END, '') || '<|end|>' || chr(10) AS j
+  FROM t JOIN cut USING (conv_id)
+), placed AS (
+  SELECT *, sum(length(head || c)) OVER w AS ec, sum(length(head || j)) OVER w AS ej FROM sides
+  WINDOW w AS (PARTITION BY conv_id, pos >= cut ORDER BY pos)
 )
-SELECT conv_id,
-       CAST(n + CASE WHEN equal THEN 1 ELSE 0 END AS INTEGER) AS n_common,
-       prompt || CASE WHEN equal THEN a ELSE '' END AS prompt,
-       CASE WHEN equal THEN '' ELSE a END AS chosen,
-       CASE WHEN equal THEN '' ELSE b END AS rejected,
-       CASE WHEN equal THEN '' ELSE '14-' || CAST(length(a) AS VARCHAR) END AS chosen_spans,
-       CASE WHEN equal THEN '' ELSE '14-' || CAST(length(b) AS VARCHAR) END AS rejected_spans
-FROM rendered JOIN before USING (conv_id)
+SELECT conv_id, CAST(any_value(cut) AS INTEGER) AS n_common,
+       coalesce(string_agg(head || c, '' ORDER BY pos) FILTER (pos < cut), '') AS prompt,
+       coalesce(string_agg(head || c, '' ORDER BY pos) FILTER (pos >= cut), '') AS chosen,
+       coalesce(string_agg(head || j, '' ORDER BY pos) FILTER (pos >= cut), '') AS rejected,
+       coalesce(string_agg((ec - length(c)) || '-' || ec, ',' ORDER BY pos) FILTER (pos >= cut AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg((ej - length(j)) || '-' || ej, ',' ORDER BY pos) FILTER (pos >= cut AND role = 'assistant'), '') AS rejected_spans
+FROM placed GROUP BY conv_id
 """,
 }

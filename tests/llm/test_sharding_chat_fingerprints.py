@@ -1,11 +1,14 @@
+import collections
 import hashlib
+import math
+import re
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
 import regista.llm.fingerprints as fingerprints
-from regista.llm.chat import format_preferences
+from regista.llm.chat import contrasted, format_preferences
 from regista.llm.common import with_rank
 from regista.llm.queries import ORACLE_SQL, op4_preference_format
 from regista.llm.sharding import hilbert_index, shard_rows, write_shards
@@ -68,7 +71,8 @@ def test_fingerprints(spark, sf_dir, monkeypatch):
             by_text.setdefault(texts[r["doc_id"]], set()).add(r["fingerprint"])
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
     assert all(len(f) == 1 for f in by_text.values())
-    assert np.mean([r["near_edited"] for r in got]) > np.mean([r["near_next"] for r in got])
+    long = [r for r in got if r["n_chars"] >= 100]
+    assert np.mean([r["near_edited"] > 0 for r in long]) > 0.8 and np.mean([r["near_edited"] for r in got]) > 5 * np.mean([r["near_next"] for r in got if r["near_next"] < 1])
     alone = fingerprints.fingerprint(docs).collect()
     prints = {r["doc_id"]: r["fingerprint"] for r in got if r["doc_id"] >= 0}
     assert all(r["fingerprint"] == prints[r["doc_id"]] for r in alone if r["doc_id"] >= 0)
@@ -97,3 +101,47 @@ def test_preference_query_gives_the_rows_of_its_sql(spark, sf_dir):
     ours = op4_preference_format(spark, sf_dir).toPandas()
     sql = connect(sf_dir).sql(ORACLE_SQL["op4_preference_format"]).df()
     assert rows(ours) == rows(sql)
+
+
+def test_every_conversation_has_a_row(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(5, 0, "user", "a"), (5, 1, "assistant", "b"), (5, 2, "user", "c"), (5, 3, "assistant", "d"), (5, 4, "user", "thanks"), (9, 0, "user", "no answer"), (-4, 0, "assistant", "e"), (70, 3, "assistant", None), (70, 3, None, None), (None, 0, "user", "x")]
+    df = spark.createDataFrame(rows, schema).withColumn("ts", F.lit(1)).withColumn("rank", F.lit(2))
+    got = {r["pair_id"]: r for r in format_preferences(*contrasted(df)).collect()}
+    assert set(got) == {5, 9, -4, 70}
+    assert got[5]["n_common"] == 3 and got[5]["chosen"].endswith("thanks<|end|>\n") and got[5]["rejected"].endswith("thanks<|end|>\n")
+    assert got[5]["chosen"].startswith("<|assistant|>\nd<|end|>") and got[5]["rejected"].startswith("<|assistant|>\n<|end|>")
+    assert got[9]["n_common"] == 1 and got[9]["chosen"] == got[9]["rejected"] == ""
+    assert (got[-4]["n_common"], got[-4]["rejected"]) == (0, "<|assistant|>\nd<|end|>\n")
+    alone = format_preferences(*contrasted(df.where("conv_id = 5"))).first()
+    assert alone["n_common"] == 5 and alone["rejected"] == ""
+    assert format_preferences(*contrasted(df.limit(0))).count() == 0
+
+
+def test_fingerprints_match_brute_force(spark):
+    """Terms, band, subsets and likeness, one text at a time; only the 64-bit hashes are Spark's."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"t{w}" for w in rng.integers(0, 60, 30)) for _ in range(40)] + ["solitary words here", "other lone ones", "", None, "... !"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("Fingerprint", F.lit("old"))
+    found = [set(re.findall(r"[^\W_]+", (t or "").lower())) for t in texts]
+    df = collections.Counter(w for s in found for w in s)
+    band = {w for w, n in df.items() if 0.5 <= math.log(len(texts) / n) <= 1.5}
+    hashed = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in df], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    pairs = spark.createDataFrame([(h, k) for h in hashed.values() for k in range(fingerprints.SUBSETS)], "h long, k int")
+    salted = {(r["h"], r["k"]): r["x"] for r in pairs.select("h", "k", F.xxhash64("h", "k").alias("x")).collect()}
+    members = []
+    for s in found:
+        terms = sorted(hashed[w] for w in s & band)
+        if terms:
+            first = max(int(math.floor(math.log2(len(terms)))) - 1, 0)
+            sizes = [first + (k // fingerprints.EACH - first) % fingerprints.SCALES for k in range(fingerprints.SUBSETS)]
+            members.append([(j, inside) if (inside := tuple(t for t in terms if salted[t, k] & ((1 << j) - 1) == 0)) else None for k, j in enumerate(sizes)])
+        else:
+            members.append([("every", tuple(sorted(s))) if s else None] + [None] * (fingerprints.SUBSETS - 1))
+    out = fingerprints.fingerprint(docs, (0.5, 1.5))
+    assert out.columns == ["doc_id", "text", "key", "fingerprint"]
+    got = {r["doc_id"]: [r["fingerprint"][16 * k : 16 * k + 16] for k in range(fingerprints.SUBSETS)] for r in out.collect()}
+    for a in range(len(texts)):
+        assert [x == fingerprints.NOTHING for x in got[a]] == [m is None for m in members[a]]
+        for b in range(a):
+            assert [x == y for x, y in zip(got[a], got[b], strict=True)] == [m == n for m, n in zip(members[a], members[b], strict=True)]
