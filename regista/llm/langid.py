@@ -18,15 +18,17 @@ from regista.llm.hashing import pieces
 VOCABULARY = "piece_bpe_32k.model"
 #: Documents of a language to learn from, about so many at most, drawn by a hash of the id.
 SAMPLE = 1_500
-#: Languages to learn, the most frequent ones; the piece table has a column for each.
+#: Languages to learn, the most frequent ones; the piece table has a column for each, which bounds it. Texts of any further language get one of these.
 LANGUAGES = 200
 ROUNDS = 2
 SMOOTHING = 0.1
 #: Probability of a letter that no piece covers.
 UNKNOWN = 1e-7
-#: Longer runs of letters are scored in parts of so many.
-RUN = 32
-#: Words whose scores a task keeps at hand.
+#: Longer words are not learnt from; they are scored like all others.
+LEARNT = 64
+#: Numbers that a task's tables of forward sums and of recent words may hold.
+NUMBERS = 1 << 23
+#: Words whose scores a task keeps at hand, at most.
 CACHE = 200_000
 SEED = 31
 NONE = "und"
@@ -49,11 +51,8 @@ def vocabulary(path: str) -> list[str]:
 
 
 def runs(text: str) -> list[str]:
-    """The lower-case runs of letters, each with the mark of a word start, in parts of RUN letters at most."""
-    found = LETTERS.findall(text.lower())
-    if any(len(w) > RUN for w in found):
-        found = [w[k : k + RUN] for w in found for k in range(0, len(w), RUN)]
-    return ["▁" + w for w in found]
+    """The lower-case runs of letters, each with the mark of a word start."""
+    return ["▁" + w for w in LETTERS.findall(text.lower())]
 
 
 class Lattice:
@@ -80,13 +79,34 @@ class Lattice:
         return alpha
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """Log probability of each word in each language."""
-        out = np.empty((len(words), self.table.shape[1]))
+        """Log probability of each word in each language, over all segmentations.
+
+        Only the sums for the last cuts are held, as many as the longest piece
+        has letters. They are scaled as they fall, so words of any length have one.
+        """
+        width = self.table.shape[1]
+        out = np.empty((len(words), width))
+        get, last, keep = self.at.get, len(self.at), self.longest
         for m in set(map(len, words)):
             own = [k for k, w in enumerate(words) if len(w) == m]
-            for k in range(0, len(own), 4096):
-                part = own[k : k + 4096]
-                out[part] = np.log(self.forward(self.rows([words[x] for x in part]), m, len(part))[m])
+            size = max(1, NUMBERS // ((keep + 1) * width))
+            for b in range(0, len(own), size):
+                part = [words[k] for k in own[b : b + size]]
+                alpha = np.zeros((keep + 1, len(part), width))  # alpha[j % (keep + 1)] for cut j
+                alpha[0] = 1.0
+                scale = np.zeros((len(part), width))
+                for j in range(1, m + 1):
+                    total = np.zeros((len(part), width))
+                    for i in range(max(0, j - keep), j):
+                        k = np.array([get(w[i:j], last if j - i == 1 else -1) for w in part])
+                        used = np.flatnonzero(k >= 0)
+                        if len(used):
+                            total[used] += alpha[i % (keep + 1), used] * self.table[k[used]]
+                    alpha[j % (keep + 1)] = total
+                    if j % 16 == 0:
+                        scale += np.log(total)
+                        alpha /= total
+                out[own[b : b + size]] = scale + np.log(alpha[m % (keep + 1)])
         return out
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
@@ -94,8 +114,9 @@ class Lattice:
         out = np.zeros_like(self.table)
         for m in set(map(len, words)):
             own = [k for k, w in enumerate(words) if len(w) == m]
-            for b in range(0, len(own), 4096):
-                part = own[b : b + 4096]
+            size = max(1, NUMBERS // (2 * (m + 1) * self.table.shape[1]))
+            for b in range(0, len(own), size):
+                part = own[b : b + size]
                 rows = self.rows([words[x] for x in part])
                 alpha = self.forward(rows, m, len(part))
                 beta = np.zeros_like(alpha)
@@ -129,7 +150,7 @@ def _sample(docs: DataFrame) -> tuple[list[str], DataFrame]:
         for batch in pieces(batches, 512):
             found: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.update((lang, w) for w in runs(text))
+                found.update((lang, w) for w in runs(text) if len(w) <= LEARNT)
             yield pa.record_batch([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(found.values(), pa.int64())], names=["lang", "word", "n"])
 
     words = drawn.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -180,8 +201,11 @@ def identify(docs: DataFrame, path: str | None = None) -> DataFrame:
     word, so that long texts do not all score 1. Ties go to the first language
     in order. A text that is null or has no letter is 'und' with score 0, as
     are all texts where no language could be learnt. lang, source and doc_id
-    play no part in a prediction. Rows that repeat each have a row; other
-    columns are ignored.
+    play no part in a prediction. Words of any length are summed over all their
+    segmentations, texts are read whole. At most LANGUAGES languages are
+    learnt, the most frequent ones. Rows that repeat each have a row, equal
+    texts equal predictions; an empty table stays empty; other columns are
+    ignored.
     """
     names, langs, table = train(docs.where(~held_out()), path)
     model = docs.sparkSession.sparkContext.broadcast((names, table.astype(np.float32)))
@@ -193,7 +217,7 @@ def identify(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in pieces(batches, 512):
             texts = [runs(x) if x and langs else [] for x in batch.column(1).to_pylist()]
             new = [w for w in dict.fromkeys(w for t in texts for w in t) if w not in known]
-            if len(known) + len(new) > CACHE:
+            if len(known) + len(new) > min(CACHE, NUMBERS // max(1, len(langs))):
                 known, rows = {}, rows[:0]
                 new = list(dict.fromkeys(w for t in texts for w in t))
             if new:

@@ -23,13 +23,18 @@ def test_forward_sums_all_segmentations():
     words = ["▁abab", "▁bcab", "▁ab", "▁a"]
     lattice = langid.Lattice(names, table)
     assert np.allclose(np.exp(lattice.scores(words))[:, 0], [probability(w, names, table) for w in words])
+    long = "▁" + "ab" * 30_000
+    two = lattice.scores([long, "▁" + "abab" * 2, "▁" + "ab" * 12])[:, 0]
+    assert np.isfinite(two).all() and np.allclose(np.exp(two[1:]), [probability(w, names, table) for w in ("▁" + "ab" * 4, "▁" + "ab" * 12)], rtol=1e-9)
+    step = lattice.scores(["▁" + "ab" * 200, "▁" + "ab" * 201])[:, 0]
+    assert abs((step[1] - step[0]) * 29_800 + step[0] - two[0]) < 1e-3 * abs(two[0])  # as many letters, as many times the step
     counts = lattice.expected(["▁ab"], np.array([[2.0]]))
     assert np.isclose((counts[:-1, 0] * [len(n) for n in names]).sum() + counts[-1, 0], 2 * 3)  # every letter is counted once a word
 
 
 def test_languages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    odd = [(-1, None, "en"), (-2, "12 !!", None), (-3, "the of and " * 5000, None), (-4, "x" * 5000, "en")]
+    odd = [(-1, None, "en"), (-2, "12 !!", None), (-3, "the of and " * 5000, None), (-4, "x" * 5000, "en"), (-5, "der und die" * 3000, None)]
     docs = docs.union(spark.createDataFrame(odd, docs.schema))
     got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
     lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
