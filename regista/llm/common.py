@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regista.functions.ranks import materialise, with_rank  # noqa: F401  the operators take them from here
+
 #: Runs of the white space that separates words.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -15,19 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
-
-    The folder is the one the session names in spark.checkpoint.dir; a folder
-    of our own is set only where the session names none (tests, local runs).
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
 def whole(docs: DataFrame) -> Column:
     """All columns of docs as one struct, so that no name among them can clash with those that an operator adds."""
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in docs.columns])
@@ -52,30 +39,3 @@ def uniform(*parts: Column | int) -> Column:
     """A repeatable draw from [0, 1) that depends on the parts alone."""
     h = F.xxhash64(*[F.lit(p) if isinstance(p, int) else p for p in parts])
     return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
-
-
-def with_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
-    """Number the rows from 0 in a total order without sorting them in one task.
-
-    Rows are dealt into ranges and sorted inside each; a row's number is its
-    place in its range plus the rows of earlier ranges, a table with one row
-    for each range. Rows that are equal in the order get adjacent numbers.
-    The result is cut from its lineage, so the numbers never change. It is
-    meant for narrow rows: carry keys, not texts.
-    """
-    place = F.monotonically_increasing_id()
-    dealt = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place))
-    part = F.shiftright("_place", 33)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        dealt.groupBy(part.alias("_part"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    )
-    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        dealt.withColumn("_part", part)
-        .join(F.broadcast(starts), "_part")
-        .withColumn(name, F.col("_start") + inside)
-        .drop("_part", "_place", "_start")
-    )
