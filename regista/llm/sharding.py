@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regista.llm.common import materialise, text_of, with_rank
+from regista.llm.common import materialise, text_of, whole, with_rank
 
 SHARDS = 8
 #: Bits of each dimension.
@@ -69,7 +71,8 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataF
     and doc_id, and cut into runs: law 'rows', row counts differ by one at
     most, so a group of equal rows may span a cut. grown_shard is null, as a
     cut depends on all rows. Null values sort last and are levels of their
-    own; rows equal in all columns are interchangeable.
+    own; rows equal in all columns are interchangeable. Texts of any length are
+    read whole; an empty table stays empty; other columns are ignored.
     """
     text = text_of()
     rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), "lang", "source")
@@ -92,9 +95,25 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataF
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, rows_per_file: int = 100_000) -> None:
-    """Write docs as Parquet under path/shard=N, in curve order, so that files cover small boxes of language, source and size."""
-    placed = shard_rows(docs, shards).select("doc_id", "text_crc32", "shard", "slot", F.col("source").alias("_source"), F.col("lang").alias("_lang")).withColumnRenamed("doc_id", "_doc_id").dropDuplicates(["_doc_id", "text_crc32", "_source", "_lang"])
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.crc32(F.encode(text_of(), "UTF-8")) == F.col("text_crc32")) & F.col("source").eqNullSafe(F.col("_source")) & F.col("lang").eqNullSafe(F.col("_lang"))
-    out = docs.join(placed, same).drop("_doc_id", "text_crc32", "_source", "_lang")
+    """Write docs as Parquet under path/shard=N, in curve order, so that files cover small boxes of language, source and size.
+
+    All columns are written as they are; one named shard, in any case, is
+    written as shard_ instead, with as many '_' as it takes, since shard is the
+    folder's. Rows that repeat doc_id, text, lang and source get the place of
+    the first of them; no row is lost. Texts of any length are written whole; an empty
+    table writes nothing but its schema.
+    """
+    keys = ["doc_id", "text_crc32", "source", "lang"]
+    placed = shard_rows(docs, shards).groupBy(*keys).agg(F.min(F.struct("shard", "slot")).alias("place"))
+    placed = placed.select(*[F.col(k).alias(f"key_{k}") for k in keys], "place.shard", "place.slot")
+    own = docs.select(whole(docs).alias("doc"), "doc_id", F.crc32(F.encode(text_of(), "UTF-8")).alias("text_crc32"), "source", "lang")
+    same = [F.col(k).eqNullSafe(F.col(f"key_{k}")) for k in keys]
+    out = own.join(placed, reduce(lambda a, b: a & b, same)).select("doc", "shard", "slot")
     n = max(shards, -(-docs.count() // rows_per_file))
-    out.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    out = out.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot")
+    names, taken = {}, {c.lower() for c in docs.columns}
+    for c in docs.columns:
+        names[c] = c
+        while names[c].lower() == "shard" or (names[c] != c and names[c].lower() in taken):
+            names[c] += "_"
+    out.select(*[F.col("doc").getField(c).alias(name) for c, name in names.items()], "shard").write.partitionBy("shard").parquet(path)

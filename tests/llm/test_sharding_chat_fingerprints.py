@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 import regista.llm.fingerprints as fingerprints
@@ -145,3 +146,32 @@ def test_fingerprints_match_brute_force(spark):
         assert [x == fingerprints.NOTHING for x in got[a]] == [m is None for m in members[a]]
         for b in range(a):
             assert [x == y for x, y in zip(got[a], got[b], strict=True)] == [m == n for m, n in zip(members[a], members[b], strict=True)]
+
+
+def test_files_prune_and_names_may_clash(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", "1 as shard", "2 as slot", "3 as SHARD_", "4 as doc")
+    docs = docs.union(docs.where("doc_id < 3"))
+    write_shards(docs, str(tmp_path / "out"), rows_per_file=10)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == docs.count() and set(back.columns) == {"doc_id", "text", "lang", "source", "n_chars", "shard__", "slot", "SHARD_", "doc", "shard"}
+    files = list((tmp_path / "out").rglob("*.parquet"))
+    pairs = [(m.row_group(0).column(m.schema.names.index("lang")).statistics, m.num_rows) for m in (pq.read_metadata(f) for f in files) if m.num_rows]
+    langs = sorted({r["lang"] for r in docs.select("lang").distinct().collect() if r["lang"]})
+    read = sum(n for lang in langs for s, n in pairs if s.has_min_max and s.min <= lang <= s.max)
+    assert read < 0.6 * len(langs) * docs.count()  # a filter on a language skips most files by their statistics
+    write_shards(docs.limit(0), str(tmp_path / "none"))
+
+
+def test_shard_order_is_the_curve_then_crc_and_id(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(150)
+    got = sorted(shard_rows(docs).collect(), key=lambda r: (r["shard"], r["slot"]))
+    rows = docs.collect()
+    level = {}
+    for c in ("lang", "source"):
+        values = sorted({r[c] for r in rows}, key=lambda v: (v is None, v or ""))
+        level[c] = {v: k * 256 // len(values) for k, v in enumerate(values)}
+    size = lambda r: len((r["text"] or "").encode()) + 1
+    cell = np.array([[level["lang"][r["lang"]], level["source"][r["source"]], min(255, int(math.floor(math.log2(size(r)) * 8)))] for r in rows]).T
+    place = {r["doc_id"]: int(h) for r, h in zip(rows, hilbert_index(cell, 8), strict=True)}
+    expected = sorted(rows, key=lambda r: (place[r["doc_id"]], zlib.crc32((r["text"] or "").encode()), r["doc_id"]))
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in expected] and all(r["hilbert"] == place[r["doc_id"]] for r in got)
