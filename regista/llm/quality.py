@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regista.llm.common import materialise, text_of, words
+from regista.llm.common import materialise, text_of, unpacked, whole, words
 from regista.llm.linking import BROADCAST_IDS
 
 #: What base_counts() adds.
@@ -129,21 +129,24 @@ def judge(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     distances and only the base rules hold. Documents without a language, or
     of a rare one, are held against the mean over all documents. A null text
     counts as ''. Rows are judged one by one, so repeated rows have equal
-    results; added columns replace those of the same name, columns that start
-    with '_' are not allowed. An empty table stays empty. With columns, only
-    those and the added ones come back, and each text is read once; else a
-    first pass over the texts gives the references and a second the verdicts.
+    results; added columns replace those of the same name, others stay as they
+    are, whatever their names. Texts of any length are read whole, once. An
+    empty table stays empty. With columns, some of docs that clash with no
+    added one, only those and the added ones come back.
     """
-    marked = histograms(base_counts(docs))
     if columns is None:
-        long = histograms(docs.select("lang", "text").where(F.length("text") >= MIN_CHARS))
-    else:
-        marked = materialise(marked.select(*columns, F.col("lang").alias("_key"), *COUNTS, "_chars", "_terms"))
-        long = marked.where("_chars is not null").withColumn("lang", F.col("_key"))
+        # worked on under names of their own, so that no column of docs can clash
+        found = judge(docs.select(whole(docs).alias("doc"), "lang", "text"), ["doc"])
+        new = [c for c in found.columns if c != "doc"]
+        own = [c for c in docs.columns if c.lower() not in new]
+        return found.select(*[F.col("doc").getField(c).alias(c) for c in own], *new)
+    marked = histograms(base_counts(docs))
+    marked = materialise(marked.select(*columns, F.col("lang").alias("_key"), *COUNTS, "_chars", "_terms"))
+    long = marked.where("_chars is not null").withColumn("lang", F.col("_key"))
     refs = materialise(references(long))  # 1001 rows at most
     pooled = refs.where("lang is null").first()
     own = F.broadcast(refs.where("lang is not null").withColumnRenamed("lang", "_lang"))
-    marked = marked.join(own, F.col("lang" if columns is None else "_key") == F.col("_lang"), "left")
+    marked = marked.join(own, F.col("_key") == F.col("_lang"), "left")
 
     def far(counts: str, ref: str) -> Column:
         spare = F.array(*[F.lit(x) for x in pooled[ref]]) if pooled and pooled[ref] else F.lit(None).cast("array<double>")
@@ -159,15 +162,17 @@ def judge(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judge() keeps, with their columns as they are.
+    """The rows of docs that judge() keeps, with their columns as they are, whatever their names.
 
     Verdicts are made once, on narrow rows, and cut from their lineage; the
-    rejected rows, named by a hash of their columns, are then taken out. Rows
-    that repeat another share its verdict.
+    rejected rows, named by a hash of doc_id, lang and text, are then taken
+    out. Rows that repeat another in these share its verdict. A null text is
+    rejected, as it has fewer than 10 words; texts of any length are read
+    whole; an empty table stays empty.
     """
     row = F.xxhash64("doc_id", "lang", "text")
-    verdicts = materialise(judge(docs.withColumn("_row", row), ["_row"]).select("_row", "kept"))
-    rejected = verdicts.where("not kept").select("_row").distinct()
+    verdicts = materialise(judge(docs.select("lang", "text", row.alias("row")), ["row"]).select("row", "kept"))
+    rejected = verdicts.where("not kept").select("row").distinct()
     if rejected.count() <= BROADCAST_IDS:
         rejected = F.broadcast(rejected)
-    return docs.withColumn("_row", row).join(rejected, "_row", "left_anti").select(*docs.columns)
+    return unpacked(docs.select(whole(docs).alias("doc"), row.alias("row")).join(rejected, "row", "left_anti"), docs.columns, "doc")

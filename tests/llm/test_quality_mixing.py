@@ -1,8 +1,12 @@
 import collections
+import math
 import re
+import unicodedata
 
+import regex
 from pyspark.sql import functions as F
 
+from regista.llm import quality
 from regista.llm.common import uniform
 from regista.llm.mixing import MOST, SEED, mix, mixed, rounded, targets
 from regista.llm.quality import judge
@@ -133,3 +137,50 @@ def test_one_block_is_rounded_step_by_step(spark):
     expected, held = steps([(r["p"], r["u"], r["rank"]) for r in draws])
     got = {r["rank"]: r["extra"] for r in rounded(df).collect()}
     assert {k: got[k] for k in expected} == expected and set(got) - set(expected) == {held[2]}
+
+
+def plain_distance(p, q):
+    h = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
+    kl = lambda a: sum(x * math.log2(x / m) for x, m in zip(a, h, strict=True) if x > 0)
+    return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+
+def test_distances_and_verdict_match_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").where("doc_id < 120")
+    docs = docs.union(spark.createDataFrame([(-1, "%%% TE1 " * 100, None), (-2, None, "en")], docs.schema)).withColumn("_w", F.lit(1)).withColumn("doc", F.lit(2)).withColumn("KEPT", F.lit(3))
+    rows = docs.collect()
+
+    def chars(t):
+        classes = [" \t\n\v\f\r", None, None, None, ".,;:!?'\"()-", "#*$%&|<>"]
+        out = [0] * 8
+        for c in t:
+            kind = unicodedata.category(c)
+            k = 0 if c in classes[0] else 1 if kind == "Lu" else 2 if kind in ("Lo", "Lt", "Lm") or kind[0] == "M" else 3 if kind == "Nd" else 4 if c in classes[4] else 5 if c in classes[5] else 7 if kind == "Ll" else 6
+            out[k] += 1
+        return out
+
+    def terms(t):
+        w = [x for x in regex.split(r"[^\p{L}]+", t.lower()) if x]
+        return [w.count(x) for x in quality.COMMON] + [sum(x not in quality.COMMON for x in w)] if len(w) >= quality.MIN_TERMS else None
+
+    share = lambda x: [v / sum(x) for v in x]
+    mean = lambda xs: [sum(c) / len(xs) for c in zip(*xs, strict=True)] if xs else None
+    held = {r["doc_id"]: (share(chars(r["text"])) if len(r["text"] or "") >= quality.MIN_CHARS else None, (lambda c: share(c) if c else None)(terms(r["text"] or ""))) for r in rows}
+    long = [(r["lang"], *held[r["doc_id"]]) for r in rows if held[r["doc_id"]][0]]
+    refs = {k: tuple(mean([x[i] for x in long if (k == "all" or x[0] == k) and x[i]]) for i in (1, 2)) for k in {x[0] for x in long if x[0]} | {"all"}}
+    got = {r["doc_id"]: r for r in judge(docs).collect()}
+    assert len(got) == len(rows) and set(judge(docs).columns) >= {"_w", "doc", "kept"} and "KEPT" not in judge(docs).columns
+    for r in rows:
+        own, g = refs.get(r["lang"], refs["all"]), got[r["doc_id"]]
+        far = [plain_distance(h, ref or refs["all"][i]) if h else None for i, (h, ref) in enumerate(zip(held[r["doc_id"]], own, strict=True))]
+        for name, d in zip(("char_distance", "word_distance"), far, strict=True):
+            assert (g[name] is None) == (d is None) and (d is None or abs(g[name] - d) < 1e-9), (r["doc_id"], name)
+        assert g["kept"] == (not g["base_failed"] and (far[0] or 0) <= quality.MAX_CHAR_DISTANCE and (far[1] or 0) <= quality.MAX_WORD_DISTANCE)
+
+
+def test_accepted_keeps_columns_of_any_name(spark):
+    good = " ".join(f"word{k}" for k in range(30))
+    df = spark.createDataFrame([(1, good, "en"), (2, "short", "en"), (3, None, None), (1, good, "en")], "doc_id long, text string, lang string").selectExpr("*", "1 as _row", "2 as row", "3 as doc", "4 as _w", "5 as n_words")
+    got = quality.accepted(df)
+    assert got.columns == df.columns and [r["doc_id"] for r in got.collect()] == [1, 1] and {r["_row"] for r in got.collect()} == {1}
+    assert quality.accepted(df.limit(0)).count() == 0
