@@ -20,6 +20,8 @@ SAMPLE = 24_000
 #: Documents that one task learns from; the models of several tasks are averaged.
 PART = 6_000
 EPOCHS = 6
+#: Drawn labels are broadcast up to so many (an id, a label and a number each), so that only the drawn texts move.
+BROADCAST_DRAWN = 200_000
 #: Per-coordinate rate alpha / (beta + sqrt(sum of squared gradients)), and the two penalties.
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 6.0, 0.1
 SEED = 77
@@ -87,6 +89,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     n = labels.count()
     parts = -(-min(n, sample) // PART) or 1
     drawn = labels.withColumn("draw", uniform(F.lit(SEED), F.col("doc_id"))).where(F.col("draw") < F.lit(min(1.0, sample / max(1, n))))
+    drawn = materialise(drawn)
+    if drawn.count() <= BROADCAST_DRAWN:
+        drawn = F.broadcast(drawn)
     rows = docs.select("doc_id", text_of().alias("text")).join(drawn, "doc_id").withColumn("part", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(parts)))
     learnt = rows.groupBy("part").applyInPandas(_learn, "slot long, weight double")
     return learnt.groupBy("slot").agg((F.sum("weight") / F.lit(float(parts))).alias("weight"))
@@ -119,7 +124,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     5; held_out marks the others. The score, from 0 to 1, is higher where the
     label toxic is likelier; predicted is 1 from 0.5. It depends on the text
     alone: an empty or null text has the score of no features, equal texts have
-    equal scores. Rows that repeat a doc_id each have a row. Without labels all
+    equal scores. Texts of any length are read whole. Rows that repeat a doc_id each have a row; a
+    null doc_id has no label. An empty table stays empty. Without labels all
     scores are 0.5 and predicted 1. Other columns are ignored.
     """
     weights = materialise(train(docs.where(~held_out()), labels.where(~held_out())))

@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pyarrow as pa
 
 import regista.llm.langid as langid
 import regista.llm.toxicity as toxicity
@@ -68,3 +71,28 @@ def test_toxicity(spark):
     weights = toxicity.train(docs, labels).count()
     assert 0 < weights < 2000  # the L1 penalty leaves few
     assert {r["score"] for r in toxicity.toxicity(docs, labels.where("false")).collect()} == {0.5}
+
+
+def test_ftrl_matches_its_formulas():
+    """The update of each weight, one by one, on fifty small texts."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{chr(97 + k)}" for k in rng.integers(0, 12, 8)) for _ in range(50)]
+    labels = [int("wa" in t.split()) for t in texts]
+    slots, model = toxicity.features(pa.array(texts)), toxicity.Ftrl()
+    z, n = {}, {}
+
+    def weight(k):
+        s = z.get(k, 0.0)
+        return 0.0 if abs(s) <= toxicity.L1 else -(s - math.copysign(toxicity.L1, s)) / ((toxicity.BETA + math.sqrt(n.get(k, 0.0))) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(4):
+        for s, y in zip(slots, labels, strict=True):
+            model.learn(s, y)
+            keys = [*s.tolist(), toxicity.SLOTS]
+            w = {k: weight(k) for k in keys}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for k in keys:
+                rate = (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / toxicity.ALPHA
+                z[k], n[k] = z.get(k, 0.0) + g - rate * w[k], n.get(k, 0.0) + g * g
+    assert all(abs(model.z[k] - z[k]) < 1e-9 and abs(model.weights(np.array([k]))[0] - weight(k)) < 1e-9 for k in z)
+    assert any(weight(k) for k in z) and [len(s) for s in slots] == [len(set(s.tolist())) for s in slots]
