@@ -517,12 +517,21 @@ def stream_alerts(spark, sf_dir):
     return _collected(spark, stream.alerts(_events_stream(spark, sf_dir), _rules(spark)), "alerts")
 
 
-@query()
+@query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 45 MINUTE THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+r AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM g),
+s AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 45 MINUTE AS "end", count(*) AS n FROM r GROUP BY user_id, run)
+SELECT user_id, start, "end", n FROM s WHERE "end" <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)
+""")
 def stream_sessions(spark, sf_dir):
-    """Sessions that closed before the end of the stream; open ones stay in its state, so there is no SQL."""
+    """Sessions that closed an hour before the last event; later ones stay in the stream's state."""
     return _collected(spark, stream.sessions(_events_stream(spark, sf_dir), "user_id", "ts"), "sessions")
 
 
-@query()
+@query("""
+SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, event_type, count(*) AS n FROM events
+GROUP BY 1, 2 HAVING time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)
+""")
 def stream_bucketed_counts(spark, sf_dir):
+    """Buckets that closed ten minutes before the last event."""
     return _collected(spark, stream.bucketed_counts(_events_stream(spark, sf_dir), "ts", "10 minutes", "10 minutes", "event_type"), "buckets")
