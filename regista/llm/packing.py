@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,10 +23,8 @@ CAPACITY = 4096
 END = 2
 #: Sequences that one block of pieces should fill; a block is packed in one task.
 WINDOWS = 128
-#: Words, and as many runs of letters, whose ids a task keeps at hand before the older half makes room.
-CACHE = 300_000
 #: Bytes of text that a task encodes at a time.
-BATCH = 8 << 20
+BATCH = 16 << 20
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -37,28 +34,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class Recent(dict):
-    """A table of bounded size; when it is full, entries not used since it last was go."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.old: dict = {}
-
-    def make_room(self, n: int) -> None:
-        if len(self) + n > CACHE:
-            self.old = dict(self)
-            self.clear()
-
-    def missing(self, keys: list[str]) -> list[str]:
-        """The keys that must be found anew."""
-        out = []
-        for k in keys:
-            if k not in self:
-                if k in self.old:
-                    self[k] = self.old[k]
-                else:
-                    out.append(k)
-        return out
+def gathered(data: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces at of data in a row, piece k being data[starts[k]:starts[k + 1]], and where each begins, with the end of the last."""
+    sizes = np.diff(starts)[at]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return data[np.repeat(starts[at] - ends[:-1], sizes) + np.arange(ends[-1])], ends
 
 
 class Ids:
@@ -67,60 +47,60 @@ class Ids:
     The tokenizer splits at white space and between letters and other signs
     before it merges, and folds case, so a text's ids are its words' ids in
     turn, and a plain word's are those of its letters and of the stops after
-    them. The texts of a batch are split and their distinct words numbered by
-    Arrow; ids of recent words are kept, the letters of new ones are encoded in
-    few calls, each run a word of its own, and NumPy puts the ids in a row.
+    them. Arrow splits the texts of a batch and numbers their distinct words,
+    and of these the distinct runs of letters and of stops; each of them is
+    encoded once, the runs many in a call, and NumPy puts the ids in a row.
     """
 
-    plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+    plain = r"^(?P<run>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<stop>[.,;:!?]*)$"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.letters, self.stops = Tokenizer.from_file(path), Recent(), Recent(), Recent()
-
-    def learn(self, known: Recent, new: list[str]) -> None:
-        """Encode new words of any kind."""
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        self.tokenizer = Tokenizer.from_file(path)
 
-    def learn_letters(self, runs: list[str]) -> None:
+    def of_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of runs of letters in a row, and where each begins, with the end of the last."""
+        ids, starts, n = [np.zeros(0, dtype="<u4")], [np.zeros(1, dtype=np.int64)], 0
         for k in range(0, len(runs), 2048):
             part = runs[k : k + 2048]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, starts = np.array(e.ids, dtype="<u4").tobytes(), np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1)) * 4
-            for w, i, j in zip(part, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                self.letters[w] = ids[i:j]
-
-    def of_words(self, distinct: list[str]) -> list[bytes]:
-        """The ids of each word, as little-endian unsigned 32-bit bytes."""
-        self.words.make_room(len(distinct))
-        if new := self.words.missing(distinct):
-            matches = [self.plain.fullmatch(w) for w in new]
-            split = [(w, m[1].lower(), m[2]) for w, m in zip(new, matches, strict=True) if m]
-            for known, parts, learn in ((self.letters, 1, self.learn_letters), (self.stops, 2, lambda x: self.learn(self.stops, x))):
-                each = list(dict.fromkeys(x[parts] for x in split))
-                known.make_room(len(each))
-                learn(known.missing(each))
-            for w, run, stop in split:
-                self.words[w] = self.letters[run] + self.stops[stop]
-            self.learn(self.words, [w for w, m in zip(new, matches, strict=True) if not m])
-        return [self.words[w] for w in distinct]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)  # each run a word of its own
+            ids.append(np.array(e.ids, dtype="<u4"))
+            starts.append(n + np.searchsorted(np.array(e.word_ids), np.arange(1, len(part) + 1)))
+            n += len(ids[-1])
+        return np.concatenate(ids), np.concatenate(starts)
+
+    def of_any(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As of_runs(), for words of any kind."""
+        found = [np.array(e.ids, dtype="<u4") for k in range(0, len(words), 4096) for e in self.tokenizer.encode_batch(words[k : k + 4096], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, dtype="<u4"), *found]), np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As of_runs(), for distinct words."""
+        parts = pc.extract_regex(words, self.plain)
+        runs = pc.utf8_lower(pc.struct_field(parts, "run")).dictionary_encode()
+        stops = pc.struct_field(parts, "stop").dictionary_encode()
+        other = np.asarray(pc.is_null(runs)).astype(bool)
+        pools = [self.of_runs(runs.dictionary.to_pylist()), self.of_any(stops.dictionary.to_pylist()), self.of_any(words.filter(pa.array(other)).to_pylist())]
+        data = np.concatenate([ids for ids, _ in pools])
+        shift = np.cumsum([0, *[len(ids) for ids, _ in pools]])
+        starts = np.concatenate([begins[:-1] + n for (_, begins), n in zip(pools, shift, strict=False)] + [shift[-1:]])
+        first = np.cumsum([0, *[len(begins) - 1 for _, begins in pools]])
+        # a plain word is a run and its stops, another one piece and nothing: the last piece, which is empty
+        starts = np.append(starts, starts[-1])
+        at = np.empty((len(words), 2), dtype=np.int64)
+        at[:, 0] = np.asarray(pc.fill_null(runs.indices, 0))
+        at[:, 1] = first[1] + np.asarray(pc.fill_null(stops.indices, 0))
+        at[other, 0] = first[2] + np.arange(other.sum())
+        at[other, 1] = len(starts) - 2
+        ids, ends = gathered(data, starts, at.ravel())
+        return ids, ends[::2]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin, with the end of the last; a null text has none."""
         split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         coded = split.flatten().dictionary_encode()
-        found = self.of_words(coded.dictionary.to_pylist())
-        data = np.frombuffer(b"".join(found), dtype="<u4")
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        begins = np.cumsum(sizes) - sizes
-        at = coded.indices.to_numpy()
-        own = sizes[at]
-        ends = np.concatenate([[0], np.cumsum(own)])
-        ids = data[np.repeat(begins[at] - ends[:-1], own) + np.arange(ends[-1])]
+        ids, ends = gathered(*self.of_words(coded.dictionary), coded.indices.to_numpy())
         offsets = np.asarray(split.offsets)
         return ids, ends[offsets - offsets[0]]
 
