@@ -89,9 +89,12 @@ def url_backfill(rows: DataFrame, prefix: str) -> DataFrame:
 
 
 def first_of_each(rows: DataFrame, keys: list[str], id_column: str) -> DataFrame:
-    """Rows without those that repeat the keys of a smaller id; null keys are equal."""
-    least = rows.groupBy(*keys).agg(F.min(id_column).alias("_least"))
-    return rows.join(least.select(F.col("_least").alias(id_column)), id_column, "left_semi")
+    """Rows without those that repeat the keys of a smaller id; null keys are equal, an id that stands in several groups counts in each."""
+    least = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(id_column).alias("_least"))
+    same = F.col(id_column) == F.col("_least")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(least, same, "left_semi")
 
 
 def duplicate_report(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,8 +1,10 @@
 import datetime
 import json
+import re
 
 from pyspark.sql import functions as F
 
+from regista.functions import text
 from regista.operators import family, ingest, repair, review, search, statistics
 from regista.sources import export, pages
 from regista.streaming import jobs as stream
@@ -110,3 +112,36 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
         stream.ingest(stream.page_stream(spark, str(tmp_path / "in"), "event_id long, event_type string", 1), str(tmp_path / "out"), str(tmp_path / f"c{run}"), ["event_id"]).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out")).select("event_id", "event_type")
     assert out.count() == 200 and out.exceptAll(events).count() == 0
+
+
+def test_names_of_lines_match_python(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60").selectExpr("doc_id as id", "text")
+    docs = docs.union(spark.createDataFrame([(-1, "Ana da Silva e João  Pinto\n\n assento 12, 3/4/1801\nnada"), (-2, None), (-3, "Rui Sá Rui Sá, Rui Sá")], "id long, text string"))
+    capital = "[A-ZÀ-Ú][a-zà-ú]+"
+    name = re.compile(rf"{capital}(?:\s+(?:de\s+|da\s+|do\s+)?{capital})+", re.ASCII)
+    expected = {(r["id"], k, n) for r in docs.collect() for k, line in enumerate((r["text"] or "").split("\n"), 1) for n in name.findall(line) if 4 <= len(n) <= 99}
+    rows = text.generic_lines(docs, "id").collect()
+    assert {(r["id"], r["line_no"], r["name"]) for r in rows if r["name"]} == expected
+    assert [(r["line_no"], str(r["date"]), r["number"]) for r in rows if not r["name"] and r["id"] == -1] == [(3, "1801-04-03", "12")]
+
+
+def test_kinship_names(spark):
+    df = spark.createDataFrame([("Ana, mulher de Rui da Silva. filho de José",), (None,)], "t string").select(text.relation_names(F.col("t")).alias("n"))
+    assert [r["n"] for r in df.collect()] == [["José", "Rui da Silva"], []]
+
+
+def test_hits_of_many_texts_equal_those_of_few(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate(["small ring", "ring", "blue bolt", "xy", None, "a small xy ring"])], "k int, name string")
+    texts = spark.createDataFrame([("ring",), ("xy",), ("small ring",), ("bolt",), ("none",)], "text string")
+    few = {tuple(r) for r in search.hits(rows, "name", texts).select("k", "name", "text").collect()}
+    monkeypatch.setattr(search, "BROADCAST_TEXTS", 1)
+    assert {tuple(r) for r in search.hits(rows, "name", texts).select("k", "name", "text").collect()} == few and len(few) == 7
+
+
+def test_a_batch_that_runs_again_overwrites_its_own_folder(spark, tmp_path):
+    events = spark.createDataFrame([(k, "a") for k in range(50)], "event_id long, event_type string")
+    events.write.json(str(tmp_path / "in"))
+    for run in (1, 2, 3):
+        stream.ingest(stream.page_stream(spark, str(tmp_path / "in"), "event_id long, event_type string", 1), str(tmp_path / "out"), str(tmp_path / f"c{run}"), ["event_id"], 4).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == out.select("event_id").distinct().count() == 50
