@@ -45,18 +45,19 @@ def subset_hashes(kept: Column) -> Column:
     texts with about as many terms can be compared.
     """
 
-    def of(terms: Column) -> Column:
-        first = F.greatest(F.floor(F.log2(F.size(terms).cast("double"))).cast("int") - 1, F.lit(0))
-
+    def of(s: Column) -> Column:
         def one(k: int) -> Column:
-            j = first + F.pmod(F.lit(k // EACH) - first, F.lit(SCALES))
-            mask = F.call_function("shiftleft", F.lit(1).cast("long"), j) - 1
-            inside = F.filter(terms, lambda t: F.xxhash64(t, F.lit(k)).bitwiseAND(mask) == 0)
-            return F.when(F.size(inside) > 0, F.xxhash64(j, inside))
+            size, mask = s["sizes"][k // EACH], s[f"mask{k // EACH}"]
+            inside = F.filter(s["terms"], lambda t: F.xxhash64(t, F.lit(k)).bitwiseAND(mask) == 0)
+            return F.get(F.transform(F.array(inside), lambda x: F.when(F.size(x) > 0, F.xxhash64(size, x))), F.lit(0))
 
-        return F.when(F.size(terms) > 0, F.array(*map(one, range(SUBSETS)))).otherwise(F.array_repeat(F.lit(None).cast("bigint"), SUBSETS))
+        return F.array(*map(one, range(SUBSETS)))
 
-    return F.get(F.transform(F.array(kept), of), F.lit(0))
+    first = F.greatest(F.floor(F.log2(F.size(kept).cast("double"))).cast("int") - 1, F.lit(0))
+    # sizes and masks are bound to variables, or else they would be worked out again for each term
+    sized = F.transform(F.array(F.struct(kept.alias("terms"), first.alias("first"))), lambda s: F.struct(s["terms"].alias("terms"), F.array(*[s["first"] + F.pmod(F.lit(r) - s["first"], F.lit(SCALES)) for r in range(SCALES)]).alias("sizes")))
+    masked = F.transform(sized, lambda s: F.struct(s["terms"].alias("terms"), s["sizes"].alias("sizes"), *[(F.call_function("shiftleft", F.lit(1).cast("long"), s["sizes"][r]) - 1).alias(f"mask{r}") for r in range(SCALES)]))
+    return F.get(F.transform(masked, of), F.lit(0))
 
 
 def hashes_of(kept: Column, every: Column) -> Column:
