@@ -12,27 +12,27 @@ from regista.llm.quality import accepted
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null and empty texts are rejected; rows that repeat share a verdict."""
     return accepted(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier document has already."""
+    """Documents without the lines that an earlier document has already, and without documents of which no line is left. Of rows that repeat doc_id and text one keeps its lines; null ids come after all others."""
     return dedup_lines(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8 or more)."""
+    """One document of each group of near-duplicates (five words, similarity 0.8 or more), the one with the smallest doc_id. Texts without a word all stay; unlike rows under one doc_id, or without one, are judged each by itself."""
     return drop_near_duplicates(docs, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, which may be not at all. A null source is a source; rows that repeat are taken as rows of their own."""
     return mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in training sequences."""
+    """The pieces of all documents in training sequences; a null text has the end mark alone, and rows that repeat are documents of their own."""
     return pack(docs)
 
 
