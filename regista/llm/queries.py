@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regista.llm import chat, fingerprints, langid, line_dedup, mixing, near_dedup, packing, quality, sharding, spelling, toxicity
+from regista.llm import chat, fingerprints, langid, line_dedup, mixing, near_dedup, packing, prefix_trie, quality, sharding, spelling, toxicity
 from regista.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Query] = {
         op8_quality_rules,
         op9_toxicity,
         op10_mixing,
+        op11_prefix_trie,
         op12_spelling_variants,
     )
 }
