@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regista.llm import chat, fingerprints, langid, line_dedup, mixing, near_dedup, packing, prefix_trie, quality, sharding, spelling, toxicity
+from regista.llm import chat, fingerprints, langid, line_dedup, mixing, near_dedup, packing, prefix_trie, private_data, quality, sharding, spelling, toxicity
 from regista.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.private_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -82,6 +86,7 @@ QUERIES: dict[str, Query] = {
         op10_mixing,
         op11_prefix_trie,
         op12_spelling_variants,
+        op13_private_data,
     )
 }
 
