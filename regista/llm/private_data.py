@@ -145,14 +145,14 @@ def edges(units: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
     return out
 
 
-def _other_form(mention: str, label: int) -> tuple[str, str]:
-    """A base mention in a form that the patterns do not know, and the same form of something else; which form follows from a hash of the mention."""
+def _other_form(mention: str, label: int, step: int) -> tuple[str, str]:
+    """A base mention in a form that the patterns do not know, and the same form of something else, whose digits are some steps on; which form follows from a hash of the mention."""
     h = zlib.crc32(mention.encode())
-    other = re.sub("[0-9]", lambda m: str((int(m.group()) + 3 + (h >> (m.start() % 24)) % 5) % 10), mention)
+    other = re.sub("[0-9]", lambda m: str((int(m.group()) + step + (h >> (m.start() % 24)) % 5) % 10), mention)
     if label == 1:
         at, dot = ((" at ", " dot "), ("[at]", "[dot]"), ("(at)", "."))[h % 3]
         mix = lambda x: x.replace("@", at).replace(".", dot)
-        return mix(mention), mix("".join(chr((ord(c) - 97 + 7 + h % 11) % 26 + 97) if "a" <= c <= "z" else c for c in other))
+        return mix(mention), mix("".join(chr((ord(c) - 97 + 4 + step + h % 11) % 26 + 97) if "a" <= c <= "z" else c for c in other))
     if label == 4:
         digits = only_digits(mention)[-10:]
         form = ("{0}{1}{2}", "{0} {1} {2}", "({0}) {1}-{2}", "{0}.{1}.{2}", "{0}-{1}-{2}")[h % 5]
@@ -177,20 +177,22 @@ def _units(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int,
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each mention of the drawn texts its label, features and neighbours' labels, flat in one list. Base mentions stand for themselves, for another form of theirs elsewhere in the text, and for something else in that form, which is none."""
+    """For each mention of the drawn texts its label, features and neighbours' labels, flat in one list. Base mentions stand for themselves, for another form of theirs elsewhere in the text, and for other things in that form, which are none, be they repeated or not."""
     for batch in pieces(batches):
         found = []
         for text in batch.column(0).to_pylist():
             base, units, labels = _units(text or "")
             labels = [max(0, k) for k in labels]
             for k, s, e in base:
-                for form, label in zip(_other_form(text[s:e], k), (k, NONE), strict=True):
+                form, decoy = _other_form(text[s:e], k, 3)
+                again = _other_form(text[s:e], k, 1)[1]
+                for form, label in ((form, k), (decoy, NONE), (again, NONE), (again, NONE)):
                     units.append((-1, -1, form))
                     labels.append(label)
             counts = np.zeros((len(units), EDGES, LABELS))
             for kind, i, j in edges(units):
                 counts[j, kind, labels[i]] += 1
-                if units[j][0] >= 0:  # what was made up tells nothing of what was found
+                if units[j][0] >= 0 or units[i][0] < 0:  # what was made up tells nothing of what was found
                     counts[i, kind, labels[j]] += 1
             found += [[float(k), *features(u[2]), *c.ravel()] for u, k, c in zip(units, labels, counts, strict=True)]
         yield pa.record_batch({"row": pa.array(found, pa.list_(pa.float64()))})
@@ -205,7 +207,6 @@ class Field:
     def pair(self) -> np.ndarray:
         """Log potentials of the labels of two mentions, for each kind of edge."""
         told = np.eye(LABELS)
-        told[NONE, NONE] = 0
         mixed = np.zeros((LABELS, LABELS))
         mixed[NONE, 1:] = mixed[1:, NONE] = 1
         return self.same[:, None, None] * told + self.beside[:, None, None] * mixed
@@ -219,18 +220,16 @@ class Field:
             return field
         y, x = rows[:, 0].astype(int), rows[:, 1 : 1 + FEATURES]
         around = rows[:, 1 + FEATURES :].reshape(len(rows), EDGES, LABELS)
-        equal = around.copy()
-        equal[:, :, NONE] = 0
         mixed = np.repeat(around[:, :, :1], LABELS, axis=2)
         mixed[:, :, NONE] = around[:, :, 1:].sum(axis=2)
         told = np.eye(LABELS)[y]
         speed = [np.zeros_like(field.unary), np.zeros(EDGES), np.zeros(EDGES)]
         for _ in range(turns):
-            score = x @ field.unary + np.einsum("nel,e->nl", equal, field.same) + np.einsum("nel,e->nl", mixed, field.beside)
+            score = x @ field.unary + np.einsum("nel,e->nl", around, field.same) + np.einsum("nel,e->nl", mixed, field.beside)
             score -= score.max(axis=1, keepdims=True)
             p = np.exp(score)
             gap = (told - p / p.sum(axis=1, keepdims=True)) / len(rows)
-            steps = (x.T @ gap, np.einsum("nel,nl->e", equal, gap), np.einsum("nel,nl->e", mixed, gap))
+            steps = (x.T @ gap, np.einsum("nel,nl->e", around, gap), np.einsum("nel,nl->e", mixed, gap))
             for k, (w, g) in enumerate(zip((field.unary, field.same, field.beside), steps, strict=True)):
                 speed[k] = 0.9 * speed[k] + rate * (g - weight * w)
                 w += speed[k]
