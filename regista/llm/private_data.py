@@ -168,6 +168,21 @@ def _other_form(mention: str, label: int, step: int) -> tuple[str, str]:
     return spaced(wrong), spaced(only_digits(other))
 
 
+def _plain_numbers(mention: str, n: int = 4) -> list[str]:
+    """Dates, amounts and other numbers in groups, which are none of the kinds: made from a hash of a mention."""
+    out = []
+    for k in range(n):
+        digits = str(zlib.crc32(f"{k} {mention}".encode())) + str(zlib.crc32(f"{mention} {k}".encode()))
+        shapes = (((4, 2, 2, 2), "-- "), ((1 + int(digits[0]) % 3, 3, 3), ",,"), ((2, 2, 4, 2, 2), "// ."), ((3, 3, 4), "- "))
+        sizes, signs = shapes[k % len(shapes)]
+        text, at = "", 0
+        for size, sign in zip(sizes, [*signs, ""], strict=False):
+            text += digits[at : at + size] + sign
+            at += size
+        out.append(text if len(only_digits(text)) >= MENTION_DIGITS[0] else text + digits[-7:])
+    return out
+
+
 def _units(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str]], list[int]]:
     """Base spans, all mentions (start, end, text) in order and their labels, -1 for those that the patterns don't tell."""
     base = base_spans(text)
@@ -177,7 +192,7 @@ def _units(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int,
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each mention of the drawn texts its label, features and neighbours' labels, flat in one list. Base mentions stand for themselves, for another form of theirs elsewhere in the text, and for other things in that form, which are none, be they repeated or not."""
+    """For each mention of the drawn texts its label, features and neighbours' labels, flat in one list. Base mentions stand for themselves, for another form of theirs elsewhere in the text, and for other things in that form and plain numbers, which are none, be they repeated or not."""
     for batch in pieces(batches):
         found = []
         for text in batch.column(0).to_pylist():
@@ -186,7 +201,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, s, e in base:
                 form, decoy = _other_form(text[s:e], k, 3)
                 again = _other_form(text[s:e], k, 1)[1]
-                for form, label in ((form, k), (decoy, NONE), (again, NONE), (again, NONE)):
+                for form, label in ((form, k), (decoy, NONE), (again, NONE), (again, NONE), *((x, NONE) for x in _plain_numbers(text[s:e]))):
                     units.append((-1, -1, form))
                     labels.append(label)
             counts = np.zeros((len(units), EDGES, LABELS))
