@@ -123,25 +123,29 @@ def features(mention: str) -> list[float]:
 FEATURES = len(features("1"))
 
 
-def edges(units: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
-    """(kind, i, j) between a document's mentions (start, end, text) in order: neighbours in the text, equal ones, and similar ones, whose last seven digits, half of the digits or local parts are alike. Each is joined with the next of its group, so there are few edges for a mention, however often something is repeated."""
+def _alike(mention: str) -> list[tuple]:
+    """Keys that equal and similar mentions share: all signs; the local part; the last seven digits; each half of the digits."""
+    p = plain(mention)
+    if "@" in p:
+        return [(SAME, p), (SIMILAR, p.partition("@")[0])]
+    half = len(p) // 2
+    return [(SAME, p), (SIMILAR, "last", p[-7:])] + ([(SIMILAR, "low", len(p), p[:half]), (SIMILAR, "high", len(p), p[half:])] if half >= 4 else [])
+
+
+def edges(units: list[tuple[int, int, str]], known: list[bool]) -> list[tuple[int, int, int]]:
+    """(kind, i, j) between a document's mentions (start, end, text) in order: neighbours in the text, equal ones and similar ones. Each is joined with the one before it in its group, and with the first known one of the group, so there are few edges for a mention, however often something is repeated, and what is known is never further than one step."""
     out = [(CHAIN, i - 1, i) for i in range(1, len(units)) if units[i][0] >= 0 and 0 <= units[i][0] - units[i - 1][1] <= NEXT]
-    seen: dict[tuple, int] = {}
+    keys = [_alike(text) for _, _, text in units]
+    anchor = {key: i for i in reversed(range(len(units))) if known[i] for key in keys[i]}
+    before: dict[tuple, int] = {}
     joined = set()
-    for i, (_, _, text) in enumerate(units):
-        p = plain(text)
-        keys = [(SAME, p)]
-        if "@" in p:
-            keys.append((SIMILAR, p.partition("@")[0]))
-        else:
-            half = len(p) // 2
-            keys += [(SIMILAR, "last", p[-7:])] + ([(SIMILAR, "low", len(p), p[:half]), (SIMILAR, "high", len(p), p[half:])] if half >= 4 else [])
-        for key in keys:
-            j = seen.get(key)
-            if j is not None and (j, i) not in joined:
-                joined.add((j, i))
-                out.append((key[0], j, i))
-            seen[key] = i
+    for i, own in enumerate(keys):
+        for key in own:
+            for j in (anchor.get(key), before.get(key)):
+                if j is not None and j != i and (i, j) not in joined:
+                    joined |= {(i, j), (j, i)}
+                    out.append((key[0], *sorted((i, j))))
+            before[key] = i
     return out
 
 
@@ -197,6 +201,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for text in batch.column(0).to_pylist():
             base, units, labels = _units(text or "")
+            known = [k > 0 for k in labels]
             labels = [max(0, k) for k in labels]
             for k, s, e in base:
                 form, decoy = _other_form(text[s:e], k, 3)
@@ -205,7 +210,8 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     units.append((-1, -1, form))
                     labels.append(label)
             counts = np.zeros((len(units), EDGES, LABELS))
-            for kind, i, j in edges(units):
+            known += [False] * (len(units) - len(known))
+            for kind, i, j in edges(units, known):
                 counts[j, kind, labels[i]] += 1
                 if units[j][0] >= 0 or units[i][0] < 0:  # what was made up tells nothing of what was found
                     counts[i, kind, labels[j]] += 1
@@ -299,7 +305,7 @@ def spans(docs: DataFrame, field: Field) -> DataFrame:
                 base, units, labels = _units(text) if re.search("[0-9@]| at |at[])}]", text) else ([], [], [])
                 sides.append(base)
                 first = len(owner)
-                links += [(kind, first + i, first + j) for kind, i, j in edges(units)]
+                links += [(kind, first + i, first + j) for kind, i, j in edges(units, [k > 0 for k in labels])]
                 for unit, label in zip(units, labels, strict=True):
                     owner.append(row)
                     known.append(label)
@@ -336,7 +342,11 @@ def private_data(docs: DataFrame) -> DataFrame:
     a null doc_id is carried; an empty table stays empty; other columns are
     ignored. Texts of any length are read whole in linear time.
     """
-    counts = [F.size(F.filter("base", lambda s, k=k: s[0] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS, 1)]
+
+    def number(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s[0] == kind)).cast("long").alias(f"n_{KINDS[kind - 1]}")
+
+    counts = [number(k) for k in range(1, LABELS)]
     return spans(docs, fit(docs)).select("doc_id", *counts, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("found").alias("spans"))
 
 
