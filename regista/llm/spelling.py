@@ -8,7 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regista.llm.common import materialise
@@ -143,8 +143,11 @@ class Grams:
 def dictionary(words: DataFrame) -> Grams:
     """Frequent grams of words (word)."""
     marked = words.select(F.concat(F.lit(BEGIN), "word", F.lit(END)).alias("w"))
-    starts = lambda q: F.sequence(F.lit(1), F.length("w") - (q - 1))
-    every = [F.transform(starts(q), lambda p, q=q: F.substring("w", p, F.lit(q))) for q in range(SHORTEST + 1, LONGEST + 1)]
+
+    def pieces_of(q: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length("w") - (q - 1)), lambda p: F.substring("w", p, F.lit(q)))
+
+    every = [pieces_of(q) for q in range(SHORTEST + 1, LONGEST + 1)]
     counts = marked.select(F.explode(F.concat(*every)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     places = marked.agg(F.coalesce(F.sum(F.length("w")), F.lit(0))).first()[0]
     return Grams({r["gram"] for r in counts.where(F.col("n") >= max(1.0, SHARE * places)).collect()})

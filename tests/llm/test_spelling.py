@@ -85,3 +85,10 @@ def test_unaffected_grams_are_those_of_near_words():
         k = draw.randrange(len(w))
         for other in (w[:k] + w[k + 1 :], w[:k] + "d" + w[k + 1 :], w[:k] + "a" + w[k:]):
             assert other == w or set(grams.keys(w)) & set(grams.keys(other))
+
+
+def test_dictionary_holds_the_frequent_grams(spark):
+    known = [a + "tion" + b for a in words(3, "abc", (2, 4), 30) for b in words(4, "st", (2, 4), 8)]
+    frequent = spelling.dictionary(spark.createDataFrame([(w,) for w in known], "word string")).frequent
+    every = Counter(("^" + w + "$")[p : p + q] for w in known for q in (3, 4, 5) for p in range(len(w) + 3 - q))
+    assert frequent == {g for g, n in every.items() if n >= spelling.SHARE * sum(len(w) + 2 for w in known)} and "tion" in frequent
