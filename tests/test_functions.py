@@ -89,6 +89,59 @@ def test_person_in_text(spark):
     assert one(spark, text.person_in_text, "curto") is None
 
 
+ENTRY = "com sessenta e cinco anos e com doze filhos"
+READ = {
+    ("idade", ENTRY): 65,
+    ("idade", "com sua mulher, com quarenta annos"): 40,
+    ("idade", "com 200 annos"): 200,
+    ("idade", "com trinta. Annos depois"): None,
+    ("causa_morte", "faleceu de bexigas. morte repentina"): "faleceu de bexigas",
+    ("causa_morte", "foi morte repentina, faleceu de bexigas"): "morte repentina",
+    ("naturalidade", "natural de Ié, natural da Guarda"): "Guarda",
+    ("naturalidade", "natural da " + "x" * 70): "x" * 60,
+    ("hora_obito", "às 3 horas e pelas 7 horas da tarde"): "7h da tarde",
+    ("profissao", "o Sapateiro e a moleira"): "sapateiro",
+    ("sacramentos", "sem sacramentos e recebeu os sacramentos"): "recebeu os sacramentos",
+    ("testamento", "fez testamento mas não fez testamento"): "não fez testamento",
+    ("local_sepultamento", "sepultado nesta igreja, sepultada no novo cemitério de São João"): "novo cemitério de São João",
+    ("local_sepultamento", "sepultado no cemitério"): "no cemitério",
+    ("assinatura", "O Pároco, João. Cura Ana de Sá. Fim, etc"): "Ana de Sá. Fim",
+}
+
+
+def test_fields_of_entries(spark):
+    rows = [(k, field, phrase) for k, (field, phrase) in enumerate(READ)]
+    found = spark.createDataFrame(rows, "k int, field string, t string").select("k", text.death_details(F.col("t")).alias("d")).collect()
+    assert {rows[r.k][1:]: r.d[rows[r.k][1]] for r in found} == READ
+    assert not any(one(spark, text.death_details, None).asDict().values())
+
+
+NAMED = {
+    "escrito por mim, e o Cura Ana de Sá Pinto o leu, com D. Rui, aos tres": ("Ana", "Pinto"),
+    "disse o Padre José, e mais o Padre Luis Leal, que assim o fizeram": ("Luis", "Leal"),
+    "era filho de Sousa e filho de Pedro Nunes, que Deus tem em sua gloria": ("Pedro", "Nunes"),
+    "D. Ana de Lima Rosa Maria Vaz Pires Leal, senhora desta terra e casa": ("Ana Lima Rosa Maria", "Vaz"),
+    "morreu o Zé Ruivo da Costa, que morava junto da ponte e da ribeira velha": ("Ruivo", "Costa"),
+    "morreu a Ana Sousa-Pinto, que morava junto da ponte e da ribeira velha": ("Ana", "Sousa"),
+}
+
+
+@pytest.mark.parametrize("phrase", NAMED)
+def test_names_after_lead_ins(spark, phrase):
+    assert tuple(one(spark, text.person_in_text, phrase)) == NAMED[phrase]
+
+
+def test_noise_words_are_no_names(spark):
+    phrase = "consta que D. Freguesia de Santa, e D. Ana Freguesia Vaz, são desta terra"
+    assert tuple(one(spark, lambda c: text.person_in_text(c, ("freguesia",)), phrase)) == ("Ana", "Vaz")
+
+
+def test_years_of_many_forms(spark):
+    words = {"mil e seis cento e sete": 1607, "mil, setecentos centos e dous": 1702, "mil quinhentos noventa e nove da era": 1599, "mil oitocentos e vinte annos e dez": 1820, "1850": 1850, "": None, "nada": None}
+    assert {w: one(spark, dates.year_number, w) for w in words} == words
+    assert [one(spark, dates.day_number, w) for w in ("trinta e hum", "vinte e dez", "vinte", "muitos", "")] == [31, None, 20, None, None]
+
+
 def test_line_readers(spark):
     pages = spark.createDataFrame([("f", "12. Ana da Silva, 3/4/1801, filha de José da Silva e de Maria Sousa\n\nJoão Pinto - 1790\nnada")], "file_id string, text string")
     found = {r["line_no"]: r for r in text.baptism_lines(pages).collect()}
