@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a folder of our own only where it names none (tests, local runs)."""
+    """The folder that the session names in spark.checkpoint.dir; a folder of our own only in a local run that names none. On a cluster executors would not see that one, so there the setting is asked for."""
     sc = spark.sparkContext
-    return sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-")
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="spark-checkpoint-")
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -18,11 +18,16 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def record(**fields: Column) -> Column:
+    """A struct whose names hold wherever it is used, also beside explode(), which drops aliases inside of other columns."""
+    return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
+
+
 def spoken(text: Column) -> Column:
     """The words of a text: raw, word (lower case, without signs around it), stop (the signs behind it)."""
     raw = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
     signs = r"[^\p{L}\p{N}]"
-    return F.transform(raw, lambda x: F.struct(x.alias("raw"), F.lower(F.regexp_replace(x, f"^{signs}+|{signs}+$", "")).alias("word"), F.regexp_extract(x, f"{signs}*$", 0).alias("stop")))
+    return F.transform(raw, lambda x: record(raw=x, word=F.lower(F.regexp_replace(x, f"^{signs}+|{signs}+$", "")), stop=F.regexp_extract(x, f"{signs}*$", 0)))
 
 
 def number(digits: int) -> Step:
@@ -81,7 +86,7 @@ def told_after(t: Column, cues: tuple[tuple[tuple[Step, ...], int], ...], least:
 
 def _clauses(t: Column, steps: tuple[Step, ...], skip: int, signs: str) -> Column:
     whole = F.filter(places(t, *steps), lambda i: F.get(t, i + (skip - 1))["stop"] == "")
-    return F.transform(whole, lambda i: F.struct(i.alias("at"), clause(t, i + skip, signs).alias("told")))
+    return F.transform(whole, lambda i: record(at=i, told=clause(t, i + skip, signs)))
 
 
 def capital(raw: Column) -> Column:
@@ -96,20 +101,20 @@ def name_from(t: Column, i: Column, more: int, links: tuple[str, ...] = LINKS, l
     which link waits for its name, and whether the name can go on: it can't
     behind a sign, a word that is no name, or the last word that is allowed.
     """
-    zero = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(None).cast("string").alias("link"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+    zero = record(parts=F.array().cast("array<string>"), link=F.lit(None).cast("string"), n=F.lit(0), open=F.lit(True))
 
     def step(s: Column, w: Column) -> Column:
         name = capital(w["raw"])
         fits = (name != "") & (s["link"].isNotNull() | (s["n"] == 0) if linked else F.lit(True))
         waits = w["raw"].isin(*links) & (s["n"] > 0) & s["link"].isNull()
-        taken = F.struct(
-            F.concat(s["parts"], F.array_compact(F.array(s["link"], name))).alias("parts"),
-            F.lit(None).cast("string").alias("link"),
-            (s["n"] + 1).alias("n"),
-            ((name == w["raw"]) & (s["n"] < more)).alias("open"),
+        taken = record(
+            parts=F.concat(s["parts"], F.array_compact(F.array(s["link"], name))),
+            link=F.lit(None).cast("string"),
+            n=s["n"] + 1,
+            open=(name == w["raw"]) & (s["n"] < more),
         )
-        waiting = F.struct(s["parts"].alias("parts"), w["raw"].alias("link"), s["n"].alias("n"), F.lit(True).alias("open"))
-        ended = F.struct(s["parts"].alias("parts"), s["link"].alias("link"), s["n"].alias("n"), F.lit(False).alias("open"))
+        waiting = record(parts=s["parts"], link=w["raw"], n=s["n"], open=F.lit(True))
+        ended = record(parts=s["parts"], link=s["link"], n=s["n"], open=F.lit(False))
         return F.when(~s["open"], s).when(fits, taken).when(waits, waiting).otherwise(ended)
 
     return F.aggregate(F.slice(t, i + 1, 2 * more + 1), zero, step, lambda s: F.when(s["n"] >= 2, s["parts"]))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regista.functions.names import surnames
+from regista.functions.ranks import materialise, with_rank
 
 
 def trigrams(text: Column) -> Column:
@@ -71,18 +72,31 @@ def family_document(people: DataFrame) -> DataFrame:
     return people.join(lists, "id", "left")
 
 
+def next_at_or_after(wanted: DataFrame, known: DataFrame, on: list[str], place: str, value: str) -> DataFrame:
+    """wanted (on, place) with the value of the first of known (on, place, value) at its place or after it; null if there is none.
+
+    Both should have a row for each key and place, which bounds what a key
+    holds by its places. The window runs backwards over both sides in one
+    order, so each row is looked at once.
+    """
+    a = wanted.select(*on, place, F.lit(0).alias("_side"), F.lit(None).cast(known.schema[value].dataType).alias(value))
+    b = known.select(*on, place, F.lit(1).alias("_side"), value)
+    back = Window.partitionBy(*on).orderBy(F.col(place).desc(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return a.union(b).withColumn(value, F.last(value, ignorenulls=True).over(back)).where("_side = 0").drop("_side")
+
+
 def linked_in_time(first: DataFrame, later: DataFrame, key: str, gap: int = 1) -> DataFrame:
     """(first_id, later_id): for each of first (id, year, key) the earliest of later with the same key at least gap years after; years of 0 don't count.
 
-    Both sides are put in one order of key and year, a later row just before
-    the first rows that it may follow; a row then looks for the next later
-    one. So no pairs of a key are made.
+    What is looked for depends on the key and the year alone. So each key has
+    one row for a year of either side, however many rows it has, and a key is
+    never a group of more rows than there are years; the rows themselves meet
+    what was found in a join, which can be split.
     """
-    a = first.where(f"year > 0 and {key} is not null").select(key, (F.col("year") + gap).alias("y"), F.lit(0).alias("side"), "id")
-    b = later.where(f"year > 0 and {key} is not null").select(key, F.col("year").alias("y"), F.lit(1).alias("side"), "id")
-    after = Window.partitionBy(key).orderBy("y", "side", "id").rowsBetween(1, Window.unboundedFollowing)
-    both = a.union(b).withColumn("later_id", F.first(F.when(F.col("side") == 1, F.col("id")), ignorenulls=True).over(after))
-    return both.where("side = 0 and later_id is not null").select(F.col("id").alias("first_id"), "later_id")
+    a = first.where(f"year > 0 and {key} is not null").select(F.col("id").alias("first_id"), key, (F.col("year") + gap).alias("year"))
+    b = later.where(f"year > 0 and {key} is not null").groupBy(key, "year").agg(F.min("id").alias("later_id"))
+    found = next_at_or_after(a.select(key, "year").distinct(), b, [key], "year", "later_id").where("later_id is not null")
+    return a.join(found, [key, "year"]).select("first_id", "later_id")
 
 
 def connections(people: DataFrame, name: str) -> DataFrame:
@@ -106,6 +120,82 @@ def relations_by_years(people: DataFrame, others: DataFrame, on: list[str]) -> D
     return pairs.select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), relation(F.col("b.year") - F.col("a.year")).alias("relation")).where("relation is not null")
 
 
+def _nearest_later(people: DataFrame, others: DataFrame, on: list[str], least: int, most: int | None, k: int) -> DataFrame:
+    """(id, other, diff): up to k others of each person's group whose year is at least so many years later, the nearest first, and of a year the smallest ids; at most so many years later."""
+    ranked = with_rank(others.select(*on, "year", F.col("id").alias("other")), *on, "year", "other")
+    starts = ranked.groupBy(*on, "year").agg(F.min("rank").alias("rank"))
+    ends = ranked.groupBy(*on).agg(F.max("rank").alias("end"))
+    wanted = people.select(*on, (F.col("year") + least).alias("year")).distinct()
+    found = next_at_or_after(wanted, starts, on, "year", "rank").where("rank is not null").join(ends, on)
+    # one more than asked for, as the person may be among them
+    places = found.select(*on, (F.col("year") - least).alias("year"), F.sequence("rank", F.least("end", F.col("rank") + k)).alias("ranks"))
+    each = people.join(places, [*on, "year"]).select("id", F.col("year").alias("own"), F.explode("ranks").alias("rank"))
+    rows = each.join(ranked.select("rank", "other", "year"), "rank").where("id <> other").select("id", "other", (F.col("year") - F.col("own")).alias("diff"))
+    return rows if most is None else rows.where(F.col("diff") <= most)
+
+
+def nearest_relations(people: DataFrame, others: DataFrame, on: list[str], k: int = 3) -> DataFrame:
+    """(id, other, relation, diff, rank): for each of people (id, year, on) the k others (id, year, on) that are nearest in time as child (15 years later or more), parent (15 years earlier or more) and sibling (5 years apart at most).
+
+    Nearest is by years, then by id. Rows without a year or with a null in on
+    are left out; ids are unique in a group. No pairs of a group are made:
+    others have a rank in one order, and a person reads the ranks that follow
+    the place of its own year, at most k + 1 for each relation, so a group of
+    any size makes no more than that for a row, and the ranks are dealt out by
+    ranges. Later years are earlier ones if all are negative.
+    """
+    known = "year is not null and " + " and ".join(f"{c} is not null" for c in on)
+    a, b = (df.where(known).select("id", "year", *on) for df in (people, others))
+    minus = lambda df: df.withColumn("year", -F.col("year"))
+    told = [
+        _nearest_later(a, b, on, 15, None, k).withColumn("relation", F.lit("child")),
+        _nearest_later(minus(a), minus(b), on, 15, None, k).select("id", "other", (-F.col("diff")).alias("diff"), F.lit("parent").alias("relation")),
+        _nearest_later(a, b, on, 0, 5, k).withColumn("relation", F.lit("sibling")),
+        _nearest_later(minus(a), minus(b), on, 1, 5, k).select("id", "other", (-F.col("diff")).alias("diff"), F.lit("sibling").alias("relation")),
+    ]
+    every = told[0].unionByName(told[1]).unionByName(told[2]).unionByName(told[3])
+    best = Window.partitionBy("id", "relation").orderBy(F.abs("diff"), "other")
+    return every.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "other", "relation", "diff", "rank")
+
+
+def ancestors(people: DataFrame, links: DataFrame, generations: int) -> DataFrame:
+    """(id, other, generation): whoever of links (child, parent) is up to so many generations above each of people (id), by the shortest way; nobody is above himself.
+
+    A turn takes one generation: the last one found meets its parents in a
+    join, and whoever a person has already is left out, so circles end. The
+    lineage is cut after each turn.
+    """
+    up = links.where("child <> parent").select(F.col("child").alias("at"), F.col("parent").alias("other")).distinct()
+    found = last = materialise(people.select("id", F.col("id").alias("other"), F.lit(0).alias("generation")).distinct())
+    for n in range(1, generations + 1):
+        further = last.select("id", F.col("other").alias("at")).join(up, "at").select("id", "other").distinct()
+        last = materialise(further.join(found, ["id", "other"], "left_anti").withColumn("generation", F.lit(n)))
+        if not last.take(1):
+            break
+        found = found.union(last)
+    return found.where("generation > 0")
+
+
+def family_tree(people: DataFrame, links: DataFrame, couples: DataFrame) -> DataFrame:
+    """(id, from, to, role): the edges of each person's tree: grandparents to parents, parents to the person, the person to the spouse, and the couple to the person's children.
+
+    people (id), links (child, parent), couples (a, b), each couple once in
+    either order. Roles: grandparent, parent, spouse, child. A person who is
+    met twice, as in a circle, keeps the nearest place above; own children are
+    below in any case.
+    """
+    above = ancestors(people, links, 2)
+    up = links.where("child <> parent").distinct()
+    parents = above.where("generation = 1").select("id", F.col("other").alias("from"), F.col("id").alias("to"), F.lit("parent").alias("role"))
+    middle = above.where("generation = 1").select("id", F.col("other").alias("child"))
+    elders = above.where("generation = 2").select("id", F.col("other").alias("parent"))
+    grand = middle.join(up, "child").join(elders, ["id", "parent"]).select("id", F.col("parent").alias("from"), F.col("child").alias("to"), F.lit("grandparent").alias("role"))
+    both = couples.select("a", "b").union(couples.select("b", "a")).where("a <> b").distinct()
+    spouses = people.select("id").distinct().join(both, F.col("id") == F.col("a")).select("id", F.col("id").alias("from"), F.col("b").alias("to"), F.lit("spouse").alias("role"))
+    children = people.select("id").distinct().join(up, F.col("id") == F.col("parent")).select("id", F.col("id").alias("from"), F.col("child").alias("to"), F.lit("child").alias("role"))
+    return parents.union(grand).union(spouses).union(children).distinct()
+
+
 def gap_groups(rows: DataFrame, key: str, place: str, gap: int, least: int = 2) -> DataFrame:
     """Runs of rows of a key in order of place, cut where the step exceeds gap; those of at least so many members: key, run, size, first, last."""
     w = Window.partitionBy(key).orderBy(place)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from regista.functions.names import gedcom_date, gedcom_name
 from regista.functions.ranks import with_rank
+from regista.sources.paths import exists
 
 
 def write_csv(rows: DataFrame, path: str, order: list[str]) -> None:
@@ -50,9 +55,48 @@ def write_gedcom(people: DataFrame, path: str) -> None:
     blocks.unionByName(ends).orderBy("number", "line_no").select("line").write.text(path)
 
 
-def append_snapshot(metrics: DataFrame, path: str) -> None:
-    """Append a row of metrics with the time to a history table."""
-    metrics.withColumn("taken_at", F.current_timestamp()).write.mode("append").parquet(path)
+def append_snapshot(metrics: DataFrame, path: str) -> int:
+    """Append rows of metrics with the time to a history, and give the number of the snapshot.
+
+    The rows are written to a folder of their own first, then a manifest that
+    names the folder and counts its rows. So a snapshot that was torn off is
+    not in the history, and neither is one whose folder doesn't have the rows
+    that were counted; see read_snapshots().
+    """
+    spark = metrics.sparkSession
+    number = max((r["number"] for r in _manifests(spark, path)), default=-1) + 1
+    folder = f"snapshot-{number}-{uuid.uuid4().hex}"
+    metrics.withColumn("taken_at", F.current_timestamp()).write.parquet(f"{path}/{folder}")
+    n = spark.read.parquet(f"{path}/{folder}").count()
+    spark.createDataFrame([(number, folder, n)], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{path}/_manifests/{number}")
+    return number
+
+
+#: What a manifest tells of its snapshot.
+MANIFEST = "number int, folder string, rows long"
+
+
+def _manifests(spark: SparkSession, path: str) -> list[Row]:
+    """The manifests that can be read, one for each snapshot."""
+    if not exists(spark, f"{path}/_manifests/*/*.json"):
+        return []
+    rows = spark.read.schema(MANIFEST).option("mode", "PERMISSIVE").json(f"{path}/_manifests/*")
+    return [r for r in rows.collect() if r["number"] is not None and r["folder"] is not None]
+
+
+def read_snapshots(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The history at path: number, the metrics of the schema and taken_at; snapshots that are torn or damaged are left out, and a history in which nothing can be read is empty, so that it is started over."""
+    kind = f"{schema}, taken_at timestamp"
+    out = spark.createDataFrame([], f"number int, {kind}")
+    for m in sorted(_manifests(spark, path), key=lambda m: m["number"]):
+        try:
+            rows = spark.read.schema(kind).parquet(f"{path}/{m['folder']}")
+            whole = rows.count() == m["rows"]
+        except (PySparkException, Py4JJavaError):  # files that are gone or no Parquet
+            continue
+        if whole:
+            out = out.unionByName(rows.select(F.lit(m["number"]).alias("number"), "*"))
+    return out
 
 
 def append_new(rows: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:

@@ -72,17 +72,52 @@ def html_links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", title.alias("title"), F.posexplode(links).alias("at", "href"))
 
 
+def html_parts(pages: DataFrame) -> DataFrame:
+    """Tags and texts of raw pages (page_id, html) in order: page_id, at, part, tag (its name in lower case, with / if it ends; ! for a declaration, '' for a text), depth (tables open there), table_no (which of that depth, from 1), row_no and cell_no (from 1 in the table and row; 0 before the first).
+
+    Depth is a running sum of tags that open and close tables. What follows an
+    inner table belongs to the outer one again, as counts run in each depth by
+    themselves. Comments are no parts.
+    """
+    parts = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?s)<!--.*?-->|<[a-zA-Z/!?][^>]*>|[^<]+|<"), F.lit(0))).alias("at", "part")).where("not startswith(part, '<!--')")
+    name = F.lower(F.regexp_extract("part", r"^<(/?[a-zA-Z][a-zA-Z0-9]*)", 1))
+    told = parts.withColumn("tag", F.when((name == "") & F.col("part").rlike("^<[a-zA-Z/!?]"), "!").otherwise(name))
+    opened = lambda *names: F.col("tag").isin(*names).cast("int")
+
+    def running(*by: str) -> Window:
+        return Window.partitionBy("page_id", *by).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    told = told.withColumn("depth", F.sum(opened("table") - opened("/table")).over(running()))
+    told = told.withColumn("table_no", F.sum(opened("table")).over(running("depth")))
+    told = told.withColumn("row_no", F.sum(opened("tr")).over(running("depth", "table_no")))
+    return told.withColumn("cell_no", F.sum(opened("td", "th")).over(running("depth", "table_no", "row_no")))
+
+
+def _joined_parts(of: Column) -> Column:
+    """The texts of a group in order, with single blanks."""
+    return F.trim(F.regexp_replace(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(of, F.struct("at", "part")))), lambda x: x["part"]), " "), r"\s+", " "))
+
+
+def html_cells(pages: DataFrame) -> DataFrame:
+    """Cells of the tables of raw pages (page_id, html): page_id, depth, table_no, row_no, cell_no, text, hrefs (all links of the cell, in order). Tables inside a cell have their own cells, and none of their text is in the outer one."""
+    inside = html_parts(pages).where("depth > 0 and row_no > 0 and cell_no > 0")
+    href = F.nullif(F.regexp_extract("part", r"""(?is)\shref=["']([^"']*)["']""", 1), F.lit(""))
+    links = F.transform(F.sort_array(F.collect_list(F.when((F.col("tag") == "a") & href.isNotNull(), F.struct("at", href.alias("href"))))), lambda x: x["href"])
+    return inside.groupBy("page_id", "depth", "table_no", "row_no", "cell_no").agg(_joined_parts(F.col("tag") == "").alias("text"), links.alias("hrefs"))
+
+
 def html_books(pages: DataFrame) -> DataFrame:
-    """Rows of the tables of parish pages: page_id, parish (the title), kind (caption or id of the table), title, href, doc_id, years."""
-    tables = F.regexp_extract_all("html", F.lit(r"(?is)(<table.*?</table>)"), F.lit(1))
-    parish = _tagless(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
-    t = pages.select("page_id", parish.alias("parish"), F.posexplode(tables).alias("table_no", "t"))
-    kind = F.coalesce(F.nullif(_tagless(F.regexp_extract("t", r"(?is)<caption[^>]*>(.*?)</caption>", 1)), F.lit("")), F.nullif(F.regexp_extract("t", r'(?is)<table[^>]*id="([^"]*)"', 1), F.lit("")))
-    rows = t.select("page_id", "parish", "table_no", kind.alias("kind"), F.posexplode(F.regexp_extract_all("t", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row_no", "r"))
-    cells = F.transform(F.regexp_extract_all("r", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), _tagless)
-    href = F.nullif(F.regexp_extract("r", r'(?is)href="([^"]*)"', 1), F.lit(""))
-    rows = rows.withColumn("cells", cells).where("size(cells) > 0").withColumn("href", href)
-    return rows.select("page_id", "parish", "kind", "table_no", "row_no", F.get("cells", F.lit(0)).alias("title"), "href", document_id(F.col("href")).alias("doc_id"), period(F.array_join("cells", " ")).alias("years"))
+    """Rows of the tables of parish pages, one for each link of a row, or one without: page_id, parish (the title), kind (caption or id of the table), depth, table_no, row_no, title (the first cell), href, doc_id, years."""
+    heads = pages.select("page_id", _tagless(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("parish"))
+    table = ["page_id", "depth", "table_no"]
+    before = html_parts(pages).where("depth > 0 and row_no = 0")
+    id_ = F.max(F.when(F.col("tag") == "table", F.nullif(F.regexp_extract("part", r"""(?is)\sid=["']([^"']*)["']""", 1), F.lit(""))))
+    kinds = before.groupBy(*table).agg(F.coalesce(F.nullif(_joined_parts(F.col("tag") == ""), F.lit("")), id_).alias("kind"))
+    cells = F.sort_array(F.collect_list(F.struct("cell_no", "text", "hrefs")))
+    rows = html_cells(pages).groupBy(*table, "row_no").agg(cells.alias("cells"))
+    each = rows.select(*table, "row_no", F.col("cells.text").alias("texts"), F.explode_outer(F.flatten("cells.hrefs")).alias("href"))
+    told = each.join(kinds, table, "left").join(heads, "page_id")
+    return told.select("page_id", "parish", "kind", "depth", "table_no", "row_no", F.get("texts", F.lit(0)).alias("title"), "href", document_id(F.col("href")).alias("doc_id"), period(F.array_join("texts", " ")).alias("years"))
 
 
 def retry_ids(lines: DataFrame, kind: str = "BIRT") -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from regista.functions.ranks import materialise
+from regista.sources.paths import exists
+
 
 def page_stream(spark: SparkSession, path: str, schema: str, files: int = 100) -> DataFrame:
     """New files of a directory, so many at a time."""
@@ -16,34 +19,100 @@ def page_stream(spark: SparkSession, path: str, schema: str, files: int = 100) -
 
 #: Parts of an ingest target, by a hash of the keys; a batch reads the parts that it has rows for.
 PARTS = 64
+#: Folder of an ingest target that tells which keys its files hold; names with an underscore are no rows for readers.
+INDEX = "_index"
 
 
-def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], parts: int = PARTS) -> StreamingQuery:
-    """Add each batch's rows whose key the target lacks; a batch that runs again adds nothing.
+def key_ranges(rows: DataFrame, keys: list[str], *by: str) -> DataFrame:
+    """The least and largest key of each of by: low, high."""
+    key = F.struct(*keys)
+    return rows.groupBy(*by).agg(F.min(key).alias("low"), F.max(key).alias("high"))
+
+
+def files_with(spark: SparkSession, target: str, rows: DataFrame, keys: list[str], own: str = "") -> list[str]:
+    """The files of an ingest target that may hold keys of rows (part, keys): those of their parts whose ranges of keys meet. Files under the folder own are left out. The driver gets names of files, as it does to plan any scan."""
+    if not exists(spark, f"{target}/{INDEX}/*/*/*.parquet"):
+        return []
+    index = spark.read.parquet(f"{target}/{INDEX}/*/*")
+    mine = key_ranges(rows, keys, "part").select("part", F.col("low").alias("first"), F.col("high").alias("last"))
+    met = index.join(mine, "part").where((F.col("low") <= F.col("last")) & (F.col("high") >= F.col("first")))
+    return [r["file"] for r in met.select("file").distinct().collect() if not own or own not in r["file"]]
+
 
-    The target is partitioned by a hash of the keys, and a batch reads only
-    the keys of the parts that its rows fall in. Each batch of a run has a
-    folder of its own, which it overwrites if it runs again, so that a batch
-    that failed half-way leaves nothing behind that counts twice.
+def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], parts: int = PARTS) -> StreamingQuery:
+    """Add each batch's rows whose key the target lacks; a batch that runs again adds nothing. A key with a null in it is never there yet.
+
+    The target is partitioned by a hash of the keys, and an index holds the
+    range of keys of each of its files. A batch reads the keys of those files
+    alone whose part and range meet its own rows, so ids that grow with time
+    open few of them, however many there are. Each batch of a run has a folder
+    of its own, which it overwrites if it runs again, and its part of the index
+    is written last: a batch that failed half-way leaves nothing behind that
+    counts twice.
     """
     run = uuid.uuid4().hex
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        own = f"run={run}/batch={number}"
         rows = batch.dropDuplicates(keys).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
-        hit = [r["part"] for r in rows.select("part").distinct().collect()]  # parts rows at most
-        try:
-            # this batch's own folder, left by an earlier try, does not count as there
-            there = spark.read.option("basePath", target).parquet(f"{target}/*/*/part=*").where(F.col("part").isin(hit) & ~((F.col("run") == run) & (F.col("batch") == number)))
+        files = files_with(spark, target, rows, keys, own)
+        if files:
+            there = spark.read.option("basePath", target).schema(rows.schema).parquet(*files)
             rows = rows.join(there.select("part", *keys), ["part", *keys], "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        rows.write.mode("overwrite").partitionBy("part").parquet(f"{target}/run={run}/batch={number}")
+        rows.write.mode("overwrite").partitionBy("part").parquet(f"{target}/{own}")
+        if exists(spark, f"{target}/{own}/part=*"):
+            new = spark.read.option("basePath", f"{target}/{own}").schema(rows.schema).parquet(f"{target}/{own}")
+            key_ranges(new, keys, "part", "_metadata.file_path").withColumnRenamed("file_path", "file").coalesce(1).write.mode("overwrite").parquet(f"{target}/{INDEX}/{own}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def completed(records: DataFrame, pages: DataFrame, key: str, time: str, page_time: str, within: str, late: str) -> DataFrame:
+    """Records with the columns of the page of the same key that comes up to so long after them, or with nulls if none comes in time.
+
+    Both are streams (or tables) and keep their rows until no partner can come
+    any more: a record until its time and within lie behind the watermark,
+    which is late behind the slower stream. A page that is behind the watermark
+    when it arrives is left out.
+    """
+    a = records.withWatermark(time, late)
+    b = pages.withWatermark(page_time, late).withColumnRenamed(key, "_key")
+    near = (F.col(page_time) >= F.col(time)) & (F.col(page_time) <= F.col(time) + F.expr(f"INTERVAL {within}"))
+    return a.join(b, (F.col(key) == F.col("_key")) & near, "left_outer").drop("_key")
+
+
+def queued(stream: DataFrame, queue: str, checkpoint: str) -> StreamingQuery:
+    """Put each batch of alerts (user_id, ...) into a queue, a folder for a batch; a batch that runs again replaces its folder."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{queue}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def drained(spark: SparkSession, queue: str, positions: str, number: int, users: DataFrame | None = None) -> DataFrame:
+    """The alerts that the users (user_id; all if None) have not got yet, as drain of that number, counted from 0; positions has how far each user has read.
+
+    A user's position is the last batch that was read for it. A drain takes
+    the positions that the drains before it left and leaves new ones in a
+    folder of its own, so one that is run again starts where it did the first
+    time and gives each alert once, and a user who is left out gets all alerts
+    later.
+    """
+    alerts = spark.read.option("basePath", queue).parquet(f"{queue}/batch=*")
+    done = spark.createDataFrame([], "user_id long, position int, drain int")
+    if exists(spark, f"{positions}/drain=*"):
+        done = spark.read.option("basePath", positions).parquet(f"{positions}/drain=*").where(F.col("drain") < number)
+    read = done.groupBy("user_id").agg(F.max("position").alias("position"))
+    new = alerts.join(read, "user_id", "left").where(F.col("position").isNull() | (F.col("batch") > F.col("position"))).drop("position")
+    if users is not None:
+        new = new.join(users.select("user_id").distinct(), "user_id", "left_semi")
+    new = materialise(new)
+    new.groupBy("user_id").agg(F.max("batch").alias("position")).write.mode("overwrite").parquet(f"{positions}/drain={number}")
+    return new
+
+
 def counts(stream: DataFrame, *keys: str) -> DataFrame:
     """Refreshed counts, for update or complete mode."""
     return stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
