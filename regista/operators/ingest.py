@@ -63,22 +63,22 @@ def death_persons(pages: DataFrame) -> DataFrame:
     return _named(rows, _text("e.name", "e.nome")).drop("e", "d", "n", "transcription").withColumn("tipo_registo", F.lit("DEAT"))
 
 
-def text_persons(pages: DataFrame) -> DataFrame:
-    """The person of pages without entries whose text is a death record."""
+def text_persons(pages: DataFrame, noise: tuple[str, ...] = ()) -> DataFrame:
+    """The person of pages without entries whose text is a death record; noise are the words, in lower case, that are no parts of names."""
     empty = F.lit(True)
     for c in ("deceased", "baptized", "persons"):
         empty = empty & (F.coalesce(F.size(c), F.lit(0)) <= 0)
     rows = pages.where(empty & (F.upper(F.coalesce("record_type", F.lit("DEAT"))) == "DEAT") & (page_reason(F.col("raw_text")) == "valid"))
-    rows = rows.select("file_id", F.lit(0).alias("at"), person_in_text(F.col("raw_text")).alias("p"), strict_date(F.col("raw_text")).alias("data_obito"), F.substring("raw_text", 1, 4000).alias("texto_original"))
+    rows = rows.select("file_id", F.lit(0).alias("at"), person_in_text(F.col("raw_text"), noise).alias("p"), strict_date(F.col("raw_text")).alias("data_obito"), F.substring("raw_text", 1, 4000).alias("texto_original"))
     return rows.where("p is not null").select("file_id", "at", "p.nome", "p.sobrenome", "data_obito", "texto_original", F.lit("DEAT").alias("tipo_registo"))
 
 
-def persons(pages: DataFrame) -> DataFrame:
-    """The person table of page documents: baptisms before marriages before deaths before running text, one form for each page."""
+def persons(pages: DataFrame, noise: tuple[str, ...] = ()) -> DataFrame:
+    """The person table of page documents: baptisms before marriages before deaths before running text, one form for each page; see text_persons() for noise."""
     n = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
     births, weddings = pages.where(n("baptized")), pages.where(~n("baptized") & n("persons"))
     deaths = pages.where(~n("baptized") & ~n("persons") & n("deceased"))
-    parts = [baptism_persons(births), marriage_persons(weddings), death_persons(deaths), text_persons(pages)]
+    parts = [baptism_persons(births), marriage_persons(weddings), death_persons(deaths), text_persons(pages, noise)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)

@@ -154,7 +154,7 @@ k AS (SELECT word, left(t[1] || replace(s[2:], '0', '') || '000', 4) AS code FRO
 SELECT a.word AS "first", b.word AS second, a.code FROM k a JOIN k b ON a.code = b.code AND a.word < b.word
 """)
 def phonetic_pairs(spark, sf_dir):
-    """Pairs of different words, of part names and of the system turns of conversations, with one phonetic code."""
+    """Pairs of different words, of part names and of the system turns of conversations, with one phonetic code. Pairs are the result, and grow with the square of a code's words: phonetic_blocks has the words of whole texts by their codes."""
     t = Tables(spark, sf_dir)
     turns = t.conversations.where("role = 'system'").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0))).alias("word"))
     words = t.part.select(F.explode(F.split("p_name", " ")).alias("word")).union(turns).distinct()

@@ -15,14 +15,21 @@ PAGE = f"file_id string, record_type string, raw_text string, transcription stri
 BOOK = "freguesia string, freguesia_codigo string, tipo string, tipo_cod string, titulo string, datas string, url_viewer string, url_info string, concelho_codigo string"
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Page documents of a directory, one JSON object to a file; files that are no object, or tell nothing, are left out. file_id is the file's stem where the page names none."""
-    pages = spark.read.schema(PAGE).option("multiLine", True).json(path)
+def read_pages(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Page documents of a directory, one JSON object to a file (or to a line); what is no object, or tells nothing, is left out, see damaged_pages(). file_id is the file's stem where the page names none."""
+    pages = spark.read.schema(PAGE).option("multiLine", multi_line).json(path)
     told = "file_id is not null or record_type is not null or raw_text is not null or transcription is not null or parsed_ok is not null or deceased is not null or baptized is not null or persons is not null"
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+?)(?:\.json)?$", 1)
     return pages.where(told).withColumn("file_id", F.coalesce("file_id", stem))
 
 
+def damaged_pages(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(file, text) of the page documents of a directory that are no JSON object, so that they can be put aside and mended."""
+    rows = spark.read.text(path, wholetext=multi_line).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    parsed = F.from_json("text", f"{PAGE}, _damaged string", {"columnNameOfCorruptRecord": "_damaged"})
+    return rows.where((F.trim("text") == "") | parsed["_damaged"].isNotNull())
+
+
 def recovered_json(text: Column) -> Column:
     """The object in chatty text: from the first brace to the last; null if there is none."""
     return F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
@@ -41,9 +48,9 @@ def document_id(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, r"(?:documentDetails|fileViewer)/([^?/]+)", 1), F.lit(""))
 
 
-def read_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Books of an inventory list, with document id and period."""
-    books = spark.read.schema(BOOK).option("multiLine", True).json(path)
+def read_inventory(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Books of an inventory, lists in files (or an object to a line), with document id and period."""
+    books = spark.read.schema(BOOK).option("multiLine", multi_line).json(path)
     return books.withColumn("doc_id", document_id(F.coalesce("url_viewer", "url_info"))).withColumn("_p", period(F.col("datas"))).select("*", "_p.*").drop("_p")
 
 

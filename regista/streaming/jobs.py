@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from regista.functions.ranks import materialise
+from regista.functions.text import page_reason
+from regista.operators.ingest import persons
 from regista.sources.paths import exists
 
 
@@ -39,31 +41,71 @@ def files_with(spark: SparkSession, target: str, rows: DataFrame, keys: list[str
     return [r["file"] for r in met.select("file").distinct().collect() if not own or own not in r["file"]]
 
 
+def _run(checkpoint: str) -> str:
+    """The name of a run's folders: the same whenever the run is started again."""
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+
+def _unseen(rows: DataFrame, target: str, own: str, keys: list[str], parts: int) -> DataFrame:
+    """rows with distinct keys and their part, without those that the target has outside of the folder own."""
+    spark = rows.sparkSession
+    rows = rows.dropDuplicates(keys).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+    files = files_with(spark, target, rows, keys, own)
+    if not files:
+        return rows
+    there = spark.read.option("basePath", target).schema(rows.select("part", *keys).schema).parquet(*files)
+    return rows.join(there.select("part", *keys), ["part", *keys], "left_anti")
+
+
+def _written(rows: DataFrame, target: str, own: str, keys: list[str]) -> None:
+    """Write rows (part, ...) to the folder own of the target, and then its index."""
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").partitionBy("part").parquet(f"{target}/{own}")
+    if exists(spark, f"{target}/{own}/part=*"):
+        new = spark.read.option("basePath", f"{target}/{own}").schema(rows.schema).parquet(f"{target}/{own}")
+        key_ranges(new, keys, "part", "_metadata.file_path").withColumnRenamed("file_path", "file").coalesce(1).write.mode("overwrite").parquet(f"{target}/{INDEX}/{own}")
+
+
 def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], parts: int = PARTS) -> StreamingQuery:
     """Add each batch's rows whose key the target lacks; a batch that runs again adds nothing. A key with a null in it is never there yet.
 
     The target is partitioned by a hash of the keys, and an index holds the
     range of keys of each of its files. A batch reads the keys of those files
     alone whose part and range meet its own rows, so ids that grow with time
-    open few of them, however many there are. Each batch of a run has a folder
-    of its own, which it overwrites if it runs again, and its part of the index
-    is written last: a batch that failed half-way leaves nothing behind that
-    counts twice.
+    open few of them, however many there are. Each batch of a checkpoint has a
+    folder of its own, which it overwrites if it runs again, and its part of
+    the index is written last: a batch that failed half-way leaves nothing
+    behind that counts twice once its checkpoint goes on.
     """
-    run = uuid.uuid4().hex
+    run = _run(checkpoint)
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         own = f"run={run}/batch={number}"
-        rows = batch.dropDuplicates(keys).withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
-        files = files_with(spark, target, rows, keys, own)
-        if files:
-            there = spark.read.option("basePath", target).schema(rows.schema).parquet(*files)
-            rows = rows.join(there.select("part", *keys), ["part", *keys], "left_anti")
-        rows.write.mode("overwrite").partitionBy("part").parquet(f"{target}/{own}")
-        if exists(spark, f"{target}/{own}/part=*"):
-            new = spark.read.option("basePath", f"{target}/{own}").schema(rows.schema).parquet(f"{target}/{own}")
-            key_ranges(new, keys, "part", "_metadata.file_path").withColumnRenamed("file_path", "file").coalesce(1).write.mode("overwrite").parquet(f"{target}/{INDEX}/{own}")
+        _written(_unseen(batch, target, own, keys, parts), target, own, keys)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_pages(stream: DataFrame, target: str, checkpoint: str, noise: tuple[str, ...] = (), parts: int = PARTS) -> StreamingQuery:
+    """From page documents (as sources.pages reads them) to persons, page by page, once for each file_id.
+
+    The target has two tables: persons, see operators.ingest.persons(), whose
+    text is the fallback where a page has no entries; and done (file_id,
+    status, n), a row for each page, be it synced or left out, with the reason
+    and how many persons it gave. A page in done is not looked at again,
+    whatever run it comes with. A batch writes its persons first and done last,
+    each to a folder that it overwrites if it runs again. Pages without a
+    file_id have no place in done and are left out.
+    """
+    run = _run(checkpoint)
+
+    def write(batch: DataFrame, number: int) -> None:
+        own, done = f"run={run}/batch={number}", f"{target}/done"
+        new = materialise(_unseen(batch.where("file_id is not null"), done, own, ["file_id"], parts))
+        persons(new.drop("part"), noise).write.mode("overwrite").parquet(f"{target}/persons/{own}")
+        people = batch.sparkSession.read.parquet(f"{target}/persons/{own}").groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+        told = new.join(people, "file_id", "left").select("part", "file_id", F.when(F.col("n") > 0, "synced").otherwise(page_reason(F.coalesce("raw_text", "transcription"))).alias("status"), F.coalesce("n", F.lit(0)).alias("n"))
+        _written(told, done, own, ["file_id"])
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -4,11 +4,12 @@ import random
 import time
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from regista.functions import ranks
-from regista.operators import family
+from regista.operators import family, similarity
 from regista.sources import export, pages
 from regista.streaming import jobs as stream
 
@@ -158,3 +159,92 @@ def test_no_private_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ranks.shared_folder(Session)
+
+
+def exact(rows, k):
+    ids = [i for i, v in rows if v and any(v)]
+    x = np.array([v for _, v in rows if v and any(v)], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    like = x @ x.T
+    np.fill_diagonal(like, -9)
+    return {i: {ids[j] for j in np.argsort(-like[n], kind="stable")[:k]} for n, i in enumerate(ids) if i % 20 == 0}
+
+
+def recall(found, expected):
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.id, set()).add(r.other)
+    return np.mean([len(got.get(i, set()) & e) / len(e) for i, e in expected.items()])
+
+
+def test_index_finds_nine_of_ten(spark, sf_dir):
+    rows = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.1") + "/embeddings.parquet").selectExpr("vec_id AS id", "embedding")
+    expected = exact([tuple(r) for r in rows.collect()], 5)
+    assert recall(similarity.similar(rows.where("id % 20 = 0"), rows, 5, lists=64, probes=40), expected) >= 0.9
+
+
+def test_index_of_clusters_reads_few_lists(spark):
+    draw = np.random.default_rng(4)
+    middle = draw.normal(size=(30, 16))
+    data = [(n, (middle[n % 30] + 0.1 * draw.normal(size=16)).tolist()) for n in range(1500)]
+    odd = [(5001, None), (5002, [0.0] * 16), (5003, [1.0, 2.0]), (5020, None)]
+    rows = spark.createDataFrame(data + odd, "id long, embedding array<float>")
+    c = similarity.centroids(rows.where("size(embedding) = 16"), 30)
+    index = similarity.placed(rows, c)
+    assert c.shape == (30, 16) and index.count() == 1500  # every row with a direction is in a list
+    assert recall(similarity.search(rows.where("id % 20 = 0"), index, c, 5, probes=2), exact(data, 5)) >= 0.97
+    assert similarity.similar(rows, rows.where("false")).count() == 0
+
+
+def test_whole_texts_are_read_by_file(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\n\ntwo")
+    (tmp_path / "b.txt").write_text("x")
+    assert sorted(tuple(r) for r in pages.read_texts(spark, str(tmp_path)).collect()) == [("a", "one\n\ntwo"), ("b", "x")]
+
+
+def test_damaged_pages_are_put_aside(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"file_id": "x",\n "raw_text": "t"}')
+    (tmp_path / "b.json").write_text('{"file_id": "y", "raw_')
+    assert [r.file_id for r in pages.read_pages(spark, str(tmp_path)).collect()] == ["x"]
+    assert [(r.file, r.text) for r in pages.damaged_pages(spark, str(tmp_path)).collect()] == [("b.json", '{"file_id": "y", "raw_')]
+
+
+PAGE_ROWS = [
+    {"file_id": "b", "record_type": "BIRT", "baptized": [{"name": "Ana Maria da Silva", "birth_date": "1/2/1800", "father": "Rui"}]},
+    {"file_id": "m", "persons": [{"name": "Luis Vaz", "spouse": "Eva Sá", "marriage_date": "1801-02-03"}]},
+    {"file_id": "d", "deceased": [{"name": "Rui Pinto", "death_date": "3 de Maio de 1901"}, {"name": ""}], "transcription": "com 30 annos"},
+    {"file_id": "t", "raw_text": "Registo de obito desta terra. Faleceu Manuel de Sousa Freguesia em sua casa e foi sepultado aqui."},
+    {"file_id": "s", "raw_text": "curto"},
+]
+
+
+def test_pages_become_persons_once_and_text_is_the_fallback(spark, tmp_path):
+    def put(name, rows):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{name}.json").write_text("\n".join(json.dumps(r) for r in rows))
+
+    def run(checkpoint):
+        return stream.ingest_pages(stream.page_stream(spark, str(tmp_path / "in"), pages.PAGE, 1), str(tmp_path / "out"), str(tmp_path / checkpoint), ("freguesia",)).awaitTermination()
+
+    put("one", PAGE_ROWS[:3] + PAGE_ROWS[:1])
+    run("c")
+    put("two", PAGE_ROWS)  # the first three again
+    run("c")
+    run("other")  # everything again
+    read = lambda name: spark.read.parquet(str(tmp_path / "out" / name))
+    assert sorted((r.file_id, r.tipo_registo, r.nome, r.sobrenome) for r in read("persons").collect()) == [
+        ("b", "BIRT", "Ana Maria da", "Silva"), ("d", "DEAT", "Rui", "Pinto"), ("m", "MARR", "Eva", "Sá"), ("m", "MARR", "Luis", "Vaz"), ("t", "DEAT", "Manuel", "Sousa"),
+    ]
+    assert sorted((r.file_id, r.status, r.n) for r in read("done").collect()) == [("b", "synced", 1), ("d", "synced", 1), ("m", "synced", 2), ("s", "too_short", 0), ("t", "synced", 1)]
+
+
+def test_a_batch_that_stopped_before_its_index_is_replaced(spark, tmp_path, monkeypatch):
+    spark.range(20).select(F.col("id").alias("event_id")).coalesce(1).write.json(str(tmp_path / "in"))
+    run = lambda: stream.ingest(stream.page_stream(spark, str(tmp_path / "in"), "event_id long"), str(tmp_path / "out"), str(tmp_path / "c"), ["event_id"], 2).awaitTermination()
+    with monkeypatch.context() as m:
+        m.setattr(stream, "key_ranges", lambda *a: 1 / 0)
+        with pytest.raises(Exception):
+            run()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+    run()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 20
