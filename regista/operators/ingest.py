@@ -58,8 +58,7 @@ def death_persons(pages: DataFrame) -> DataFrame:
     rows = e.withColumns({c: _text(*[f"e.{k}" for k in keys]) for c, keys in more.items()})
     rows = rows.withColumn("d", F.when(F.col("n") == 1, death_details(F.col("transcription"))))
     rows = rows.withColumns({"data_obito": strict_date(F.col("e.death_date")), "idade": F.coalesce(whole_number(F.col("e.age")), F.col("d.idade")), "testamento": F.coalesce("testamento", "d.testamento")})
-    for c in ("causa_morte", "naturalidade", "numero_assento", "hora_obito", "profissao", "estado_civil", "sacramentos", "local_sepultamento", "assinatura"):
-        rows = rows.withColumn(c, F.col(f"d.{c}"))
+    rows = rows.withColumns({c: F.col(f"d.{c}") for c in ("causa_morte", "naturalidade", "numero_assento", "hora_obito", "profissao", "estado_civil", "sacramentos", "local_sepultamento", "assinatura")})
     return _named(rows, _text("e.name", "e.nome")).drop("e", "d", "n", "transcription").withColumn("tipo_registo", F.lit("DEAT"))
 
 
