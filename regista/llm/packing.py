@@ -183,7 +183,7 @@ def differencing(lengths: np.ndarray, k: int) -> tuple[np.ndarray, int]:
 
 
 def fill(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """The window of each length, none above capacity: the window count rises until all fit."""
+    """The window of each length, none above capacity: the window count rises until all fit. Lengths of capacity have windows of their own."""
     full = lengths >= capacity
     window = np.empty(len(lengths), dtype=np.int64)
     rest = lengths[~full]
@@ -207,7 +207,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     A document's ids are the tokenizer's, without special tokens, then end; a
     null text has that id alone. Pieces are dealt evenly, in order of a hash, into blocks of about
     windows sequences; a block's pieces shorter than capacity go into near-equal
-    windows by differencing(), full pieces are sequences of their own. A window
+    windows by differencing(). Full pieces are in no block and are sequences of
+    their own, so a very long document makes no block larger. A window
     holds its pieces in (doc_id, start) order, gapless from offset 0. Padding
     is what differencing leaves, and one window in a block at most. Rows that
     repeat a doc_id, and null ids, are documents of their own; however many rows
@@ -216,7 +217,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     table.
     """
     cut = materialise(cut_documents(docs, path, capacity, end))
-    total = cut.where(F.col("length") < capacity).agg(F.sum("length")).first()[0] or 0
+    short = cut.where(F.col("length") < capacity)
+    total = short.agg(F.sum("length")).first()[0] or 0
     blocks = max(1, -(-total // (capacity * windows)))
     width = 1 << 24  # sequences that a block can number
 
@@ -229,6 +231,10 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
 
     # numbered along a hash of the row, so that equal rows are dealt to many blocks as well
     row = F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens")
-    placed = cut.withColumns({"row": row, "nth": F.monotonically_increasing_id()})
+    placed = short.withColumns({"row": row, "nth": F.monotonically_increasing_id()})
     dealt = with_rank(placed, F.col("row"), F.col("nth"), name="rank").withColumn("block", F.pmod("rank", F.lit(blocks))).drop("row", "nth", "rank")
-    return dealt.groupBy("block").applyInPandas(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    packed = dealt.groupBy("block").applyInPandas(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    # full pieces need no window: they are numbered in order, behind the numbers of all blocks
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    full = with_rank(cut.where(F.col("length") >= capacity), *[F.col(c) for c in columns], name="rank")
+    return packed.union(full.select(*columns, (F.col("rank") + F.lit(blocks * width)).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))

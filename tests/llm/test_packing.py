@@ -100,3 +100,11 @@ def test_batches_are_bounded():
     batch = pa.record_batch({"doc_id": pa.array(range(6)), "text": texts})
     got = list(packing.bounded([batch], 70))
     assert [b.num_rows for b in got] == [2, 1, 3] and pa.Table.from_batches(got).to_pylist() == batch.to_pylist()
+
+
+def test_full_pieces_are_sequences_of_their_own(spark, tokenizer):
+    df = spark.createDataFrame([(1, "a b c d " * 5000), (2, "a"), (3, "a b c d " * 5000)], "doc_id long, text string")
+    got = packing.pack(df, capacity=16).collect()
+    full = [r for r in got if r["length"] == 16]
+    assert len(full) > 2000 and len({r["sequence_id"] for r in full}) == len(full) and all(r["offset"] == 0 for r in full)
+    assert held(got, [(r["doc_id"], r["text"]) for r in df.collect()], tokenizer, 16) < 0.05
