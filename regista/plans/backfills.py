@@ -77,10 +77,18 @@ def period_years(spark, sf_dir):
     return Tables(spark, sf_dir).orders.select("o_orderkey", dates.period(written).alias("p")).select("o_orderkey", "p.year_from", "p.year_to")
 
 
-@query()
+#: Phrases with words of kinship, of which one stands before each document's text.
+KINSHIP = ("Ana, mulher de Rui da Silva. ", "filho de José e neta  de Rosa Maria do Carmo Sá Pinto, ", "viúva de Luis de Sá, viuva de Luis de Sá, marido da Eva, ", "neto de ninguem. ")
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, [{", ".join(f"'{k}'" for k in KINSHIP)}][doc_id % {len(KINSHIP)} + 1] || coalesce(text, '') AS t FROM documents)
+SELECT DISTINCT doc_id, unnest(regexp_extract_all(t, '(?:filho|filha|mulher|marido|viuva|viúva|neto|neta)\\s+de\\s+([A-ZÀ-Ú][a-zà-ú]+(?:\\s+(?:de\\s+|da\\s+|do\\s+)?[A-ZÀ-Ú][a-zà-ú]+){{0,3}})', 1)) AS name FROM t
+""")
 def kinship_names(spark, sf_dir):
-    """Names after words of kinship in all documents; a phrase of kinship is put before each text, and the test looks for it."""
-    rows = Tables(spark, sf_dir).documents.select("doc_id", F.concat(F.lit("Ana, mulher de Rui da Silva. "), F.coalesce("text", F.lit(""))).alias("text"))
+    """Names after words of kinship in all documents, before whose texts phrases of kinship stand."""
+    phrase = F.get(F.array(*[F.lit(k) for k in KINSHIP]), (F.col("doc_id") % len(KINSHIP)).cast("int"))
+    rows = Tables(spark, sf_dir).documents.select("doc_id", F.concat(phrase, F.coalesce("text", F.lit(""))).alias("text"))
     return rows.select("doc_id", F.explode(text.relation_names(F.col("text"))).alias("name"))
 
 

@@ -394,9 +394,27 @@ def text_entities(spark, sf_dir):
     return rows.select("doc_id", F.array_join("e.names", ";").alias("names"), F.array_join("e.numbers", ";").alias("numbers"))
 
 
-@query()
+_MONTH = "MAP {" + ", ".join(f"'{m}': {n}" for m, n in dates.MONTHS.items()) + "}"
+_NAME = "[A-ZÀ-Ú][a-zà-ú]+"
+
+
+def _day(pattern: str, y: int, m: int, d: int, month: str = "CAST(@ AS INTEGER)") -> str:
+    """SQL for the date that the groups of a pattern tell of l.low, null if it is none."""
+    part = lambda k: f"nullif(regexp_extract(low, '{pattern}', {k}), '')"
+    return f"CASE WHEN CAST({part(y)} AS INTEGER) BETWEEN 1500 AND 2025 THEN try_cast({part(y)} || '-' || {month.replace('@', part(m))} || '-' || {part(d)} AS DATE) END"
+
+
+@query(f"""
+WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents),
+k AS (SELECT id, CAST(line_no AS INTEGER) AS line_no, trim(line) AS line, lower(trim(line)) AS low FROM l WHERE trim(line) <> ''),
+r AS (SELECT id, line_no, list_filter(list_distinct(regexp_extract_all(line, '{_NAME}(?:\\s+(?:de\\s+|da\\s+|do\\s+)?{_NAME})+')), lambda x: length(x) BETWEEN 4 AND 99) AS names,
+  coalesce({_day("([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})", 1, 2, 3)}, {_day("([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})", 3, 2, 1)},
+    {_day("([0-9]{1,2})[[:space:]]+de[[:space:]]+([0-9_[:alpha:]à-ÿ]+)[[:space:]]+de[[:space:]]+([0-9]{4})", 3, 2, 1, "coalesce(" + _MONTH + "[@], 1)")}) AS date,
+  nullif(regexp_extract(line, '(?i)(?:n[.º°]*|assento|registo)\\s*([0-9]+)', 1), '') AS number FROM k)
+SELECT id, line_no, unnest(names) AS name, date, number FROM r UNION ALL SELECT id, line_no, NULL, date, number FROM r WHERE len(names) = 0 AND date IS NOT NULL AND number IS NOT NULL
+""")
 def line_records(spark, sf_dir):
-    """The names, dates and numbers of every line of every document; the patterns are held against Python's in the tests."""
+    """The names, dates and numbers of every line of every document."""
     rows = Tables(spark, sf_dir).documents.select(F.col("doc_id").alias("id"), "text")
     return text.generic_lines(rows, "id")
 

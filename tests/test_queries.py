@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from regista.plans import backfills, jobs, lookups, records, stats  # noqa: F401
+from regista.plans import backfills, files, jobs, lookups, mechanisms, reading, records, stats  # noqa: F401
 from regista.plans.registry import ORACLE_SQL, QUERIES
 from tests.oracle import connect, rows
 
