@@ -84,19 +84,28 @@ def variant_search(rows: DataFrame, key: str, columns: list[str], queries: DataF
     return hits(names, "name", spread.select("text").distinct()).join(spread, "text").select("query", key).distinct()
 
 
-def with_fallback(rows: DataFrame, name: str, queries: DataFrame) -> DataFrame:
-    """(query, match, how) of rows whose name contains the query; queries without any hit, of three letters or more, are tried in modern spelling, under the same filters."""
+def with_fallback(rows: DataFrame, name: str, queries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(query, match, how, keep) of rows whose name contains the query; queries without any hit, of three letters or more, are tried in modern spelling, under the same filters. keep are further columns of rows."""
 
     def tried(form, some: DataFrame, how: str) -> DataFrame:
         texts = some.select("query", form(F.col("query")).alias("text"))
-        found = hits(rows.select(F.col(name).alias("match"), form(F.col(name)).alias("name")), "name", texts.select("text").distinct())
-        return found.join(texts, "text").select("query", "match", F.lit(how).alias("how"))
+        found = hits(rows.select(*keep, F.col(name).alias("match"), form(F.col(name)).alias("name")), "name", texts.select("text").distinct())
+        return found.join(texts, "text").select("query", "match", F.lit(how).alias("how"), *keep)
 
     direct = tried(F.lower, queries, "direct")
     missed = queries.where(F.length("query") >= 3).join(direct.select("query").distinct(), "query", "left_anti")
     return direct.union(tried(folded, missed, "folded"))
 
 
+def people(rows: DataFrame, queries: DataFrame, place: str = "", kind: str | None = None, first: int | None = None, last: int | None = None, limit: int = 50) -> DataFrame:
+    """The newest people (id, nome, freguesia, tipo_registo, data, qualidade) for each of queries (query): query, id, match, how, rank. A row counts if it may be shown, its place contains place, it is of the kind and its date lies in the years; a query that finds nothing among those is tried in modern spelling under the same filters."""
+    some = public(F.col("qualidade")) & all_contain({"freguesia": place}) & in_years(F.col("data"), first, last)
+    shown = rows.where(some & (F.col("tipo_registo") == kind) if kind else some)
+    newest = Window.partitionBy("query").orderBy(F.col("id").desc())
+    found = with_fallback(shown, "nome", queries, ("id",)).withColumn("rank", F.row_number().over(newest))
+    return found.where(F.col("rank") <= limit).select("query", "id", "match", "how", "rank")
+
+
 def suggestions(log: DataFrame, prefix: str, fixed: list[str], recent: int = 1000, most: int = 10) -> DataFrame:
     """Completions of a prefix of two letters or more: recent distinct queries (query, ts), newest first, then the fixed list."""
     p = prefix.lower()

@@ -191,3 +191,24 @@ SELECT count(*) FILTER (text <> '' AND length(trim(text)) >= 50 AND regexp_match
 def good_pages(spark, sf_dir):
     rows = Tables(spark, sf_dir).documents
     return rows.agg(F.count_if(text.good_page(F.col("text"))).alias("good"), F.count(F.lit(1)).alias("pages"))
+
+
+_FOLD = "replace(replace(replace(replace(replace(lower({}), 'ph', 'f'), 'y', 'i'), 'w', 'v'), 'ck', 'k'), 'th', 't')"
+
+
+@query(f"""
+WITH q AS (SELECT * FROM (VALUES ('ring'), ('Vidget'), ('rynG'), ('zzz'), ('e')) t(query)),
+p AS (SELECT p_partkey AS id, p_name AS nome FROM part WHERE (p_partkey % 7 = 0 OR p_size % 4 > 0) AND p_size % 10 BETWEEN 2 AND 7 AND p_partkey % 3 = 1 AND contains(lower(p_type), 'e')),
+d AS (SELECT query, id, nome, 'direct' AS how FROM p JOIN q ON contains(lower(nome), lower(query))),
+f AS (SELECT query, id, nome, 'folded' AS how FROM p JOIN q ON contains({_FOLD.format("nome")}, {_FOLD.format("query")}) WHERE length(query) >= 3 AND query NOT IN (SELECT query FROM d))
+SELECT query, id, nome AS "match", how, row_number() OVER (PARTITION BY query ORDER BY id DESC) AS rank FROM (FROM d UNION ALL FROM f) QUALIFY rank <= 20
+""")
+def people_search(spark, sf_dir):
+    """Quality, place, kind, years and the fallback together: the newest twenty parts for each query."""
+    c = F.col
+    rows = Tables(spark, sf_dir).part.select(
+        c("p_partkey").alias("id"), c("p_name").alias("nome"), c("p_type").alias("freguesia"), F.when(c("p_partkey") % 3 == 1, "BIRT").otherwise("DEAT").alias("tipo_registo"),
+        F.make_date((c("p_size") % 10 + 1800).cast("int"), F.lit(6), F.lit(1)).alias("data"), F.when(c("p_partkey") % 7 > 0, (c("p_size") % 4).cast("double")).alias("qualidade"),
+    )
+    queries = spark.sql("SELECT * FROM VALUES ('ring'), ('Vidget'), ('rynG'), ('zzz'), ('e') AS t(query)")
+    return search.people(rows, queries, "%E%", "BIRT", 1802, 1807, 20)

@@ -145,3 +145,11 @@ def test_a_batch_that_runs_again_overwrites_its_own_folder(spark, tmp_path):
         stream.ingest(stream.page_stream(spark, str(tmp_path / "in"), "event_id long, event_type string", 1), str(tmp_path / "out"), str(tmp_path / f"c{run}"), ["event_id"], 4).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == out.select("event_id").distinct().count() == 50
+
+
+def test_searches_keep_their_order(spark):
+    rows = spark.createDataFrame([(1, "Ana", "DEAT", "p", "1900-01-01"), (2, "Ana B", "DEAT", "p", None), (3, "Joana", "DEAT", "p", "1800-01-01"), (4, "Eva", "BIRT", "p", "1700-01-01"), (5, "Ana", "DEAT", "q", "1800-01-01")], "id long, nome string, tipo_registo string, freguesia string, data string")
+    assert [r.id for r in search.by_date(rows, "ANA", kind="DEAT").collect()] == [2, 3, 5, 1]
+    assert [r.id for r in search.of_place(rows, "p").collect()] == [2, 4, 3, 1]
+    lines = spark.createDataFrame([(2, 1, 0.9), (1, 2, 0.9), (1, 1, 0.9), (3, 1, 1.0), (4, 1, 0.2)], "id long, line_no int, quality double")
+    assert [(r.id, r.line_no) for r in search.best_lines(lines).collect()] == [(3, 1), (1, 1), (1, 2), (2, 1)]
