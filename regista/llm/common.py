@@ -30,6 +30,15 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def placed_within(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with their place, from 1, among those of equal key. No task sees all rows of a key: narrow rows are ranked over all keys, and the first rank of each key is taken off."""
+    fixed = materialise(rows.withColumn("_at", F.monotonically_increasing_id()))
+    ranked = materialise(with_rank(fixed.select(key, "_at"), F.col(key), F.col("_at"), name="_rank"))
+    firsts = ranked.groupBy(key).agg(F.min("_rank").alias("_first"))
+    places = ranked.join(firsts, key).select("_at", (F.col("_rank") - F.col("_first") + 1).alias(name))
+    return fixed.join(places, "_at").drop("_at")
+
+
 def words(text: Column) -> Column:
     """The runs of characters other than the six white space characters."""
     return F.array_remove(F.split(text, SPACES), "")

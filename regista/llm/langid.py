@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -18,13 +19,13 @@ from regista.llm.hashing import pieces
 VOCABULARY = "piece_bpe_32k.model"
 #: Documents of a language to learn from, about so many at most, drawn by a hash of the id.
 SAMPLE = 1_500
-#: Languages to learn, the most frequent ones; the piece table has a column for each, which bounds it. Texts of any further language get one of these.
+#: Languages that one piece table holds, with a column for each, which bounds it. More languages make more tables, which are used one after the other.
 LANGUAGES = 200
 ROUNDS = 2
 SMOOTHING = 0.1
 #: Probability of a letter that no piece covers.
 UNKNOWN = 1e-7
-#: Longer words are not learnt from; they are scored like all others.
+#: Longer words are learnt from in parts of so many letters; they are scored whole, like all others.
 LEARNT = 64
 #: Numbers that a task's tables of forward sums and of recent words may hold.
 NUMBERS = 1 << 23
@@ -135,12 +136,20 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _sample(docs: DataFrame) -> tuple[list[str], DataFrame]:
-    """The languages to learn, and a drawn sample (lang, word, n) of the documents' words."""
-    counts = docs.where("lang is not null").groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES)
-    rates = {r["lang"]: min(1.0, SAMPLE / r["count"]) for r in counts.collect()}  # LANGUAGES rows at most
-    if not rates:
-        return [], docs.select("lang", F.col("text").alias("word"), F.lit(1).alias("n")).limit(0)
+def languages(docs: DataFrame) -> list[dict[str, float]]:
+    """All languages of docs in order, LANGUAGES in a group, each with the share of its documents that is learnt from. The list of languages goes through the driver, never one of documents."""
+    counts = docs.where("lang is not null").groupBy("lang").count()
+    rates = sorted((r["lang"], min(1.0, SAMPLE / r["count"])) for r in counts.collect())  # a row for each language
+    return [dict(rates[k : k + LANGUAGES]) for k in range(0, len(rates), LANGUAGES)]
+
+
+def parts(word: str) -> list[str]:
+    """A word in the parts that are learnt from."""
+    return [word[k : k + LEARNT] for k in range(0, len(word), LEARNT)]
+
+
+def _sample(docs: DataFrame, rates: dict[str, float]) -> DataFrame:
+    """A drawn sample (lang, word, n) of the words of the documents in the languages of rates."""
     rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])[F.col("lang")]
     drawn = docs.where(F.col("lang").isin(*rates)).where(uniform(F.lit(SEED), F.col("doc_id")) < rate).select("lang", text_of().alias("text"))
 
@@ -150,21 +159,20 @@ def _sample(docs: DataFrame) -> tuple[list[str], DataFrame]:
         for batch in pieces(batches, 512):
             found: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.update((lang, w) for w in runs(text) if len(w) <= LEARNT)
+                found.update((lang, w) for run in runs(text) for w in parts(run))
             yield pa.record_batch([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(found.values(), pa.int64())], names=["lang", "word", "n"])
 
     words = drawn.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return sorted(rates), materialise(words)
+    return materialise(words)
 
 
-def train(docs: DataFrame, path: str | None = None) -> tuple[list[str], list[str], np.ndarray]:
-    """Pieces, languages and piece probabilities (piece and unknown letter, language), by EM over all segmentations of a bounded sample's words."""
-    names = vocabulary(path or vocabulary_path())
-    langs, words = _sample(docs)
-    table = np.full((len(names) + 1, max(1, len(langs))), 1.0 / len(names))
+def train(docs: DataFrame, rates: dict[str, float], names: list[str]) -> np.ndarray:
+    """Probabilities (piece and unknown letter, language) of the pieces in the languages of rates, by EM over all segmentations of a bounded sample's words."""
+    langs, words = list(rates), _sample(docs, rates)
+    table = np.full((len(names) + 1, len(langs)), 1.0 / len(names))
     table[-1] = UNKNOWN
     spark, place = docs.sparkSession, {x: k for k, x in enumerate(langs)}
-    for _ in range(ROUNDS if langs else 0):
+    for _ in range(ROUNDS):
         model = spark.sparkContext.broadcast((names, table))
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +195,7 @@ def train(docs: DataFrame, path: str | None = None) -> tuple[list[str], list[str
         counts[:-1] += SMOOTHING
         table = counts / counts.sum(axis=0)
         table[-1] = UNKNOWN
-    return names, langs, table
+    return table
 
 
 def identify(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -202,38 +210,62 @@ def identify(docs: DataFrame, path: str | None = None) -> DataFrame:
     in order. A text that is null or has no letter is 'und' with score 0, as
     are all texts where no language could be learnt. lang, source and doc_id
     play no part in a prediction. Words of any length are summed over all their
-    segmentations, texts are read whole. At most LANGUAGES languages are
-    learnt, the most frequent ones. Rows that repeat each have a row, equal
-    texts equal predictions; an empty table stays empty; other columns are
-    ignored.
+    segmentations, texts are read whole. Languages of any number are learnt:
+    one table holds LANGUAGES of them, and the likelihoods under several tables
+    are put together for each different text. Rows that repeat each have a row,
+    equal texts equal predictions; an empty table stays empty; other columns
+    are ignored.
     """
-    names, langs, table = train(docs.where(~held_out()), path)
-    model = docs.sparkSession.sparkContext.broadcast((names, table.astype(np.float32)))
+    learnt = docs.where(~held_out())
+    groups = languages(learnt)
+    if not groups:
+        return docs.select("doc_id", held_out().alias("held_out"), F.lit(NONE).alias("lang_pred"), F.lit(0.0).alias("score"))
+    names = vocabulary(path or vocabulary_path())
+    score = (1 / F.col("total")).alias("score")
+    if len(groups) == 1:
+        told = _likeliest(docs.select("doc_id", "text"), names, list(groups[0]), train(learnt, groups[0], names))
+        return told.select("doc_id", held_out().alias("held_out"), "lang_pred", score)
+    texts = docs.select("doc_id", "text", F.sha2(text_of(), 256).alias("of"))
+    by_group = None
+    for k, group in enumerate(groups):
+        told = _likeliest(texts.select("of", "text"), names, list(group), train(learnt, group, names))
+        told = told.groupBy("of").agg(*[F.first(c).alias(c) for c in ("lang_pred", "mean", "total")]).withColumn("group", F.lit(k))
+        by_group = told if by_group is None else by_group.union(told)
+    all_of = F.collect_list(F.struct("mean", (-F.col("group")).alias("group"), "lang_pred", "total"))  # one for each table
+    best = by_group.groupBy("of").agg(all_of.alias("told")).withColumn("best", F.array_max(F.transform("told", lambda z: F.struct(z["mean"], z["group"], z["lang_pred"]))))
+    total = F.aggregate("told", F.lit(0.0), lambda s, z: s + z["total"] * F.exp(z["mean"] - F.col("best.mean")))
+    best = best.select("of", F.col("best.lang_pred").alias("lang_pred"), total.alias("total"))
+    return texts.select("doc_id", "of").join(best, "of").select("doc_id", held_out().alias("held_out"), "lang_pred", score)
+
+
+def _likeliest(texts: DataFrame, names: list[str], langs: list[str], table: np.ndarray) -> DataFrame:
+    """For each row of texts (a key, text) the key, lang_pred, the likeliest of langs, mean, the mean log probability of a word in it, and total, the probabilities in all langs by that in the likeliest. A text without a letter has 'und', 0 and an infinite total."""
+    model = texts.sparkSession.sparkContext.broadcast((names, table.astype(np.float32)))
+    key = texts.schema[0]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(model.value[0], model.value[1].astype(np.float64))
         known: dict[str, int] = {}
-        rows = np.zeros((0, table.shape[1]))
+        rows = np.zeros((0, len(langs)))
         for batch in pieces(batches, 512):
-            texts = [runs(x) if x and langs else [] for x in batch.column(1).to_pylist()]
-            new = [w for w in dict.fromkeys(w for t in texts for w in t) if w not in known]
-            if len(known) + len(new) > min(CACHE, NUMBERS // max(1, len(langs))):
+            words = [runs(x) if x else [] for x in batch.column(1).to_pylist()]
+            new = [w for w in dict.fromkeys(w for t in words for w in t) if w not in known]
+            if len(known) + len(new) > min(CACHE, NUMBERS // len(langs)):
                 known, rows = {}, rows[:0]
-                new = list(dict.fromkeys(w for t in texts for w in t))
+                new = list(dict.fromkeys(w for t in words for w in t))
             if new:
                 rows = np.concatenate([rows, lattice.scores(new)])
                 for w in new:
                     known[w] = len(known)
-            best, share = [], []
-            for t in texts:
+            best: list[tuple[str, float, float]] = []
+            for t in words:
                 if not t:
-                    best.append(NONE)
-                    share.append(0.0)
+                    best.append((NONE, 0.0, math.inf))
                     continue
                 mean = rows[[known[w] for w in t]].mean(axis=0)
                 k = int(mean.argmax())
-                best.append(langs[k])
-                share.append(float(1.0 / np.exp(mean - mean[k]).sum()))
-            yield pa.record_batch({"doc_id": batch.column(0), "lang_pred": pa.array(best, pa.string()), "score": pa.array(share, pa.float64())})
+                best.append((langs[k], float(mean[k]), float(np.exp(mean - mean[k]).sum())))
+            lang, mean, total = zip(*best, strict=True) if best else ((), (), ())
+            yield pa.record_batch([batch.column(0), pa.array(lang, pa.string()), pa.array(mean, pa.float64()), pa.array(total, pa.float64())], names=[key.name, "lang_pred", "mean", "total"])
 
-    return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, lang_pred string, score double").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return texts.mapInArrow(score, f"{key.name} {key.dataType.simpleString()}, lang_pred string, mean double, total double")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regista.llm.common import SPACES, materialise, text_of, uniform, unpacked, whole, with_rank
+from regista.llm.common import SPACES, materialise, placed_within, text_of, uniform, unpacked, whole, with_rank
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -163,7 +163,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     hashed = [F.col("`" + name.replace("`", "``") + "`") for name, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     out = docs.select(whole(docs).alias("doc"), F.xxhash64(*hashed).alias("row")).join(found, "row")
     if found.where("n > 1").take(1):  # rows that repeat: the first ones take what does not divide
-        several = out.where("n > 1").withColumn("nth", F.row_number().over(Window.partitionBy("row").orderBy("row")))
+        several = placed_within(out.where("n > 1"), "row", "nth")
         share = F.floor(F.col("copies") / F.col("n")) + (F.col("nth") <= F.pmod("copies", "n")).cast("long")
         out = out.where("n = 1").select("doc", "copies").union(several.select("doc", share.alias("copies")).where("copies > 0"))
     repeated = out.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth"))

@@ -49,6 +49,34 @@ def test_languages(spark, sf_dir):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_languages_of_several_tables(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    stems = {f"l{k}": [c + v + c for c in "bcdfghjklm"[k : k + 2] for v in "aeiou"] for k in range(0, 10, 2)}
+    stems = {lang: [a + b for a in some for b in some] for lang, some in stems.items()}
+    rows = [(k, " ".join(rng.choice(stems[lang], 30)), lang) for k, lang in enumerate(list(stems) * 20)]
+    rows += [(1000, None, "l0"), (1001, "12 !!", None), (1002, rows[0][1], None), (1002, rows[0][1], None), (None, "babbab", "l0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def told():
+        found = langid.identify(docs.selectExpr("*", "1 as of", "2 as total", "3 as mean")).collect()
+        return sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["held_out"], r["lang_pred"], round(r["score"], 9)) for r in found))
+
+    one = told()
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    assert [len(g) for g in langid.languages(docs)] == [2, 2, 1]
+    assert told() == one and len(one) == len(rows)
+    assert all(r[3] == f"l{2 * (r[1] % 5)}" for r in one if r[1] < 1000 and not r[0])
+    assert {r[3:] for r in one if r[1] in (1000, 1001)} == {("und", 0.0)}
+
+
+def test_words_of_any_length_are_learnt_from(spark):
+    words = {"x": "kazo" * 500, "y": "milu" * 500}  # no word of these texts is short
+    rows = [(k, w, lang) for k, (lang, w) in enumerate(list(words.items()) * 10)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert [r["lang_pred"] for r in sorted(got, key=lambda r: r["doc_id"])] == [r[2] for r in rows]
+    assert "".join(langid.parts("▁" + words["x"])) == "▁" + words["x"]
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(3)
     words = [f"w{k}" for k in range(200)]

@@ -7,7 +7,7 @@ import regex
 from pyspark.sql import functions as F
 
 from regista.llm import quality
-from regista.llm.common import uniform
+from regista.llm.common import placed_within, uniform
 from regista.llm.mixing import MOST, SEED, mix, mixed, rounded, targets
 from regista.llm.quality import judge
 from tests.llm.brute import WORD
@@ -184,3 +184,21 @@ def test_accepted_keeps_columns_of_any_name(spark):
     got = quality.accepted(df)
     assert got.columns == df.columns and [r["doc_id"] for r in got.collect()] == [1, 1] and {r["_row"] for r in got.collect()} == {1}
     assert quality.accepted(df.limit(0)).count() == 0
+
+
+def test_places_within_a_hot_key(spark):
+    rows = spark.range(30_000).selectExpr("if(id % 3 = 0, 7, id) as key", "cast(id as string) as text").repartition(7)
+    got = placed_within(rows, "key", "nth").groupBy("key").agg(F.count("*").alias("n"), F.min("nth").alias("low"), F.max("nth").alias("high"), F.countDistinct("nth").alias("unlike"), F.countDistinct("text").alias("texts"))
+    found = {r["key"]: tuple(r)[1:] for r in got.collect()}
+    assert len(found) == 20_000 and found[7] == (10_001, 1, 10_001, 10_001, 10_001)
+    assert all(v == (1, 1, 1, 1, 1) for k, v in found.items() if k != 7)
+    assert placed_within(rows.limit(0), "key", "nth").count() == 0
+
+
+def test_rows_that_repeat_are_taken_as_often_as_the_mix_says(spark):
+    rows = [(k, f"word{k} " * (k % 9 + 1), "ab"[k % 2]) for k in range(60)] + [(99, "one two three", "a")] * 500 + [(None, None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as nth", "2 as row", "3 as _at")
+    taken = mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("n")).where("n > 0").collect()
+    got = mixed(docs).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["n"] for r in taken if r["doc_id"] is not None} == {r["doc_id"]: r["count"] for r in got if r["doc_id"] is not None}
+    assert mixed(docs.limit(0)).count() == 0
