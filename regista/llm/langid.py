@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,39 @@ def runs(text: str) -> list[str]:
     return ["▁" + w for w in LETTERS.findall(text.lower())]
 
 
+class Prefixes:
+    """All beginnings of pieces, numbered from 0, the empty one, so that many words are read on by a letter at once."""
+
+    def __init__(self, at: dict[str, int]):
+        alphabet = sorted({c for p in at for c in p})
+        self.alphabet = np.array([ord(c) for c in alphabet], dtype=np.uint32)
+        self.width, code = len(alphabet) + 1, {c: k for k, c in enumerate(alphabet)}
+        number, steps, piece = {"": 0}, {}, [-1]
+        for p, row in at.items():
+            for k in range(1, len(p) + 1):
+                if p[:k] not in number:
+                    number[p[:k]] = len(piece)
+                    steps[number[p[: k - 1]] * self.width + code[p[k - 1]]] = len(piece)
+                    piece.append(-1)
+            piece[number[p]] = row
+        self.piece = np.array(piece)
+        self.keys = np.array(sorted(steps), dtype=np.int64)
+        self.next = np.array([steps[k] for k in self.keys.tolist()], dtype=np.int64)
+
+    def letters(self, words: list[str]) -> np.ndarray:
+        """Numbers of the letters of words of one length (word, place); letters of no piece have a number of their own."""
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(words), -1)
+        at = np.minimum(np.searchsorted(self.alphabet, points), self.width - 2)
+        return np.where(self.alphabet[at] == points, at, self.width - 1)
+
+    def longer(self, word: np.ndarray, prefix: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words whose prefix followed by letter begins a piece, with that beginning."""
+        key = prefix * self.width + letter
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        found = self.keys[at] == key
+        return word[found], self.next[at[found]]
+
+
 class Lattice:
     """All segmentations of words of one length into pieces, for a table of piece probabilities (piece, language); its last row is the unknown letter."""
 
@@ -63,6 +97,10 @@ class Lattice:
         self.at, self.table = {p: k for k, p in enumerate(names)}, table
         self.longest = max(map(len, names), default=1)
 
+    @cached_property
+    def prefixes(self) -> Prefixes:
+        return Prefixes(self.at)
+
     def rows(self, words: list[str]) -> dict[tuple[int, int], np.ndarray]:
         """For each cut i, j the table row of words' [i:j], -1 where it is no piece."""
         m, get, last = len(words[0]), self.at.get, len(self.at)
@@ -87,22 +125,33 @@ class Lattice:
         """
         width = self.table.shape[1]
         out = np.empty((len(words), width))
-        get, last, keep = self.at.get, len(self.at), self.longest
+        last, keep = len(self.at), self.longest
         for m in set(map(len, words)):
             own = [k for k, w in enumerate(words) if len(w) == m]
             size = max(1, NUMBERS // ((keep + 1) * width))
             for b in range(0, len(own), size):
-                part = [words[k] for k in own[b : b + size]]
-                alpha = np.zeros((keep + 1, len(part), width))  # alpha[j % (keep + 1)] for cut j
+                letters = self.prefixes.letters([words[k] for k in own[b : b + size]])
+                n = len(letters)
+                alpha = np.zeros((keep + 1, n, width))  # alpha[j % (keep + 1)] for cut j
                 alpha[0] = 1.0
-                scale = np.zeros((len(part), width))
+                scale = np.zeros((n, width))
+                begun: list[tuple[int, np.ndarray, np.ndarray]] = []  # cut i, and the words whose letters since i begin a piece, with that beginning
                 for j in range(1, m + 1):
-                    total = np.zeros((len(part), width))
-                    for i in range(max(0, j - keep), j):
-                        k = np.array([get(w[i:j], last if j - i == 1 else -1) for w in part])
-                        used = np.flatnonzero(k >= 0)
-                        if len(used):
-                            total[used] += alpha[i % (keep + 1), used] * self.table[k[used]]
+                    total, alive = np.zeros((n, width)), []
+                    begun.append((j - 1, np.arange(n), np.zeros(n, dtype=np.int64)))
+                    for i, word, prefix in begun:
+                        word, prefix = self.prefixes.longer(word, prefix, letters[word, j - 1])
+                        row = self.prefixes.piece[prefix]
+                        whole = row >= 0
+                        if i == j - 1:
+                            alone = np.full(n, last)
+                            alone[word[whole]] = row[whole]
+                            total += alpha[i % (keep + 1)] * self.table[alone]
+                        elif whole.any():
+                            total[word[whole]] += alpha[i % (keep + 1), word[whole]] * self.table[row[whole]]
+                        if len(word):
+                            alive.append((i, word, prefix))
+                    begun = alive
                     alpha[j % (keep + 1)] = total
                     if j % 16 == 0:
                         scale += np.log(total)
