@@ -29,6 +29,11 @@ def test_phonetic_code(spark, word):
     assert one(spark, names.phonetic_code, word) == CODES[word]
 
 
+def test_a_letter_of_two_sounds_alone_has_pairs(spark):
+    words = spark.createDataFrame([("ß",), ("Sé",), ("S",), ("1",), ("",)], "word string")
+    assert {tuple(r) for r in names.phonetic_pairs(words).collect()} == {("S", "Sé", "S000"), ("S", "ß", "S000"), ("Sé", "ß", "S000")}
+
+
 @pytest.mark.parametrize("name, given, last", [("Dom João da Silva", "João da", "Silva"), ("Ana", "Ana", ""), ("  ", "", "")])
 def test_name_split(spark, name, given, last):
     assert one(spark, names.given_name, name) == given
