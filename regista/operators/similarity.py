@@ -6,16 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regista.operators.family import cosine
+from regista.operators.family import nearest
 
 #: Rows that centroids are fitted to, on average: a bounded draw by a hash of the id. All rows are put into lists.
 SAMPLE = 20_000
 TURNS = 12
-#: Parts in which the rows of a query are ranked before their best ones are ranked together.
-PARTS = 32
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -68,16 +66,10 @@ def placed(rows: DataFrame, c: np.ndarray, probes: int = 1) -> DataFrame:
 def search(queries: DataFrame, index: DataFrame, c: np.ndarray, k: int = 5, probes: int = 8) -> DataFrame:
     """(id, other, similarity, rank): the k rows of an index (id, embedding, list), as placed() makes it, most like each of the queries (id, embedding), without itself, among the lists that are nearest to the query.
 
-    A query meets the rows of its lists in a join on the number of the list,
-    which can be split; the best of each part of its rows are kept before they
-    are ranked together, so no task holds all rows that a query meets.
+    A query meets the rows of its lists block by block, as nearest() does it.
     """
-    asked = placed(queries.select("id", "embedding"), c, probes).select("id", "list", F.col("embedding").alias("x"))
-    pairs = asked.join(index.select(F.col("id").alias("other"), F.col("embedding").alias("y"), "list"), "list").where("id <> other")
-    scored = pairs.select("id", "other", cosine(F.col("x"), F.col("y")).alias("similarity"), F.pmod(F.xxhash64("other"), F.lit(PARTS)).alias("_part"))
-    best = lambda *by: Window.partitionBy(*by).orderBy(F.col("similarity").desc(), "other")
-    some = scored.withColumn("rank", F.row_number().over(best("id", "_part"))).where(F.col("rank") <= k)
-    return some.drop("_part").withColumn("rank", F.row_number().over(best("id"))).where(F.col("rank") <= k)
+    asked = placed(queries.select("id", "embedding"), c, probes)
+    return nearest(asked.select("id", "embedding", "list"), index.select("id", "embedding", "list"), "list", k)
 
 
 def similar(queries: DataFrame, rows: DataFrame, k: int = 5, lists: int = 64, probes: int = 16) -> DataFrame:

@@ -196,6 +196,36 @@ def test_index_of_clusters_reads_few_lists(spark):
     assert similarity.similar(rows, rows.where("false")).count() == 0
 
 
+def test_nearest_of_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(family, "BLOCK", 40)
+    monkeypatch.setattr(family, "ASKED", 7)
+    draw = np.random.default_rng(9)
+    data = [(n, draw.integers(-2, 3, size=3).astype(float).tolist(), n % 2) for n in range(400)]  # many are equal or have one direction
+    data = [r for r in data if any(r[1])] + [(1000, None, 0), (1020, [1.0, None, 2.0], 0), (1040, [1.0, 2.0], 1), (1060, [0.0] * 3, 1), (2000, [1.0, 0.0], 7), (2020, [1.0, 1.0], 7), (2040, None, 7)]
+    rows = spark.createDataFrame(data, "id long, embedding array<double>, label int")
+    found = {}
+    for r in family.most_similar(rows.where("id % 20 = 0"), rows, 5).collect():
+        found.setdefault(r.id, []).append((r["rank"], r.other, r.similarity))
+
+    def like(x, y):
+        if x is None or y is None or len(x) != len(y) or None in x + y or not (any(x) and any(y)):
+            return None
+        dot = lambda a, b: sum(p * q for p, q in zip(a, b, strict=True))
+        return dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5
+
+    for i, x, label in data:
+        if i % 20 == 0:
+            told = [(like(x, y), j) for j, y, m in data if m == label and j != i]
+            told = sorted(told, key=lambda t: (t[0] is None, -(t[0] or 0), t[1]))[:5]
+            assert [(n + 1, j, s) for n, (s, j) in enumerate(told)] == sorted(found.get(i, []))
+
+
+def test_no_row_for_a_pair_of_vectors(spark):
+    rows = spark.range(20).select("id", F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"), F.lit(1).alias("label"))
+    plan = family.most_similar(rows, rows, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan.lower()
+
+
 def test_whole_texts_are_read_by_file(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\n\ntwo")
     (tmp_path / "b.txt").write_text("x")
