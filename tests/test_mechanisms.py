@@ -226,6 +226,23 @@ def test_no_row_for_a_pair_of_vectors(spark):
     assert "MapInArrow" in plan and "zip_with" not in plan.lower()
 
 
+def test_lowest_texts_of_ids_with_several_needles(spark):
+    texts = spark.createDataFrame([(n, f"Ana {n}") for n in range(60, 0, -1)] + [(n, "Rui Ana") for n in range(100, 110)] + [(None, "Ana")], "text_id long, text string")
+    needles = spark.createDataFrame([(1, "Ana"), (2, "Ana"), (2, "Rui"), (101, "Rui"), (7, "no"), (8, "Eva")], "needle_id long, needle string")
+    got = {}
+    for r in family.containing(needles, texts, 3).collect():
+        got.setdefault(r.needle_id, []).append(r.text_id)
+    assert {k: sorted(v) for k, v in got.items()} == {1: [2, 3, 4], 2: [1, 3, 4], 101: [100, 102, 103]}
+
+
+def test_siblings_of_a_common_father_make_no_pairs(spark):
+    people = spark.range(100_000).select("id", F.lit("Ana Ring").alias("nome"), F.lit("BIRT").alias("tipo_registo"), F.when(F.col("id") == 5, "Eva").otherwise("Rui").alias("pai"))
+    began = time.time()
+    got = {r["role"]: r["n"] for r in family.connections(people, "ring").groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {"birth": 100_000, "sibling": 99_999}  # ten thousand million pairs
+    assert time.time() - began < 60
+
+
 def test_whole_texts_are_read_by_file(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\n\ntwo")
     (tmp_path / "b.txt").write_text("x")
