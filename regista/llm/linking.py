@@ -18,6 +18,8 @@ CHUNK = 512
 LIKELY, OFFERED = 16, 3
 #: Turns go on while at least one in so many of the tested pairs is linked.
 YIELD = 500
+#: Pairs of the rest that are tested at a time.
+REST = 2_000_000
 #: A pair is not likely if so many standard deviations more of its lanes differ than of pairs at the threshold on average.
 SPREAD = 4
 #: Lanes of a sketch, one bit each, and longs that hold them.
@@ -123,6 +125,31 @@ def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(moved.union(new))
 
 
+def _rest(members: DataFrame, known: DataFrame, tested: DataFrame, test: Test) -> DataFrame:
+    """known (node, component) after all pairs that share a key of members (key, node), lie in different components and are not among those tested have been tested.
+
+    They are as many as the members of mixed blocks make, however unlikely, so
+    they grow with the square of a block that stays in many components. About
+    REST of them are tested at a time, and those that have come into one
+    component meanwhile are left out.
+    """
+    placed = _placed(members, known).select("key", "node", "c", "m")
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / CHUNK))
+    chunks = placed.groupBy("key", chunk.alias("chunk")).agg(F.collect_list(F.struct("node", "c")).alias("others"))
+    others = F.filter("others", lambda z: (z["node"] > F.col("node")) & (z["c"] != F.col("c")))
+    each = placed.select("key", "node", "c").join(chunks.select("key", "others"), "key").select(F.col("node").alias("a"), F.explode(others).alias("z")).select("a", F.col("z.node").alias("b"))
+    pairs = materialise(each.distinct().join(tested, ["a", "b"], "left_anti"))
+    parts = -(-pairs.count() // REST)
+    for k in range(parts):
+        some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == k)
+        for x in "ab":
+            some = some.join(known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left")
+        links = materialise(test(some.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")))
+        if links.take(1):
+            known = _merged(known, links)
+    return known
+
+
 def linked(stars: DataFrame, members: DataFrame, sketches: Callable[[DataFrame], DataFrame], test: Test, percent: int) -> DataFrame:
     """Components (node, component) of the confirmed links between the nodes of members (key, node).
 
@@ -140,9 +167,10 @@ def linked(stars: DataFrame, members: DataFrame, sketches: Callable[[DataFrame],
     likely ones, as long as at least one in YIELD of them is linked. A block
     is joined with its chunks, so the rows that are made grow with its nodes
     outside the main component times its chunks only; chunks have about CHUNK
-    members, and the rows of a hot block are dealt to many tasks. The pairs
-    that are tested grow with the nodes. Nodes without a link have no row in
-    the result.
+    members, and the rows of a hot block are dealt to many tasks. These turns
+    only bring components together early: at the end all pairs that share a
+    key and still lie in different components are tested, so no link is lost.
+    Nodes without a link have no row in the result.
     """
     links = materialise(test(stars))
     known = materialise(components(links).withColumnRenamed("id", "node"))
@@ -157,9 +185,9 @@ def linked(stars: DataFrame, members: DataFrame, sketches: Callable[[DataFrame],
         n = more.count()
         if n:
             known = _merged(known, more)
-        if n * YIELD < pairs.count() or not n:
-            return known
         tested, turn = tested.union(pairs), turn + 1
+        if n * YIELD < pairs.count() or not n:
+            return _rest(members, known, tested, test)
         open_ = materialise(offered.select("key", "node").distinct().withColumn("open", F.lit(True)))
         placed = _placed(members.join(open_.select("key").distinct(), "key", "left_semi"), known)
         placed = placed.join(open_, ["key", "node"], "left").withColumn("open", F.coalesce("open", F.lit(False)))

@@ -4,9 +4,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from regista.llm import linking
 from regista.llm.components import components
 from regista.llm.hashing import column_bytes, word_hashes
-from regista.llm.linking import SPREAD
+from regista.llm.linking import SPREAD, WORDS
 from regista.llm.near_dedup import drop_near_duplicates, near_duplicates, shingle_sets, sketch
 from tests.llm.brute import near_components, word_shingles
 
@@ -113,3 +114,20 @@ def test_drop_keeps_one_row_of_each_component(spark):
     assert drop_near_duplicates(df.selectExpr("*", "1 as doc", "2 as _doc", "3 as key", "4 as rivals", "5 as text_key")).columns[3:] == ["doc", "_doc", "key", "rivals", "text_key"]
     got = drop_near_duplicates(df).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[1], rows[3], rows[6], rows[5], rows[7], rows[8], rows[9]]))
+
+
+def test_no_unlikely_pair_of_a_block_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(linking, "REST", 10)
+    nodes = spark.range(12).select(F.col("id").alias("node"))
+    members = nodes.select(F.lit(1).cast("long").alias("key"), "node")
+    true = [(4, 5), (5, 9), (7, 8)]
+
+    def sketches(ids):  # all sketches are unlike: no pair is likely
+        words = F.struct(*[F.xxhash64("node", F.lit(k)).alias(f"w{k}") for k in range(WORDS)])
+        return ids.select("node", F.lit(64 * WORDS).cast("long").alias("used"), words.alias("words"))
+
+    def test(pairs):
+        return pairs.join(spark.createDataFrame(true, "a long, b long"), ["a", "b"], "left_semi")
+
+    found = linking.linked(linking.star_pairs(members), members, sketches, test, 85)
+    assert {tuple(r) for r in found.select("node", "component").collect()} == {(4, 4), (5, 4), (9, 4), (7, 7), (8, 7)}
