@@ -295,3 +295,15 @@ def test_a_batch_that_stopped_before_its_index_is_replaced(spark, tmp_path, monk
     assert spark.read.parquet(str(tmp_path / "out")).count() == 20
     run()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+
+
+def test_relations_of_large_classes(spark):
+    """Classes of one year are joined, not people; ids of every class meet in full, and rows without an id, a year or a group are left out."""
+    rows = [(i, 1800 + i % 3 * 16, "a" if i % 2 else "b") for i in range(700)] + [(None, 1800, "a"), (901, None, "a"), (902, 1800, None)]
+    people = spark.createDataFrame(rows, "id long, year int, place string")
+    classes = family._classes(people, ["place"])
+    assert classes.count() <= 6 * 4 and classes.agg(F.sum(F.size("ids"))).first()[0] == 700
+    got = {(r["id"], r["other"], r["relation"]) for r in family.relations_by_years(people, people, ["place"]).collect()}
+    known = [r for r in rows if None not in r]
+    named = lambda d: "child" if d >= 15 else "parent" if d <= -15 else "sibling" if abs(d) <= 5 else None
+    assert got == {(a[0], b[0], named(b[1] - a[1])) for a in known for b in known if a[2] == b[2] and a[0] != b[0] and named(b[1] - a[1])}
