@@ -79,14 +79,26 @@ def html_links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", title.alias("title"), F.posexplode(links).alias("at", "href"))
 
 
+#: Characters of raw pages that one task works on.
+TASK_CHARS = 8 << 20
+
+
+def _dealt(pages: DataFrame) -> DataFrame:
+    """pages (page_id, html) by page in as many partitions as their size asks for, so that a task's share stays the same however many pages there are."""
+    chars = pages.agg(F.sum(F.length("html").cast("long"))).first()[0] or 0
+    return pages.select("page_id", "html").repartition(1 + chars // TASK_CHARS, "page_id")
+
+
 def html_parts(pages: DataFrame) -> DataFrame:
     """Tags and texts of raw pages (page_id, html) in order: page_id, at, part, tag (its name in lower case, with / if it ends; ! for a declaration, '' for a text), depth (tables open there), table_no (which of that depth, from 1), row_no and cell_no (from 1 in the table and row; 0 before the first).
 
-    Depth is a running sum of tags that open and close tables. What follows an
+    Pages are dealt out by their size before they are cut, so a task sorts the
+    parts of about TASK_CHARS characters, and the counts need no further
+    shuffle. Depth is a running sum of tags that open and close tables. What follows an
     inner table belongs to the outer one again, as counts run in each depth by
     themselves. Comments are no parts.
     """
-    parts = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?s)<!--.*?-->|<[a-zA-Z/!?][^>]*>|[^<]+|<"), F.lit(0))).alias("at", "part")).where("not startswith(part, '<!--')")
+    parts = _dealt(pages).select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?s)<!--.*?-->|<[a-zA-Z/!?][^>]*>|[^<]+|<"), F.lit(0))).alias("at", "part")).where("not startswith(part, '<!--')")
     name = F.lower(F.regexp_extract("part", r"^<(/?[a-zA-Z][a-zA-Z0-9]*)", 1))
     told = parts.withColumn("tag", F.when((name == "") & F.col("part").rlike("^<[a-zA-Z/!?]"), "!").otherwise(name))
     opened = lambda *names: F.col("tag").isin(*names).cast("int")

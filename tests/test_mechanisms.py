@@ -307,3 +307,14 @@ def test_relations_of_large_classes(spark):
     known = [r for r in rows if None not in r]
     named = lambda d: "child" if d >= 15 else "parent" if d <= -15 else "sibling" if abs(d) <= 5 else None
     assert got == {(a[0], b[0], named(b[1] - a[1])) for a in known for b in known if a[2] == b[2] and a[0] != b[0] and named(b[1] - a[1])}
+
+
+def test_raw_pages_are_dealt_by_size(spark, monkeypatch):
+    """The partitions of raw pages grow with their text, and the cells stay the same."""
+    html = "<table id='t'><tr><td>a <a href='x'>b</a></td><td>c</td></tr></table>"
+    raw = spark.createDataFrame([(k, html) for k in range(40)] + [(40, None)], "page_id long, html string")
+    whole = sorted(map(str, pages.html_cells(raw).collect()))
+    monkeypatch.setattr(pages, "TASK_CHARS", 4 * len(html))
+    assert pages.html_parts(raw).rdd.getNumPartitions() == 11
+    assert len(whole) == 80 and sorted(map(str, pages.html_cells(raw).collect())) == whole
+    assert pages.html_parts(raw.limit(0)).count() == 0
