@@ -68,8 +68,9 @@ def text_persons(pages: DataFrame, noise: tuple[str, ...] = ()) -> DataFrame:
     for c in ("deceased", "baptized", "persons"):
         empty = empty & (F.coalesce(F.size(c), F.lit(0)) <= 0)
     rows = pages.where(empty & (F.upper(F.coalesce("record_type", F.lit("DEAT"))) == "DEAT") & (page_reason(F.col("raw_text")) == "valid"))
-    rows = rows.select("file_id", F.lit(0).alias("at"), person_in_text(F.col("raw_text"), noise).alias("p"), strict_date(F.col("raw_text")).alias("data_obito"), F.substring("raw_text", 1, 4000).alias("texto_original"))
-    return rows.where("p is not null").select("file_id", "at", "p.nome", "p.sobrenome", "data_obito", "texto_original", F.lit("DEAT").alias("tipo_registo"))
+    # explode(), so that the filter has the person as a column, or else the text would be read for the filter and again for the row
+    rows = rows.select("file_id", F.lit(0).alias("at"), "raw_text", F.explode(F.array(person_in_text(F.col("raw_text"), noise))).alias("p")).where("p is not null")
+    return rows.select("file_id", "at", "p.nome", "p.sobrenome", strict_date(F.col("raw_text")).alias("data_obito"), F.substring("raw_text", 1, 4000).alias("texto_original"), F.lit("DEAT").alias("tipo_registo"))
 
 
 def persons(pages: DataFrame, noise: tuple[str, ...] = ()) -> DataFrame:

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from regista.functions import ranks
-from regista.operators import family, similarity
+from regista.functions import ranks, reading, text
+from regista.operators import family, ingest, similarity
 from regista.sources import export, pages
 from regista.streaming import jobs as stream
 
@@ -318,3 +318,19 @@ def test_raw_pages_are_dealt_by_size(spark, monkeypatch):
     assert pages.html_parts(raw).rdd.getNumPartitions() == 11
     assert len(whole) == 80 and sorted(map(str, pages.html_cells(raw).collect())) == whole
     assert pages.html_parts(raw.limit(0)).count() == 0
+
+
+def test_marked_words(spark):
+    """Words keep their places when signs are taken off in the whole text, and only places of the given words are looked at."""
+    df = spark.createDataFrame([(" Com,\t«vinte» —\n.a.b. ANNOS", 1), ("", 2), (None, 3), ("com", 4)], "t string, k int")
+    got = {r["k"]: r["w"].asDict() for r in df.select("k", reading.spoken(F.col("t"), ("com", "annos")).alias("w")).collect()}
+    assert got[1] == {"raw": ["Com,", "«vinte»", "—", ".a.b.", "ANNOS"], "word": ["com", "vinte", "", "a.b", "annos"], "marks": [0, 4]}
+    assert got[2] == got[3] == {"raw": [], "word": [], "marks": []} and got[4]["marks"] == [0]
+
+
+def test_texts_of_persons_are_read_once(spark):
+    """The filter for texts with a person reads the column of the row, not the text again."""
+    none = F.array().cast("array<struct<name:string>>")
+    rows = spark.createDataFrame([("a", "x" * 60), ("b", None)], "file_id string, raw_text string").select("*", F.lit(None).cast("string").alias("record_type"), *[none.alias(c) for c in ("deceased", "baptized", "persons")])
+    mentions = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Arcipreste")
+    assert mentions(ingest.text_persons(rows)) == mentions(rows.select(text.person_in_text(F.col("raw_text")).alias("p")))
