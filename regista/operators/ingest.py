@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from regista.functions.dates import lenient_date, strict_date
 from regista.functions.names import given_name, surname
-from regista.functions.text import death_details, page_reason, person_in_text
+from regista.functions.text import SHORT, death_details, page_reason, person_in_text
 
 
 def _text(*keys: str, n: int = 100) -> Column:
@@ -67,7 +67,8 @@ def text_persons(pages: DataFrame, noise: tuple[str, ...] = ()) -> DataFrame:
     empty = F.lit(True)
     for c in ("deceased", "baptized", "persons"):
         empty = empty & (F.coalesce(F.size(c), F.lit(0)) <= 0)
-    rows = pages.where(empty & (F.upper(F.coalesce("record_type", F.lit("DEAT"))) == "DEAT") & (page_reason(F.col("raw_text")) == "valid"))
+    # the length is asked for by itself, so that the optimizer leaves out the whole branch where pages have no text
+    rows = pages.where((F.length("raw_text") >= SHORT) & empty & (F.upper(F.coalesce("record_type", F.lit("DEAT"))) == "DEAT") & (page_reason(F.col("raw_text")) == "valid"))
     # explode(), so that the filter has the person as a column, or else the text would be read for the filter and again for the row
     rows = rows.select("file_id", F.lit(0).alias("at"), "raw_text", F.explode(F.array(person_in_text(F.col("raw_text"), noise))).alias("p")).where("p is not null")
     return rows.select("file_id", "at", "p.nome", "p.sobrenome", strict_date(F.col("raw_text")).alias("data_obito"), F.substring("raw_text", 1, 4000).alias("texto_original"), F.lit("DEAT").alias("tipo_registo"))
