@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regista.llm.common import materialise, placed_within, text_of, unpacked, whole
-from regista.llm.linking import LANES, WORDS, among, bits_of, confirmed, linked, live, star_pairs
+from regista.llm.linking import among, confirmed, linked_sets, live, star_pairs
 
 #: Characters (UTF-16 units in signatures, code points in the test) of a shingle.
 WIDTH = 8
@@ -81,24 +81,16 @@ def signatures(lines: DataFrame) -> DataFrame:
     return bins.select("id", F.array_compact(F.array(*map(band, range(BANDS)))).alias("keys"))
 
 
-def sketched(lines: DataFrame) -> DataFrame:
-    """(node, used, words) for lines (node, norm): one-permutation MinHash in LANES bins, the last bit of each."""
-    dealt = lines.repartition("node")  # so that what follows needs no further shuffle
-    lane = F.shiftrightunsigned("h", 65 - LANES.bit_length())
-    least = _hashed(dealt.select("node", F.encode("norm", "UTF-16BE").alias("units")), "node").groupBy("node", lane.alias("lane")).agg(F.min("h").alias("h"))
-    words = [F.bit_or(w).alias(f"w{k}") for k, w in enumerate(bits_of(F.col("h"), F.col("lane")))]
-    return least.groupBy("node").agg(F.count(F.lit(1)).alias("used"), *words).select("node", "used", F.struct(*[f"w{k}" for k in range(WORDS)]).alias("words"))
+def shingles(units: Column) -> Column:
+    """The 64-bit hashes of the shingles of a line that is encoded with four bytes a character, each once."""
+    places = F.sequence(F.lit(1), F.length(units) - (4 * WIDTH - 1), F.lit(4))
+    return F.array_distinct(F.transform(places, lambda k: F.xxhash64(F.substring(units, k, F.lit(4 * WIDTH)))))
 
 
 def alike(x: Column, y: Column, percent: int) -> Column:
     """100 * |a and b| >= percent * |a or b| for the sets a, b of all shingles of two lines, each shingle told by a 64-bit hash."""
-
-    def every(units: Column) -> Column:
-        places = F.sequence(F.lit(1), F.length(units) - (4 * WIDTH - 1), F.lit(4))
-        return F.array_distinct(F.transform(places, lambda k: F.xxhash64(F.substring(units, k, F.lit(4 * WIDTH)))))
-
     # what is used again is bound to a variable, or else it would be computed again
-    coded = F.transform(F.array(F.struct(F.encode(x, "UTF-32").alias("x"), F.encode(y, "UTF-32").alias("y"))), lambda s: F.struct(every(s["x"]).alias("a"), every(s["y"]).alias("b")))
+    coded = F.transform(F.array(F.struct(F.encode(x, "UTF-32").alias("x"), F.encode(y, "UTF-32").alias("y"))), lambda s: F.struct(shingles(s["x"]).alias("a"), shingles(s["y"]).alias("b")))
     sizes = F.transform(coded, lambda s: F.struct(F.size(F.array_intersect(s["a"], s["b"])).cast("long").alias("both"), (F.size(s["a"]) + F.size(s["b"])).cast("long").alias("all")))
     return F.exists(sizes, lambda s: s["both"] * 100 >= (s["all"] - s["both"]) * percent)
 
@@ -139,7 +131,11 @@ def _line_classes(docs: DataFrame, percent: int) -> DataFrame:
     def test(pairs: DataFrame) -> DataFrame:
         return confirmed(pairs, items, lambda x, y: alike(x, y, percent))
 
-    part = linked(stars, members, lambda ids: sketched(texts.join(ids, "node", "left_semi")), test, percent)
+    def sets(ids: DataFrame) -> DataFrame:
+        units = texts.join(ids, "node", "left_semi").select("node", F.encode("norm", "UTF-32").alias("units"))
+        return units.select("node", F.explode(shingles(F.col("units"))).alias("h"))
+
+    part = linked_sets(stars, members, sets, test, percent)
     return part.join(nodes, "node").select("id", "component")
 
 

@@ -25,6 +25,10 @@ SPREAD = 4
 #: Lanes of a sketch, one bit each, and longs that hold them.
 LANES = 256
 WORDS = LANES // 64
+#: Longs of a parity map, of 64 bits each, and how many of them are looked at first.
+PARITIES, FEW = 16, 4
+#: Members of a block of which all meet in one task; more of them are dealt to the tasks of pairs of parts.
+MEET = 2048
 
 
 def confirmed(pairs: DataFrame, items: DataFrame, alike: Callable[[Column, Column], Column]) -> DataFrame:
@@ -139,6 +143,11 @@ def _rest(members: DataFrame, known: DataFrame, tested: DataFrame, test: Test) -
     others = F.filter("others", lambda z: (z["node"] > F.col("node")) & (z["c"] != F.col("c")))
     each = placed.select("key", "node", "c").join(chunks.select("key", "others"), "key").select(F.col("node").alias("a"), F.explode(others).alias("z")).select("a", F.col("z.node").alias("b"))
     pairs = materialise(each.distinct().join(tested, ["a", "b"], "left_anti"))
+    return _all_tested(pairs, known, test)
+
+
+def _all_tested(pairs: DataFrame, known: DataFrame, test: Test) -> DataFrame:
+    """known (node, component) after the test of all pairs (a, b) that lie in different components, about REST of them at a time."""
     parts = -(-pairs.count() // REST)
     for k in range(parts):
         some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == k)
@@ -191,3 +200,67 @@ def linked(stars: DataFrame, members: DataFrame, sketches: Callable[[DataFrame],
         open_ = materialise(offered.select("key", "node").distinct().withColumn("open", F.lit(True)))
         placed = _placed(members.join(open_.select("key").distinct(), "key", "left_semi"), known)
         placed = placed.join(open_, ["key", "node"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+
+
+def parities(items: DataFrame) -> DataFrame:
+    """node, n, p0, p1, ... for the distinct items (node, h) of sets: their number, and for each of 64 * PARITIES bits whether an odd number of items falls to it.
+
+    An item that one of two sets has alone changes one bit, so their maps never
+    differ in more bits than there are such items.
+    """
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 52).bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftrightunsigned("h", 58).cast("int") % PARITIES
+    each = items.select("node", word.alias("word"), bit.alias("bit"))
+    return each.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(PARITIES)])
+
+
+def _possible(placed: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """(a, b, apart): the pairs of members of one block (key, node, c, m), of different components c, that can meet the threshold by their sizes and parity maps; apart is the share of their items in which they differ at least, in millionths, by the first FEW longs of their maps.
+
+    A similarity of percent bounds the number of items that only one of the two
+    has, and no pair that keeps this bound is left out. Pairs are told apart
+    inside the join, so that only possible ones become rows, in the block of
+    the least key that both have.
+    """
+    parts = F.ceil(F.col("m") / MEET)
+    own = F.pmod(F.xxhash64("node"), parts)
+    words = [f"p{k}" for k in range(PARITIES)]
+    keys = placed.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    rows = placed.join(keys.join(maps, "node"), "node")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+
+    def side(x: str, *deal: Column) -> DataFrame:
+        return rows.select("key", *deal, F.col("node").alias(x), F.col("c").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("keys").alias(f"keys{x}"), *[F.col(w).alias(f"{x}{w}") for w in words])
+
+    pairs = side("a", own.alias("i"), every.alias("j")).join(side("b", every.alias("i"), own.alias("j")), ["key", "i", "j"])
+    differ = [F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in words]
+    few = sum(differ[1:FEW], differ[0])
+    both = F.col("na") + F.col("nb")
+    most = F.floor(both * (100 - percent) / (100 + percent))
+    sized = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    once = F.array_min(F.array_intersect("keysa", "keysb")) == F.col("key")
+    pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sized & (few <= most) & (sum(differ[FEW:], few) <= most) & once)
+    return pairs.select("a", "b", F.floor(few * 1_000_000 / both).alias("apart"))
+
+
+def linked_sets(stars: DataFrame, members: DataFrame, items: Callable[[DataFrame], DataFrame], test: Test, percent: int) -> DataFrame:
+    """Components (node, component) of all links between the nodes of members (key, node) that share a key; items gives the distinct hashes (node, h) of the sets of a table of nodes, and test the linked ones of a table of pairs (a, b).
+
+    stars are the pairs that star_pairs() makes of the table keys: they are
+    tested first. A pair inside a component cannot change the components, so
+    what is left are the pairs of blocks with several components. Those that
+    parity maps rule out are no links, whatever the block; of the others the
+    likeliest pair of each node is tested, and then all that still lie in
+    different components. No link is lost. Nodes without a link have no row in
+    the result.
+    """
+    known = materialise(components(materialise(test(stars))).withColumnRenamed("id", "node"))
+    placed = _placed(members, known)
+    maps = materialise(parities(items(placed.select("node").distinct())))
+    pairs = materialise(_possible(placed.select("key", "node", "c", "m"), maps, percent).join(stars, ["a", "b"], "left_anti"))
+    each = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.struct("apart", "a", "b").alias("pair"))
+    likely = materialise(each.groupBy("node").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct())
+    links = materialise(test(likely))
+    if links.take(1):
+        known = _merged(known, links)
+    return _all_tested(pairs.select("a", "b").join(likely, ["a", "b"], "left_anti"), known, test)

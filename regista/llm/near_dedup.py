@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from regista.llm.common import materialise, text_of, unpacked, whole, with_rank
 from regista.llm.hashing import column_bytes, mix, pieces, seeds, word_hashes
-from regista.llm.linking import BROADCAST_IDS, LANES, WORDS, among, confirmed, linked, star_pairs
+from regista.llm.linking import BROADCAST_IDS, LANES, WORDS, among, confirmed, linked_sets, star_pairs
 
 #: Words of a shingle.
 WIDTH = 5
@@ -101,7 +101,6 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "id": pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
                 "n": pa.array([len(s) for s in sets], pa.int64()),
                 "small": pa.array([small_hashes(minimums(s)) if len(s) else None for s in sets], longs),
-                "sketch": pa.array([sketch(s) if len(s) else None for s in sets], longs),
             }
         )
 
@@ -137,10 +136,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def _placed(docs: DataFrame, percent: int) -> DataFrame:
     """A row for each of docs: doc_id, key (a hash of the text), n_shingles, component (a key of its own, null for an empty set), component_id."""
-    told = docs.select("doc_id", "text", F.xxhash64(text_of()).alias("key")).mapInArrow(_describe, "doc_id long, key long, id long, n long, small array<long>, sketch array<long>")
+    told = docs.select("doc_id", "text", F.xxhash64(text_of()).alias("key")).mapInArrow(_describe, "doc_id long, key long, id long, n long, small array<long>")
     told = materialise(told)
     rows = told.where("id is not null")
-    nodes = materialise(rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "small", "sketch")]))
+    nodes = materialise(rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "small")]))
 
     # small hashes that a node has alone lead nowhere: only the others are combined to keys
     small = nodes.select("id", F.posexplode("small").alias("slot", "hash"))
@@ -150,13 +149,13 @@ def _placed(docs: DataFrame, percent: int) -> DataFrame:
     # central nodes, which share most, come first and so become the hubs of their buckets
     ranked = with_rank(live.where("size(first) > 0 and size(second) > 0").withColumnRenamed("id", "hash"), F.col("score").desc(), F.col("hash").asc(), name="id")
     keys = F.flatten(F.transform("first", lambda x: F.transform("second", lambda y: F.xxhash64(x, y))))
-    known = nodes.select(F.col("id").alias("hash"), "doc_id", "sketch", F.slice("small", 1, SIDE).alias("blocks"))
+    known = nodes.select(F.col("id").alias("hash"), "doc_id", F.slice("small", 1, SIDE).alias("blocks"))
     ranked = materialise(ranked.select("id", "hash", keys.alias("keys")).join(known, "hash"))
     stars = materialise(star_pairs(ranked.select(F.col("id").alias("node"), F.explode("keys").alias("key"))))
 
     # the sets of nodes that share a table key, read once
     some = materialise(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    wanted = materialise(ranked.join(some, "id", "left_semi").select("id", "hash", "doc_id", "sketch", "blocks"))
+    wanted = materialise(ranked.join(some, "id", "left_semi").select("id", "hash", "doc_id", "blocks"))
     texts = among(docs.select("doc_id", "text"), "doc_id", wanted.select("doc_id").distinct()).select("text")
     found = texts.mapInArrow(_sets, "hash long, items array<long>").dropDuplicates(["hash"])
     sets = materialise(found.join(wanted.select("id", "hash"), "hash").select("id", "items"))
@@ -164,12 +163,11 @@ def _placed(docs: DataFrame, percent: int) -> DataFrame:
     def test(pairs: DataFrame) -> DataFrame:
         return confirmed(pairs, sets, lambda x, y: alike(x, y, percent))
 
-    def sketches(ids: DataFrame) -> DataFrame:
-        words = F.struct(*[F.get("sketch", F.lit(k)).alias(f"w{k}") for k in range(WORDS)])
-        return wanted.withColumnRenamed("id", "node").join(ids, "node", "left_semi").select("node", F.get("sketch", F.lit(WORDS)).alias("used"), words.alias("words"))
+    def items(ids: DataFrame) -> DataFrame:
+        return sets.withColumnRenamed("id", "node").join(ids, "node", "left_semi").select("node", F.explode("items").alias("h"))
 
     blocks = materialise(wanted.select(F.col("id").alias("node"), F.explode("blocks").alias("key")))
-    part = linked(stars, blocks, sketches, test, percent).withColumnRenamed("node", "id")
+    part = linked_sets(stars, blocks, items, test, percent).withColumnRenamed("node", "id")
     joined = ranked.select("id", "hash", "doc_id").join(part, "id")
     least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     alone = nodes.select(F.col("id").alias("hash"), F.col("doc_id").alias("own"))

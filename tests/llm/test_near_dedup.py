@@ -8,7 +8,7 @@ from regista.llm import linking
 from regista.llm.components import components
 from regista.llm.hashing import column_bytes, word_hashes
 from regista.llm.linking import SPREAD, WORDS
-from regista.llm.near_dedup import drop_near_duplicates, near_duplicates, shingle_sets, sketch
+from regista.llm.near_dedup import alike, drop_near_duplicates, near_duplicates, shingle_sets, sketch
 from tests.llm.brute import near_components, word_shingles
 
 
@@ -131,3 +131,25 @@ def test_no_unlikely_pair_of_a_block_is_lost(spark, monkeypatch):
 
     found = linking.linked(linking.star_pairs(members), members, sketches, test, 85)
     assert {tuple(r) for r in found.select("node", "component").collect()} == {(4, 4), (5, 4), (9, 4), (7, 7), (8, 7)}
+
+
+def test_blocks_of_unlike_sets_need_few_tests(spark, monkeypatch):
+    monkeypatch.setattr(linking, "MEET", 40)  # a block is dealt in parts
+    rng = np.random.default_rng(4)
+    sets = {}
+    for k in range(100):  # two of five items are common to all sets; every tenth set has a near one
+        own = rng.integers(-(1 << 63), (1 << 63) - 1, 60)
+        sets[2 * k] = np.concatenate([np.arange(40) * 7919 << 44, own])
+        sets[2 * k + 1] = np.concatenate([sets[2 * k][:95], own[:0]]) if k % 10 == 0 else np.concatenate([sets[2 * k][:70], rng.integers(-(1 << 63), (1 << 63) - 1, 30)])
+    rows = [(k, [int(h) for h in v]) for k, v in sets.items()]
+    items = spark.createDataFrame(rows, "id long, items array<long>").cache()
+    members = items.select(F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("key"), F.col("id").alias("node"))
+    tested = []
+
+    def test(pairs):
+        tested.extend(tuple(r) for r in pairs.collect())
+        return linking.confirmed(pairs, items, lambda x, y: alike(x, y, 85))
+
+    found = linking.linked_sets(linking.star_pairs(members), members, lambda ids: items.select(F.col("id").alias("node"), F.explode("items").alias("h")).join(ids, "node"), test, 85)
+    assert {tuple(r) for r in found.select("node", "component").collect()} == {(2 * k + x, 2 * k) for k in range(0, 100, 10) for x in (0, 1)}
+    assert len(tested) == len(set(tested)) <= 199 + 400  # the star and few others of 19,900 pairs
