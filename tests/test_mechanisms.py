@@ -334,3 +334,19 @@ def test_texts_of_persons_are_read_once(spark):
     rows = spark.createDataFrame([("a", "x" * 60), ("b", None)], "file_id string, raw_text string").select("*", F.lit(None).cast("string").alias("record_type"), *[none.alias(c) for c in ("deceased", "baptized", "persons")])
     mentions = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Arcipreste")
     assert mentions(ingest.text_persons(rows)) == mentions(rows.select(text.person_in_text(F.col("raw_text")).alias("p")))
+
+
+def test_first_of_equal_line_items_counts(spark, tmp_path):
+    import duckdb
+
+    from regista.plans.lookups import book_list_update
+    from regista.plans.registry import ORACLE_SQL
+
+    c = duckdb.connect()
+    c.execute("CREATE TABLE supplier AS SELECT i AS s_suppkey, 1.0::DOUBLE AS s_acctbal FROM range(40) t(i)")
+    c.execute("CREATE TABLE lineitem AS SELECT (i % 40) AS l_suppkey, 7 AS l_orderkey, 1::INTEGER AS l_linenumber, CASE (i // 40 + (i % 40) // 30) % 4 WHEN 0 THEN 'R' WHEN 3 THEN 'N' ELSE 'A' END AS l_returnflag FROM range(400) t(i)")
+    for t in ("supplier", "lineitem"):
+        c.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    expected = c.sql(ORACLE_SQL["book_list_update"]).fetchall()
+    assert expected == [(40, 40, 30)]
+    assert [tuple(r) for r in book_list_update(spark, str(tmp_path)).collect()] == expected
