@@ -10,6 +10,14 @@ from regista.functions.ranks import materialise, with_rank  # noqa: F401  the op
 #: Runs of the white space that separates words.
 SPACES = r"[\x20\x09-\x0D]+"
 
+#: Rows of a table that is kept in one partition, where its joins and groups need no shuffle. Larger ones stay dealt out.
+FEW = 20_000
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """Materialised rows in one partition if they are FEW at most, or else as they are."""
+    return rows.coalesce(1) if rows.count() <= FEW else rows
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

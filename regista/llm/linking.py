@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regista.llm.common import materialise, with_rank
+from regista.llm import common
+from regista.llm.common import gathered, materialise, with_rank
 from regista.llm.components import components
 
 Test = Callable[[DataFrame], DataFrame]
@@ -119,14 +120,33 @@ def _likeliest(offered: DataFrame, tested: DataFrame) -> DataFrame:
     return each.withColumn("place", place).where(F.col("place") <= LIKELY).select("a", "b").distinct()
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """Materialised rows to be broadcast in a join if they are few."""
+    return F.broadcast(rows) if rows.count() <= common.FEW else rows
+
+
+def _told(rows: DataFrame, known: DataFrame, **of: str) -> DataFrame:
+    """rows with the component of each node that is named in of, under the name given there; a node that is not in known (node, component) is a component of its own. Few components are broadcast."""
+    known = _sent(known)
+    for x, c in of.items():
+        rows = rows.join(known.select(F.col("node").alias(x), F.col("component").alias("_component")), x, "left")
+        rows = rows.withColumn(c, F.coalesce("_component", x)).drop("_component")
+    return rows
+
+
+def _unlike(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) that lie in different components."""
+    return _told(pairs.select("a", "b"), known, a="ca", b="cb").where("ca <> cb").select("a", "b")
+
+
 def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
     """known (node, component) with the components joined that links (a, b) join."""
-    of = [known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
-    named = links.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    roots = components(named).select(F.col("id").alias("root"), F.col("component").alias("to"))
-    moved = known.join(roots, F.col("component") == F.col("root"), "left").select("node", F.coalesce("to", "component").alias("component"))
-    new = roots.join(known, F.col("root") == F.col("node"), "left_anti").select(F.col("root").alias("node"), F.col("to").alias("component"))
-    return materialise(moved.union(new))
+    known = gathered(known)
+    named = _told(links, known, a="ca", b="cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    roots = materialise(components(named).select(F.col("id").alias("root"), F.col("component").alias("to")))
+    moved = known.join(_sent(roots), F.col("component") == F.col("root"), "left").select("node", F.coalesce("to", "component").alias("component"))
+    new = roots.join(_sent(known), F.col("root") == F.col("node"), "left_anti").select(F.col("root").alias("node"), F.col("to").alias("component"))
+    return gathered(materialise(moved.union(new)))
 
 
 def _rest(members: DataFrame, known: DataFrame, tested: DataFrame, test: Test) -> DataFrame:
@@ -151,9 +171,7 @@ def _all_tested(pairs: DataFrame, known: DataFrame, test: Test) -> DataFrame:
     parts = -(-pairs.count() // REST)
     for k in range(parts):
         some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == k)
-        for x in "ab":
-            some = some.join(known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left")
-        links = materialise(test(some.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")))
+        links = materialise(test(_unlike(some, known)))
         if links.take(1):
             known = _merged(known, links)
     return known
@@ -214,6 +232,13 @@ def parities(items: DataFrame) -> DataFrame:
     return each.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(PARITIES)])
 
 
+def _mixed(members: DataFrame, known: DataFrame) -> DataFrame:
+    """The members of blocks of more than two with several components: key, node, c (its component), m (the block's size)."""
+    placed = materialise(_told(members.select("key", "node"), known, node="c").select("key", "node", "c"))
+    sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("low"), F.max("c").alias("high"))
+    return materialise(placed.join(sizes.where("low < high and m > 2").select("key", "m"), "key"))
+
+
 def _possible(placed: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """(a, b, apart): the pairs of members of one block (key, node, c, m), of different components c, that can meet the threshold by their sizes and parity maps; apart is the share of their items in which they differ at least, in millionths, by the first FEW longs of their maps.
 
@@ -226,7 +251,7 @@ def _possible(placed: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), parts)
     words = [f"p{k}" for k in range(PARITIES)]
     keys = placed.groupBy("node").agg(F.collect_list("key").alias("keys"))
-    rows = placed.join(keys.join(maps, "node"), "node")
+    rows = materialise(placed.join(keys.join(maps, "node"), "node"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
 
     def side(x: str, *deal: Column) -> DataFrame:
@@ -254,13 +279,14 @@ def linked_sets(stars: DataFrame, members: DataFrame, items: Callable[[DataFrame
     different components. No link is lost. Nodes without a link have no row in
     the result.
     """
-    known = materialise(components(materialise(test(stars))).withColumnRenamed("id", "node"))
-    placed = _placed(members, known)
-    maps = materialise(parities(items(placed.select("node").distinct())))
-    pairs = materialise(_possible(placed.select("key", "node", "c", "m"), maps, percent).join(stars, ["a", "b"], "left_anti"))
+    known = gathered(materialise(components(test(stars)).withColumnRenamed("id", "node")))
+    placed = _mixed(members, known)
+    maps = parities(items(placed.select("node").distinct()))
+    pairs = materialise(_possible(placed, maps, percent).join(stars, ["a", "b"], "left_anti"))
     each = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.struct("apart", "a", "b").alias("pair"))
     likely = materialise(each.groupBy("node").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct())
     links = materialise(test(likely))
     if links.take(1):
         known = _merged(known, links)
-    return _all_tested(pairs.select("a", "b").join(likely, ["a", "b"], "left_anti"), known, test)
+    # what has come into one component is left out first: most pairs of a group of near copies have
+    return _all_tested(materialise(_unlike(pairs, known).join(likely, ["a", "b"], "left_anti")), known, test)

@@ -4,7 +4,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from regista.llm import linking
+import regista.llm.components as rounds
+from regista.llm import common, linking
 from regista.llm.components import components
 from regista.llm.hashing import column_bytes, word_hashes
 from regista.llm.linking import SPREAD, WORDS
@@ -153,3 +154,22 @@ def test_blocks_of_unlike_sets_need_few_tests(spark, monkeypatch):
     found = linking.linked_sets(linking.star_pairs(members), members, lambda ids: items.select(F.col("id").alias("node"), F.explode("items").alias("h")).join(ids, "node"), test, 85)
     assert {tuple(r) for r in found.select("node", "component").collect()} == {(2 * k + x, 2 * k) for k in range(0, 100, 10) for x in (0, 1)}
     assert len(tested) == len(set(tested)) <= 199 + 400  # the star and few others of 19,900 pairs
+
+
+def test_few_links_need_no_shuffle(spark, monkeypatch):
+    make, plans = rounds.materialise, []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return make(df)
+
+    monkeypatch.setattr(rounds, "materialise", noted)
+    links = spark.range(200).select((F.col("id") * 7 % 150).alias("a"), (F.col("id") * 11 % 130).alias("b"))
+    few = {r["id"]: r["component"] for r in components(links).collect()}
+    assert len(plans) > 2 and not any("Exchange hashpartitioning" in p for p in plans[1:])
+    monkeypatch.setattr(common, "FEW", 0)
+    assert {r["id"]: r["component"] for r in components(links).collect()} == few
+    known = make(components(links.where("a % 2 = 0")).withColumnRenamed("id", "node"))
+    for bound in (0, 20_000):
+        monkeypatch.setattr(common, "FEW", bound)
+        assert {r["node"]: r["component"] for r in linking._merged(known, links).collect()} == few
