@@ -309,6 +309,22 @@ def test_relations_of_large_classes(spark):
     assert got == {(a[0], b[0], named(b[1] - a[1])) for a in known for b in known if a[2] == b[2] and a[0] != b[0] and named(b[1] - a[1])}
 
 
+def test_pairs_of_few_large_groups_are_dealt_to_many_tasks(spark, monkeypatch):
+    """Tasks go by the pairs, which small rows of classes stand for, and every pair is made in one of the units of its group."""
+    monkeypatch.setattr(family, "UNIT_PAIRS", 1 << 14, raising=False)
+    monkeypatch.setattr(family, "TASK_PAIRS", 1 << 10, raising=False)
+    people = spark.range(600).select("id", (1800 + F.col("id") % 40).cast("int").alias("year"), F.when(F.col("id") < 570, "a").otherwise("b").alias("place"))
+    others = people.where("id % 3 > 0")
+    for right in (people, others):
+        made = family.relations_by_years(people, right, ["place"])
+        assert made.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(lambda n: n > 0).count() >= 8
+        got = sorted((r["id"], r["other"], r["relation"]) for r in made.collect())
+        rows = [(r["id"], r["year"], r["place"]) for r in people.collect()]
+        met = [r for r in rows if right is people or r[0] % 3]
+        named = lambda d: "child" if d >= 15 else "parent" if d <= -15 else "sibling" if abs(d) <= 5 else None
+        assert got == sorted((a[0], b[0], named(b[1] - a[1])) for a in rows for b in met if a[2] == b[2] and a[0] != b[0] and named(b[1] - a[1]))
+
+
 def test_raw_pages_are_dealt_by_size(spark, monkeypatch):
     """The partitions of raw pages grow with their text, and the cells stay the same."""
     html = "<table id='t'><tr><td>a <a href='x'>b</a></td><td>c</td></tr></table>"
