@@ -1,5 +1,6 @@
 import datetime
 import json
+import math
 import random
 import time
 from collections import defaultdict
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from regista.functions import ranks, reading, text
 from regista.operators import family, ingest, similarity
+from regista.plans import lookups
+from regista.plans.registry import ORACLE_SQL
 from regista.sources import export, pages
 from regista.streaming import jobs as stream
 
@@ -220,6 +223,44 @@ def test_nearest_of_blocks_are_those_of_all_pairs(spark, monkeypatch):
             assert [(n + 1, j, s) for n, (s, j) in enumerate(told)] == sorted(found.get(i, []))
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_nearest_among_equal_vectors_and_repeated_ids(spark, monkeypatch, kind):
+    """Parts of one unit each: equal vectors beyond the first ones, ids that stand twice, and rows without a similarity."""
+    monkeypatch.setattr(family, "BLOCK", 120)
+    monkeypatch.setattr(family, "ASKED", 5)
+    inf, nan = float("inf"), float("nan")
+    data = [(n, [1.0, 2.0, -1.0] if n % 4 else [float(n % 7), 1.0, float(n % 5)], 0) for n in range(300)]
+    data += [(7, [1.0, 2.0, -1.0], 0), (7, [0.0, 1.0, 1.0], 0), (8, None, 0), (400, [inf, 1.0, 0.0], 0), (401, [nan, 1.0, 0.0], 0), (402, [1.0, 2.0], 0), (403, [], 0), (404, [0.0] * 3, 0)]
+    data += [(500, [1.0, 1.0], 1), (501, None, 1), (502, [2.0, 2.0], 1), (503, [1.0], 1), (600, [1.0], 2), (None, [1.0], 1), (601, [1.0], None), (602, [1.0], None)]
+    data = [(None if i is None else i if kind == "long" else f"v{i}", x, label) for i, x, label in data]
+    schema = f"id {kind}, embedding array<double>, label int"
+    rows, asked = spark.createDataFrame(data, schema), {i: (x, label) for i, x, label in reversed(data)}
+
+    def like(x, y):
+        known = lambda v: v and all(math.isfinite(p) for p in v) and any(v)
+        if not (known(x) and known(y) and len(x) == len(y)):
+            return None
+        dot = lambda a, b: sum(p * q for p, q in zip(a, b, strict=True))
+        return dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5
+
+    got = {}
+    for r in family.most_similar(spark.createDataFrame([(i, *told) for i, told in asked.items()], schema), rows, 6).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.other, r.similarity))
+    for i, (x, label) in asked.items():
+        told = [(like(x, y), j) for j, y, m in data if None not in (i, j, label) and m == label and j != i]
+        told = sorted(told, key=lambda t: (t[0] is None, -(t[0] or 0), t[1]))[:6]
+        assert [(n + 1, j, s) for n, (s, j) in enumerate(told)] == sorted(got.get(i, [])), i
+
+
+def test_every_vector_is_asked_for_its_relatives(spark, sf_dir):
+    """Not only those of some ids: each vector with another one of its label has its rows, 50 where there are so many."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    labels = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    expected = {r["vec_id"]: min(50, labels[r["label"]] - 1) for r in rows.collect() if labels[r["label"]] > 1}
+    assert {r["id"]: r["count"] for r in lookups.potential_relatives(spark, sf_dir).groupBy("id").count().collect()} == expected
+    assert "%" not in ORACLE_SQL["potential_relatives"].split("p AS")[0]
+
+
 def test_no_row_for_a_pair_of_vectors(spark):
     rows = spark.range(20).select("id", F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"), F.lit(1).alias("label"))
     plan = family.most_similar(rows, rows, 3)._jdf.queryExecution().optimizedPlan().toString()
